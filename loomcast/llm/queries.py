@@ -6,6 +6,9 @@ import importlib
 
 #: query name -> module with ``query(spark, sf_dir)`` and, where SQL can express it, ``SQL``.
 MODULES = {
+    "op1_substring_dedup": "substring",
+    "op3_secret_scan": "secrets",
+    "op4_decontamination": "decontaminate",
     "op10_quality_rules": "quality",
 }
 
