@@ -9,6 +9,8 @@ MODULES = {
     "op1_substring_dedup": "substring",
     "op3_secret_scan": "secrets",
     "op4_decontamination": "decontaminate",
+    "op5_packing": "packing",
+    "op7_near_duplicates": "neardup",
     "op10_quality_rules": "quality",
 }
 
