@@ -10,7 +10,9 @@ MODULES = {
     "op3_secret_scan": "secrets",
     "op4_decontamination": "decontaminate",
     "op5_packing": "packing",
+    "op6_url_filter": "urlfilter",
     "op7_near_duplicates": "neardup",
+    "op9_licence_scan": "licences",
     "op10_quality_rules": "quality",
 }
 
