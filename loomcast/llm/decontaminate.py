@@ -123,6 +123,38 @@ def _shards(items: list[tuple], max_bytes: int) -> list[list[tuple]]:
     return out
 
 
+def _loader(benchmark: DataFrame, item_id: str, item_text: str, window: int, max_bytes: int, total_bytes: int):
+    """Check the size of the items, broadcast them, and return a function that builds the automata in a task."""
+    spark = benchmark.sparkSession
+    items_df = benchmark.select(F.col(f"`{item_id}`").alias("i"), F.col(f"`{item_text}`").cast("string").alias("t")).where(
+        "i is not null and t is not null"
+    )
+    size = items_df.agg(F.coalesce(F.sum(F.octet_length("t")), F.lit(0))).head()[0]
+    if size > total_bytes:
+        raise ValueError(f"the benchmark has {size} bytes of text; at most {total_bytes} can be broadcast")
+    items = sorted((str(r.i), r.t) for r in items_df.collect())
+    shards = spark.sparkContext.broadcast(_shards(items, max_bytes))
+    key = hashlib.sha256(repr((items, window, max_bytes)).encode("utf-8", "surrogatepass")).hexdigest()
+    return lambda: _automata(key, shards.value, window)
+
+
+def keep_clean(
+    docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text",
+    window: int = 10, max_bytes: int = 64 << 20, total_bytes: int = 512 << 20,
+) -> DataFrame:
+    """The rows of ``docs``, unchanged, that hold no window of any item."""
+    ship(docs.sparkSession)
+    load = _loader(benchmark, item_id, item_text, window, max_bytes, total_bytes)
+    at = docs.columns.index(text)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        automata = load()
+        for batch in batches:
+            yield batch.filter(pa.array([not scan(t.as_py(), automata)[1] for t in batch.column(at)], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 OUT = (
     "n_words bigint, n_hit bigint, n_items bigint, items_sha256 string, contaminated boolean, "
     "spans array<struct<start:int,end:int>>, item_ids array<string>"
@@ -141,18 +173,11 @@ def decontaminate(
     total_bytes: int = 512 << 20,
 ) -> DataFrame:
     """Per row: word and hit counts, items found, and hit spans in the original text."""
-    spark = docs.sparkSession
-    ship(spark)
-    items_df = benchmark.select(F.col(f"`{item_id}`").alias("i"), F.col(f"`{item_text}`").cast("string").alias("t")).where("i is not null and t is not null")
-    size = items_df.agg(F.coalesce(F.sum(F.octet_length("t")), F.lit(0))).head()[0]
-    if size > total_bytes:
-        raise ValueError(f"the benchmark has {size} bytes of text; at most {total_bytes} can be broadcast")
-    items = sorted((str(r.i), r.t) for r in items_df.collect())
-    shards = spark.sparkContext.broadcast(_shards(items, max_bytes))
-    key = hashlib.sha256(repr((items, window, max_bytes)).encode("utf-8", "surrogatepass")).hexdigest()
+    ship(docs.sparkSession)
+    load = _loader(benchmark, item_id, item_text, window, max_bytes, total_bytes)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        automata = _automata(key, shards.value, window)
+        automata = load()
         for batch in batches:
             cols: list[list] = [[] for _ in range(7)]
             for value in batch.column(1):

@@ -30,7 +30,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomcast.llm import _shared, _words
@@ -228,5 +228,24 @@ def near_duplicates(
     return out.unionByName(signed.where("n = 0").select("doc_id", F.col("doc_id").alias("class_id"), F.col("n").alias("n_shingles")))
 
 
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
+    """The rows of ``docs``, unchanged, without the other members of each class.
+
+    Of rows that repeat a doc_id the first by text stays; rows without a doc_id stay.
+    """
+    classes, _ = _shared.materialize(near_duplicates(docs, id_col, text), "classes")
+    gone = classes.where("doc_id is not null and doc_id <> class_id").select("doc_id").distinct()
+    twice = classes.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id")
+    key = F.col(f"`{id_col}`").cast("bigint")
+    name = "__id"
+    rest = docs.withColumn(name, key).join(gone.withColumnRenamed("doc_id", name), name, "left_anti")
+    if not twice.isEmpty():
+        first = Window.partitionBy(name).orderBy(F.col(f"`{text}`"))
+        again = twice.withColumnRenamed("doc_id", name)
+        some = rest.join(again, name, "left_semi").withColumn("__n", F.row_number().over(first)).where("__n = 1").drop("__n")
+        rest = rest.join(again, name, "left_anti").unionByName(some)
+    return rest.select(*[F.col(f"`{c}`") for c in docs.columns])
+
+
 def query(spark, sf_dir):
     return near_duplicates(_shared.table(spark, sf_dir, "documents"))

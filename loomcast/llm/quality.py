@@ -16,6 +16,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from loomcast.llm._shared import table
+
 WORD_BREAK = r"[ \t\n\x0B\f\r]+"
 #: Words counted by the measurement behind the ``insults`` rule (fixed values).
 INSULTS = ("clown", "disgusting", "idiot", "loser", "moron", "pathetic", "scum", "stupid", "trash", "worthless")
@@ -107,7 +109,9 @@ def measure(df: DataFrame, text: str = "text") -> DataFrame:
     bits = F.lit(0).cast("long")
     for name, fails in RULES.items():
         bits = bits.bitwiseOR(F.when(F.expr(fails), F.lit(BIT[name])).otherwise(F.lit(0)).cast("long"))
-    return out.select("*", bits.alias("fail_bits"))
+    # A non-deterministic term of value 0: filters on the measurements then stay above this projection.
+    # Pushed below it they would be inlined, and lambdas would evaluate whole arrays anew for every element.
+    return out.select("*", bits.bitwiseOR(F.spark_partition_id().cast("long") * 0).alias("fail_bits"))
 
 
 def ledger(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
@@ -149,9 +153,13 @@ def ablations(ledger_df: DataFrame, policy: str = "default-1") -> DataFrame:
     )
 
 
-def query(spark, sf_dir):
-    from loomcast.llm._shared import table
+def keep_passing(docs: DataFrame, text: str = "text", policy: str = "default-1") -> DataFrame:
+    """The rows of ``docs``, unchanged, that the policy keeps."""
+    row = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(f"`{text}`").alias("text"))
+    return measure(row).where(passes(policy)).select("row.*")
 
+
+def query(spark, sf_dir):
     out = judge(ledger(table(spark, sf_dir, "documents")))
     return out.select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",

@@ -7,11 +7,13 @@ import importlib
 #: query name -> module with ``query(spark, sf_dir)`` and, where SQL can express it, ``SQL``.
 MODULES = {
     "op1_substring_dedup": "substring",
+    "op2_main_text": "htmltext",
     "op3_secret_scan": "secrets",
     "op4_decontamination": "decontaminate",
     "op5_packing": "packing",
     "op6_url_filter": "urlfilter",
     "op7_near_duplicates": "neardup",
+    "op8_warc": "warc",
     "op9_licence_scan": "licences",
     "op10_quality_rules": "quality",
 }

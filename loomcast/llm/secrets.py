@@ -215,6 +215,33 @@ def redact(text: str, spans: list[tuple[int, int, str]]) -> str:
     return "".join(out) + text[at:]
 
 
+def redact_secrets(docs: DataFrame, text: str = "text", count: str | None = "n_chars", rate: float = 0.001) -> DataFrame:
+    """The rows of ``docs`` with every span found replaced by ``[kind]``; ``count`` is set to the new length."""
+    ship(docs.sparkSession)
+    limits = fdr_thresholds(survey(docs, text, text), rate)
+    at = docs.columns.index(text)
+    length_at = docs.columns.index(count) if count in docs.columns else None
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            cols = list(batch.columns)
+            texts = cols[at].to_pylist()
+            lengths = cols[length_at].to_pylist() if length_at is not None else []
+            for i, t in enumerate(texts):
+                base = base_spans(t or "")
+                more = [(c["start"], c["end"], "random") for c in candidates(t or "", base) if c["p_bin"] >= limits.get(c["len_bin"], P_BINS)]
+                if base or more:
+                    texts[i] = redact(t, base + more)
+                    if lengths:
+                        lengths[i] = len(texts[i])
+            cols[at] = pa.array(texts, cols[at].type)
+            if length_at is not None:
+                cols[length_at] = pa.array(lengths, cols[length_at].type)
+            yield pa.RecordBatch.from_arrays(cols, names=batch.schema.names)
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def query(spark, sf_dir):
     found = find_secrets(table(spark, sf_dir, "documents"))
     count = lambda k: F.size(F.filter("base", lambda s: s["kind"] == k)).cast("long").alias(f"n_{k}")
