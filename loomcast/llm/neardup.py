@@ -215,13 +215,16 @@ def near_duplicates(
             .mapInArrow(_overlap(threshold, k), "u bigint, v bigint")
         )
         found, _ = _shared.materialize(checked.distinct(), "links")
-        links, tested = links.unionByName(found), tested.unionByName(pairs)
-        label = components(links)
+        tested = tested.unionByName(pairs)
+        if not found.isEmpty():
+            links = links.unionByName(found)
+            label = components(links)
         members = (
             members.join(chosen.select("key", F.col("c").alias("rep"), F.lit(True).alias("now_used")), ["key", "rep"], "left")
             .select("key", "rep", "n", F.coalesce("now_used", "used").alias("used"))
         )
-        salts = centres
+        # few buckets stay open for long: twice the centres each round keeps the rounds logarithmic
+        salts = centres if salts == 1 else 2 * salts
     classes = groups.join(label.withColumnRenamed("node", "rep"), "rep", "left").select("fp1", "fp2", F.coalesce("comp", "rep").alias("class_id"))
     full = held.join(classes, ["fp1", "fp2"], "left")
     out = full.select("doc_id", "class_id", F.col("n").alias("n_shingles"))
