@@ -1 +1 @@
-
+"""Column functions: text normalisation, value parsing and validation."""
