@@ -1 +1 @@
-
+"""Streams: files that arrive over time are transformed batch by batch."""
