@@ -35,6 +35,11 @@ def materialize(df: DataFrame, name: str, compression: str = "zstd") -> tuple[Da
     return spark.read.schema(df.schema).parquet(path), path
 
 
+def snug(df: DataFrame, rows: int, per: int = 500_000) -> DataFrame:
+    """As few partitions as ``rows`` need.  Joins and aggregates of tables that fit one partition need no exchange."""
+    return df.coalesce(max(1, -(-rows // per)))
+
+
 def discard(spark: SparkSession, *paths: str) -> None:
     """Delete intermediate tables that nothing reads any more."""
     jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()

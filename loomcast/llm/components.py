@@ -10,18 +10,21 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomcast.llm._shared import discard, materialize
+from loomcast.llm._shared import discard, materialize, snug
+
+
+def _each(df: DataFrame, *pairs: tuple) -> DataFrame:
+    """A row (u, v) for each of the given pairs of columns.  Unlike a union it keeps the partitioning of ``df``."""
+    rows = F.array(*[F.struct(F.col(a).alias("u"), F.col(b).alias("v")) for a, b in pairs])
+    return df.select(F.explode(rows).alias("e")).select("e.u", "e.v")
 
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
-    both = edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+    both = _each(edges, ("u", "v"), ("v", "u"))
     near = both if large else both.where("v < u")
     least = near.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
     joined = near.join(least, "u")
-    if large:
-        out = joined.where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-    else:
-        out = joined.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
+    out = _each(joined.where("v > u"), ("v", "m")) if large else _each(joined, ("v", "m"), ("u", "m"))
     return out.where("u <> v").distinct()
 
 
@@ -32,11 +35,12 @@ def components(edges: DataFrame) -> DataFrame:
     before = None
     while True:
         stamp = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).head()
+        now = snug(now, stamp[0])
         if stamp == before:
             break
         before = stamp
         new, fresh = materialize(_star(_star(now, True), False), "edges")
         discard(spark, path)
         now, path = new, fresh
-    roots = now.select(F.col("v").alias("node")).distinct().select("node", F.col("node").alias("comp"))
-    return now.select(F.col("u").alias("node"), F.col("v").alias("comp")).unionByName(roots)
+    out = _each(now, ("u", "v"), ("v", "v")).distinct()
+    return snug(out.select(F.col("u").alias("node"), F.col("v").alias("comp")), 2 * stamp[0])

@@ -11,12 +11,15 @@ probability equal to their weighted Jaccard similarity.  Processes are advanced
 together and stop once they are past the latest arrival that still matters.
 
 Signatures are banded.  Documents with equal multisets are folded first.  In a
-band bucket no pairs are emitted: a few *centres* are compared with the other
-members by the exact multiset overlap, verified links are merged into
-components, and only buckets that still hold members of different components,
-with members that have not been centres, go into another round.  Every pair of
-a bucket is thus either verified, already in one class, or ruled out by size.
-32 bands of 4 miss a pair at similarity 0.8 with probability below 5e-8.
+band bucket no pairs are emitted: one *centre* is compared with the other
+members by the exact multiset overlap, and verified links are merged into
+components; that settles groups of copies.  Documents of buckets that still
+hold several components are compared again by an exact filter, their rarest
+tokens (no similar pair lacks a common one, and positions rule out pairs that
+share too little), again centres against members, with more centres each round
+until no group is open.  Every pair of a bucket is thus verified, already in
+one class, or ruled out.  32 bands of 4 miss a pair at similarity 0.8 with
+probability below 5e-8.
 
 Defined cases: texts without words are in a class of their own; rows that
 repeat a doc_id are one document; a row with a null doc_id takes the class of
@@ -154,6 +157,101 @@ def _overlap(threshold: float, k: int):
     return run
 
 
+def _tokens(k: int):
+    """(rep, n, token) rows: the k-th occurrence of a shingle is a token of its own, so overlap is set overlap."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for piece in _words.slices(batch, "text"):
+                row, value, count, rows = shingles(piece.column(1), k)
+                size = np.bincount(row, weights=count, minlength=rows).astype(np.int64)
+                at = np.repeat(np.arange(len(row)), count)
+                nth = np.arange(len(at)) - np.repeat(np.cumsum(count) - count, count)
+                token = mix(value[at] + nth.astype(_U) * _U(0x9E3779B97F4A7C15))
+                ids = piece.column(0).take(pa.array(row[at]))
+                yield pa.RecordBatch.from_arrays([ids, pa.array(size[row[at]]), pa.array(token.view(np.int64))], names=["rep", "n", "key"])
+
+    return run
+
+
+def _prefixes(texts: DataFrame, wanted: DataFrame, threshold: float, k: int) -> DataFrame:
+    """Rows (key, rep, n, pos, used): the prefix tokens of the wanted documents, rarest first.
+
+    Two sets with Jaccard similarity t or more share a token among the first
+    n - ceil(t n) + 1 of each, in any common order.  In order of rarity, what
+    many documents share comes last, so a common passage makes no candidates.
+    """
+    docs = texts.join(wanted.withColumnRenamed("rep", "doc_id"), "doc_id", "left_semi")
+    tokens, _ = _shared.materialize(docs.select("doc_id", "text").mapInArrow(_tokens(k), "rep bigint, n bigint, key bigint"), "tokens")
+    common = tokens.groupBy("key").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
+    found = tokens.join(common, "key")
+    mine = Window.partitionBy("rep")
+    ranked = found.select(
+        "key", "rep", "n",
+        (F.col("n") - F.count(F.lit(1)).over(mine) + F.row_number().over(mine.orderBy("df", "key")) - 1).alias("pos"),
+    )
+    prefix = F.col("n") - F.ceil(F.col("n") * threshold - 1e-9) + 1
+    return _shared.materialize(ranked.where(F.col("pos") < prefix).select("key", "rep", "n", F.lit(False).alias("used"), "pos"), "members")[0]
+
+
+class _Links:
+    """The components that verified links make so far, and the pairs already looked at."""
+
+    def __init__(self, spark, texts: DataFrame, threshold: float, k: int) -> None:
+        self.texts, self.t, self.k, self.n_tested = texts, threshold, k, 0
+        self.n_links = 0
+        self.none = self.tested = spark.createDataFrame([], "u bigint, v bigint")
+        self.label = spark.createDataFrame([], "node bigint, comp bigint")
+
+    def labelled(self, members: DataFrame) -> DataFrame:
+        named = self.label.withColumnRenamed("node", "rep")
+        return members.drop("comp").join(named, "rep", "left").withColumn("comp", F.coalesce("comp", "rep"))
+
+    def still_open(self, members: DataFrame) -> DataFrame:
+        """Members of keys whose members that were no centres yet belong to several components."""
+        now = self.labelled(members)
+        spread = now.where("not used").groupBy("key").agg(F.min("comp").alias("a"), F.max("comp").alias("b")).where("a < b")
+        held, _ = _shared.materialize(now.join(spread.select("key"), "key"), "open")
+        return _shared.snug(held, held.count())
+
+    def one_round(self, members: DataFrame, slots: int) -> DataFrame:
+        """Compare up to ``slots`` new centres of every key with its members; returns members with ``used`` brought up to date."""
+        now = self.labelled(members)
+        slot = F.pmod(F.xxhash64("rep"), F.lit(slots))
+        chosen = (
+            now.where("not used").groupBy("key", slot.alias("slot")).agg(F.min(F.struct("rep", "n", "comp", "pos")).alias("c"))
+            .select("key", F.col("c.rep").alias("c"), F.col("c.n").alias("c_n"), F.col("c.comp").alias("c_comp"), F.col("c.pos").alias("c_pos"))
+        )
+        sizes = f"least(n, c_n) >= {self.t} * greatest(n, c_n) - 1e-9"
+        places = f"least(n - pos, c_n - c_pos) >= {self.t / (1 + self.t)} * (n + c_n) - 1e-9"
+        pairs = (
+            now.join(chosen, "key")
+            .where(f"rep <> c and comp <> c_comp and {sizes} and {places}")
+            .select(F.least("rep", "c").alias("u"), F.greatest("rep", "c").alias("v"))
+            .distinct()
+            .join(self.tested, ["u", "v"], "left_anti")
+        )
+        pairs, _ = _shared.materialize(pairs, "pairs")
+        n = pairs.count()
+        self.n_tested += n
+        # a hot centre's pairs are split by Spark's skew join
+        checked = (
+            pairs.join(self.texts.select(F.col("doc_id").alias("v"), F.col("text").alias("text_v")), "v")
+            .join(self.texts.select(F.col("doc_id").alias("u"), F.col("text").alias("text_u")), "u")
+            .select("u", "v", "text_u", "text_v")
+            .mapInArrow(_overlap(self.t, self.k), "u bigint, v bigint")
+        )
+        found = _shared.materialize(checked.distinct(), "links")[0] if n else self.none
+        self.tested = _shared.snug(self.tested.unionByName(pairs), self.n_tested)
+        if n and not found.isEmpty():
+            known = self.label.where("node <> comp").select(F.col("node").alias("u"), F.col("comp").alias("v"))
+            merged = known.unionByName(found)
+            self.n_links += found.count()
+            self.label = components(_shared.snug(merged, 2 * self.n_links))
+        done = chosen.select("key", F.col("c").alias("rep"), F.lit(True).alias("now_used"))
+        return members.join(done, ["key", "rep"], "left").select("key", "rep", "n", F.coalesce("now_used", "used").alias("used"), "pos")
+
+
 def near_duplicates(
     docs: DataFrame,
     id_col: str = "doc_id",
@@ -180,51 +278,21 @@ def near_duplicates(
     members, at = _shared.materialize(rows.join(shared_keys, "key").select("key", "rep", "n", F.lit(False).alias("used")), "members")
     wanted = members.select(F.col("rep").alias("doc_id")).distinct()
     texts, _ = _shared.materialize(source.join(wanted, "doc_id", "left_semi"), "texts")
-    links = spark.createDataFrame([], "u bigint, v bigint")
-    tested = spark.createDataFrame([], "u bigint, v bigint")
-    label = spark.createDataFrame([], "node bigint, comp bigint")
-    salts = 1
-    while True:
-        comp = F.coalesce("comp", "rep")
-        now = members.join(label.withColumnRenamed("node", "rep"), "rep", "left").select("key", "rep", "n", "used", comp.alias("comp"))
-        spread = now.groupBy("key").agg(F.min("comp").alias("a"), F.max("comp").alias("b"), F.min("used").alias("all_used"))
-        live, path = _shared.materialize(now.join(spread.where("a < b and not all_used").select("key"), "key"), "members")
-        _shared.discard(spark, at)
-        members, at = live, path
-        if members.isEmpty():
-            break
-        slot = F.pmod(F.xxhash64("rep"), F.lit(salts))
-        chosen = (
-            members.where("not used").groupBy("key", slot.alias("slot"))
-            .agg(F.min(F.struct("rep", "n", "comp")).alias("c"))
-            .select("key", F.col("c.rep").alias("c"), F.col("c.n").alias("c_n"), F.col("c.comp").alias("c_comp"))
-        )
-        pairs = (
-            members.join(chosen, "key")
-            .where(f"rep <> c and comp <> c_comp and least(n, c_n) >= {threshold} * greatest(n, c_n) - 1e-9")
-            .select(F.least("rep", "c").alias("u"), F.greatest("rep", "c").alias("v"))
-            .distinct()
-            .join(tested, ["u", "v"], "left_anti")
-        )
-        pairs, _ = _shared.materialize(pairs, "pairs")
-        # the centre's text is joined last: a hot centre's pairs are split by Spark's skew join
-        checked = (
-            pairs.join(texts.select(F.col("doc_id").alias("v"), F.col("text").alias("text_v")), "v")
-            .join(texts.select(F.col("doc_id").alias("u"), F.col("text").alias("text_u")), "u")
-            .select("u", "v", "text_u", "text_v")
-            .mapInArrow(_overlap(threshold, k), "u bigint, v bigint")
-        )
-        found, _ = _shared.materialize(checked.distinct(), "links")
-        tested = tested.unionByName(pairs)
-        if not found.isEmpty():
-            links = links.unionByName(found)
-            label = components(links)
-        members = (
-            members.join(chosen.select("key", F.col("c").alias("rep"), F.lit(True).alias("now_used")), ["key", "rep"], "left")
-            .select("key", "rep", "n", F.coalesce("now_used", "used").alias("used"))
-        )
-        # few buckets stay open for long: twice the centres each round keeps the rounds logarithmic
-        salts = centres if salts == 1 else 2 * salts
+    state = _Links(spark, texts, threshold, k)
+    members = members.select("*", F.lit(0).alias("pos"))
+    # every member of a bucket against one centre: this settles groups of copies
+    members = state.one_round(members, 1)
+    left = state.still_open(members).select("rep").distinct()
+    if not left.isEmpty():
+        members = _prefixes(texts, left, threshold, k)
+        slots = centres
+        while True:
+            live = state.still_open(members)
+            if live.isEmpty():
+                break
+            members = state.one_round(live, slots)
+            slots *= 4  # few keys stay open for long: rounds stay logarithmic in their size
+    label = state.label
     classes = groups.join(label.withColumnRenamed("node", "rep"), "rep", "left").select("fp1", "fp2", F.coalesce("comp", "rep").alias("class_id"))
     full = held.join(classes, ["fp1", "fp2"], "left")
     out = full.select("doc_id", "class_id", F.col("n").alias("n_shingles"))
