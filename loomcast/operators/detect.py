@@ -34,7 +34,7 @@ def score_types(values: DataFrame, words: list[Words]) -> DataFrame:
 
 def classify_records(cells: DataFrame, km: DataFrame, words: list[Words]) -> DataFrame:
     """(source_id, rec, status, schema, names, type_key, type_text, type_languages) of every record."""
-    found = cells.where("line is null").where(SCALAR).join(F.broadcast(km.where("scope = 'type' and field is not null").drop("expansions")), "key")
+    found = cells.where("line is null").where(SCALAR).join(km.where("scope = 'type' and field is not null").drop("expansions"), "key")
     first = Window.partitionBy(*RECORD, "schema").orderBy("weak", F.desc("score"), "key")
     winners = found.withColumn("rn", F.row_number().over(first)).where("rn = 1")
     scored = winners.join(score_types(winners, words), ["schema", "text"])
@@ -67,7 +67,7 @@ def structural_scores(cells: DataFrame, km: DataFrame, cfgs: list[SchemaConfig],
     """(*by, schema, similarity): weighted shares of signature fields, required fields and explained keys."""
     profile = cells.where("key is not null").select(*by, "key").distinct()
     total = profile.groupBy(*by).agg(F.count(F.lit(1)).alias("n_keys"))
-    known = profile.join(F.broadcast(km.where("scope = 'profile'").select("schema", "key", "field")), "key")
+    known = profile.join(km.where("scope = 'profile'").select("schema", "key", "field"), "key")
     agg = known.groupBy(*by, "schema").agg(F.collect_set("field").alias("fields"), F.count("field").alias("n_explained")).join(total, by)
 
     def similarity(cfg: SchemaConfig) -> Column:

@@ -20,7 +20,7 @@ def mark_document_keys(doc: DataFrame, km: DataFrame, cfg: SchemaConfig) -> Data
     cols = ["field", "score", "weak", "language", "languages", "ambiguous", "refusals"]
     d = mine.where("scope = 'doc'").select("key", *[F.col(c).alias(f"d_{c}") for c in cols], "expansions", "is_container")
     t = mine.where("scope = 'top'").select("key", *[F.col(c).alias(f"t_{c}") for c in cols])
-    out = doc.join(F.broadcast(d), "key", "left").join(F.broadcast(t), "key", "left")
+    out = doc.join(d, "key", "left").join(t, "key", "left")
     scalar = ~F.col("kind").isin("list", "object")
     is_doc = scalar & F.col("d_field").isNotNull()
     use = (

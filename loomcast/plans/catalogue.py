@@ -209,7 +209,7 @@ def q_alias_match(spark, sf_dir):
     cfg = build_schema_config({"schema_name": "account", "document_fields": {"balance": {"validator": "money", "aliases": ["account balance", "acct balance"]}}})
     rows = table(spark, sf_dir, "customer").select("c_custkey", F.lit("acct balance").alias("key"))
     km = key_match(rows, [("account", "doc", cfg.document_fields, Words(cfg), True)])
-    return rows.join(F.broadcast(km.select("key", "field")), "key").select("c_custkey", "key", "field")
+    return rows.join(km.select("key", "field"), "key").select("c_custkey", "key", "field")
 
 
 @query("""SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber, CAST(l_extendedprice AS VARCHAR) IS NOT NULL AS same FROM lineitem WHERE l_linenumber = 1""")
@@ -550,6 +550,13 @@ def q_report_summary(spark, sf_dir):
     return found.groupBy("code", "severity").agg(F.count(F.lit(1)).alias("n"))
 
 
+@query("""SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H') AS hour, event_type, count(*) AS n, count(DISTINCT user_id) AS n_users FROM events GROUP BY 1, 2""")
+def q_event_windows(spark, sf_dir):
+    """Tumbling windows over the event table (monitoring; the stream form is in ``loomcast.streaming``)."""
+    e = table(spark, sf_dir, "events").groupBy(F.window("ts", "1 hour").alias("w"), "event_type")
+    return e.agg(F.count(F.lit(1)).alias("n"), F.count_distinct("user_id").alias("n_users")).select(F.date_format("w.start", "yyyy-MM-dd HH").alias("hour"), "event_type", "n", "n_users")
+
+
 ORDER_SCHEMA = {
     "schema_name": "order", "languages": ["en"], "line_containers": ["lines"],
     "document_fields": {

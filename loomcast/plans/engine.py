@@ -158,7 +158,7 @@ def fold_rows(cells: DataFrame, km: DataFrame, records: DataFrame, cfg: SchemaCo
     doc_keys = km.where((F.col("schema") == cfg.name) & (F.col("scope") == "doc") & F.col("field").isNotNull()).select("key", "field", "score", "weak")
     types = records.where("type_key is not null").select("source_id", F.col("type_key").alias("key")).distinct().withColumn("is_type", F.lit(True))
     per_key = cells.where("key is not null").groupBy("source_id", "key").agg(F.count_distinct(F.coalesce("text", F.lit("\0"))).alias("n_values"), F.min("ord").alias("first"))
-    ranked = per_key.join(F.broadcast(doc_keys), "key", "left").withColumn(
+    ranked = per_key.join(doc_keys, "key", "left").withColumn(
         "rn", F.when(F.col("field").isNotNull(), F.row_number().over(Window.partitionBy("source_id", "field").orderBy("weak", F.desc("score"), "key")))
     )
     up = ranked.join(types, ["source_id", "key"], "left").where("is_type or (rn = 1 and n_values = 1)").select("source_id", "key", F.lit(True).alias("up"))
@@ -301,7 +301,7 @@ def process(cells: DataFrame, km: DataFrame, records: DataFrame, cfg: SchemaConf
     findings.append(finding(line_cells.where("kind = 'line_error'"), 7, F.col("line"), "error", F.col("text")))
     lk = km.where((F.col("schema") == cfg.name) & (F.col("scope") == "line")).select("key", "field", "score", "weak", "language", "languages", "ambiguous", "refusals", "expansions")
     line_cells = keep(line_cells, "line_cells")
-    on_line = line_cells.where("kind <> 'line_error'").join(F.broadcast(lk), "key", "left").withColumn("scalar", ~F.col("kind").isin("list", "object", "line_empty"))
+    on_line = line_cells.where("kind <> 'line_error'").join(lk, "key", "left").withColumn("scalar", ~F.col("kind").isin("list", "object", "line_empty"))
     line_ids = on_line.select(*RECORD, "line").distinct()
 
     # mapping, languages, number format
