@@ -335,11 +335,11 @@ def q_money_round(spark, sf_dir):
     return a.select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", (out["number"] * 100).cast("bigint").alias("cents"), (F.size(out["warnings"]) > 0).alias("warned"))
 
 
-@query("""SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber, CASE WHEN l_quantity BETWEEN 1 AND 30 THEN CAST(l_quantity AS BIGINT) END AS value, l_quantity NOT BETWEEN 1 AND 30 AS failed FROM lineitem""")
+@query("""SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber, CASE WHEN l_quantity BETWEEN 1 AND 30 THEN CAST(l_quantity AS BIGINT) ELSE -1 END AS value, l_quantity NOT BETWEEN 1 AND 30 AS failed FROM lineitem""")
 def q_number_range(spark, sf_dir):
     raw = F.col("l_quantity").cast("bigint").cast("string")
     out = V.VALIDATORS["number"](raw, F.lit("string"), {"minimum": 1, "maximum": 30}, V.Scope())
-    return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", out["number"].cast("bigint").alias("value"), out["error"].isNotNull().alias("failed"))
+    return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", F.coalesce(out["number"].cast("bigint"), F.lit(-1).cast("bigint")).alias("value"), out["error"].isNotNull().alias("failed"))
 
 
 @query("""SELECT p_partkey, p_size % 2 = 1 AS failed FROM part""")
@@ -456,15 +456,15 @@ _DOC_SQL = """SELECT o_orderkey, o_custkey, o_orderdate, lines_cents, n_lines, l
  (SELECT l_orderkey, CAST(sum(CAST(round(l_extendedprice * 100) AS BIGINT)) AS BIGINT) AS lines_cents, count(*) AS n_lines FROM lineitem GROUP BY l_orderkey) ON o_orderkey = l_orderkey"""
 
 
-@query(f"""SELECT o_orderkey, CAST(o_custkey AS VARCHAR) AS customer, CAST(o_orderdate AS DATE) AS day, claimed AS total_cents, lines_cents, coalesce(n_lines, 0) AS n_lines,
+@query(f"""SELECT o_orderkey, CAST(o_custkey AS VARCHAR) AS customer, CAST(o_orderdate AS DATE) AS day, coalesce(claimed, 0) AS total_cents, coalesce(lines_cents, 0) AS lines_cents, coalesce(n_lines, 0) AS n_lines,
  CASE WHEN n_lines IS NULL THEN 'no line items found' WHEN claimed <> lines_cents THEN 'total does not equal the sum of the line items' END AS error FROM ({_DOC_SQL})""")
 def q_flagship_documents(spark, sf_dir):
     """Documents with nested lines: amounts and dates parsed from text, totals checked exactly."""
     d = _documents(spark, sf_dir)
     total = N.parse_money(F.concat(F.lit("$"), F.expr("claimed div 100").cast("string"), F.lit("."), F.lpad(F.expr("claimed % 100").cast("string"), 2, "0")), "en")["value"]
     day = N.parse_date(F.date_format("o_orderdate", "MMMM d, yyyy"))["value"]
-    out = d.select("o_orderkey", check("identifier", F.col("o_custkey").cast("string"))["value"].alias("customer"), day.alias("day"), (total * 100).cast("bigint").alias("total_cents"),
-                   "lines_cents", F.coalesce("n_lines", F.lit(0)).cast("bigint").alias("n_lines"))
+    out = d.select("o_orderkey", check("identifier", F.col("o_custkey").cast("string"))["value"].alias("customer"), day.alias("day"), F.coalesce((total * 100).cast("bigint"), F.lit(0).cast("bigint")).alias("total_cents"),
+                   F.coalesce("lines_cents", F.lit(0).cast("bigint")).alias("lines_cents"), F.coalesce("n_lines", F.lit(0)).cast("bigint").alias("n_lines"))
     error = F.when(F.col("n_lines") == 0, "no line items found").when(F.col("total_cents") != F.col("lines_cents"), "total does not equal the sum of the line items")
     return out.withColumn("error", error)
 
