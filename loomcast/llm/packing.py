@@ -1,13 +1,20 @@
 """Lexical retrieval packing.
 
-Documents are dealt by a hash of their id into shards of about ``shard_bytes``
-of text.  A shard is tokenised, given its own BM25 inverted index over token
-ids, and packed in one task: the first document of a window is its seed; the
-index returns the seed's nearest unused documents, which fill the window
+Every document is tokenised once.  Document frequencies, the number of
+documents and their mean length are counted over the corpus, and each
+document's ``look`` nearest others are found by BM25 of all its terms (or its
+``query_terms`` rarest) over the whole corpus: the
+index is cut into blocks, every chunk of queries meets every block, and the
+blocks' best are merged.  Nothing is pruned, so the work grows with the square
+of the corpus.
+
+Documents linked to their best neighbour, directly or in a chain, form a group.
+Groups go whole to packing tasks of about
+``shard_bytes``; a group larger than that is salted by row.  In a task the first
+document of a window is its seed; its nearest unused neighbours fill the window
 greedily (one that fits is preferred among the nearest, else the nearest is cut
-and its rest seeds the next window).  Texts are shuffled once; token ids never
-are.  Windows are full, so padding is nil: what is left at the end of a shard
-is cut at powers of two.
+and its rest seeds the next window).  Windows are full, so padding is nil: what
+is left at the end of a task is cut at powers of two.
 
 Tokens: ids of the tokenizer file, then one end id.  Where the same vocabulary
 is also at hand as ranks, they are used for speed; both give equal ids (tested
@@ -22,7 +29,7 @@ from __future__ import annotations
 
 import base64
 import zlib
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -30,6 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomcast.llm import _shared
+from loomcast.llm.components import components
 
 _ENCODERS: dict[tuple, Callable] = {}
 
@@ -54,22 +62,30 @@ def encoder(path: str, ranks: str | None = None, pattern: str | None = None, spe
 
 
 class Index:
-    """BM25 postings of one shard over token ids."""
+    """BM25 postings of documents over token ids; ``corpus`` (df by id, n, mean length) where they are a part of one."""
 
-    def __init__(self, docs: list[np.ndarray], k1: float = 1.2, b: float = 0.75) -> None:
-        n = len(docs)
+    def __init__(self, docs: list[np.ndarray], k1: float = 1.2, b: float = 0.75, corpus: tuple | None = None) -> None:
         terms, counts = zip(*[np.unique(d, return_counts=True) for d in docs], strict=True)
-        who = np.repeat(np.arange(n), [len(t) for t in terms])
+        self._build(terms, counts, np.array([len(d) for d in docs], dtype=float), k1, b, corpus)
+
+    @classmethod
+    def of_bags(cls, terms: list[np.ndarray], counts: list[np.ndarray], length: np.ndarray, corpus: tuple) -> Index:
+        made = cls.__new__(cls)
+        made._build(terms, counts, length.astype(float), 1.2, 0.75, corpus)
+        return made
+
+    def _build(self, terms, counts, length: np.ndarray, k1: float, b: float, corpus: tuple | None) -> None:
+        who = np.repeat(np.arange(len(terms)), [len(t) for t in terms])
         term, tf = np.concatenate(terms), np.concatenate(counts)
-        length = np.array([len(d) for d in docs], dtype=float)
         order = np.argsort(term, kind="stable")
-        self.terms, first, df = np.unique(term[order], return_index=True, return_counts=True)
+        self.terms, first, held = np.unique(term[order], return_index=True, return_counts=True)
         self.at = np.append(first, len(term))
+        df, n, mean = (corpus[0][self.terms], *corpus[1:]) if corpus else (held, len(terms), length.mean())
         self.idf = np.log1p((n - df + 0.5) / (df + 0.5))
-        idf = np.repeat(self.idf, df)
+        idf = np.repeat(self.idf, held)
         tf, self.who = tf[order], who[order]
-        self.weight = idf * tf * (k1 + 1) / (tf + k1 * (1 - b + b * length[self.who] / length.mean()))
-        self.own, self.n = terms, n
+        self.weight = idf * tf * (k1 + 1) / (tf + k1 * (1 - b + b * length[self.who] / mean))
+        self.own, self.n = terms, len(terms)
 
     def neighbours(self, seed: int, query_terms: int) -> np.ndarray:
         """Other documents with a positive score for the seed's rarest terms, best first."""
@@ -83,6 +99,48 @@ class Index:
         return found[np.argsort(-score[found], kind="stable")]
 
 
+class Searcher:
+    """Best documents of an index; terms held by many of them are rows of one matrix."""
+
+    def __init__(self, index: Index, rows: np.ndarray, many: int = 32) -> None:
+        self.rows, self.n = rows, index.n
+        weight, held = index.weight.astype(np.float32), np.diff(index.at)
+        dense = held * many > self.n
+        self.common = index.terms[dense]
+        self.matrix = np.zeros((len(self.common), self.n), np.float32)
+        at = np.repeat(np.cumsum(dense) - 1, held)
+        inside = np.repeat(dense, held)
+        self.matrix[at[inside], index.who[inside]] = weight[inside]
+        self.rare = {int(index.terms[k]): slice(int(index.at[k]), int(index.at[k + 1])) for k in np.flatnonzero(~dense)}
+        self.who, self.weight = index.who, weight
+
+    def scores(self, queries: list[np.ndarray]) -> np.ndarray:
+        """(queries, documents): BM25 of every document for every query, a set of term ids."""
+        asked = np.zeros((len(queries), len(self.common)), np.float32)
+        for k, query in enumerate(queries):
+            asked[k] = np.isin(self.common, query, assume_unique=True)
+        out = asked @ self.matrix
+        for k, query in enumerate(queries):
+            for t in query.tolist():
+                span = self.rare.get(t)
+                if span is not None:
+                    out[k, self.who[span]] += self.weight[span]
+        return out
+
+    def best(self, row: int, acc: np.ndarray, k: int, found: np.ndarray, scores: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(rows, scores) of the ``k`` best among those found before and the other documents of the index, ties by row."""
+        n = self.n
+        floor = scores[-1] if len(scores) == k else np.partition(acc, n - k - 1)[n - k - 1] if n > k else 0
+        near = np.flatnonzero((acc >= floor) & (acc > 0))
+        ids = self.rows[near]
+        keep = ids != row
+        if not keep.any():
+            return found, scores
+        found, scores = np.append(found, ids[keep]), np.append(scores, acc[near[keep]])
+        order = np.lexsort((found, -scores))[:k]
+        return found[order], scores[order]
+
+
 def plan(lengths: list[int], neighbours: Callable[[int], np.ndarray], window: int, look: int = 16) -> list[tuple[int, int, int, int, int]]:
     """(document, start, length, sequence, offset) pieces that use up every token."""
     n = len(lengths)
@@ -144,15 +202,124 @@ _OUT = pa.schema([
 ])
 
 
-def _pack(window: int, end_id: int, query_terms: int, enc: tuple):
+def _press(values: np.ndarray) -> bytes:
+    """Whole numbers as bytes: two each where they fit, else four; the first byte says which."""
+    wide = bool(len(values)) and int(values.max()) >= 1 << 16
+    return bytes([wide]) + values.astype("<u4" if wide else "<u2").tobytes()
+
+
+def _open(data: bytes) -> np.ndarray:
+    return np.frombuffer(data, "<u4" if data[0] else "<u2", offset=1)
+
+
+def _tokenise(end_id: int, enc: tuple):
+    names = ["row", "doc_id", "tokens", "terms", "counts", "length"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encode = encoder(*enc)
+        for batch in batches:
+            tokens, terms, counts, length = [], [], [], []
+            for x in batch.column(2):
+                ids = np.append(encode(x.as_py() or ""), np.uint32(end_id))
+                t, c = np.unique(ids, return_counts=True)
+                tokens.append(_press(ids))
+                terms.append(_press(t))
+                counts.append(_press(c))
+                length.append(len(ids))
+            made = [pa.array(v, pa.binary()) for v in (tokens, terms, counts)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *made, pa.array(length, pa.int64())], names=names)
+
+    return run
+
+
+def _frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        if len(batch):
+            t, n = np.unique(np.concatenate([_open(x) for x in batch.column(0).to_pylist()]), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(t.astype(np.int64)), pa.array(n.astype(np.int64))], names=["term", "n"])
+
+
+_NEAR = "row bigint, near array<bigint>, scores array<float>"
+
+
+def _cell(df: np.ndarray, n: int, mean: float, query_terms: int | None, look: int, step: int = 1 << 12, batch: int = 256):
+    idf = np.log1p((n - df + 0.5) / (df + 0.5))
+
+    def run(block: pa.Table, chunk: pa.Table) -> pa.Table:
+        asked = chunk.column("row").to_pylist()
+        queries = [_open(data) for data in chunk.column("terms").to_pylist()]
+        if query_terms:
+            queries = [own[np.argsort(-idf[own], kind="stable")[:query_terms]] for own in queries]
+        near, scores = ([np.zeros(0, t)] * len(asked) for t in (np.int64, np.float32))
+        block = block.sort_by("row")
+        for a in range(0, len(block), step):  # one slice of the index at a time is held
+            part = block.slice(a, step)
+            terms, counts = ([_open(x) for x in part.column(c).to_pylist()] for c in ("terms", "counts"))
+            index = Index.of_bags(terms, counts, part.column("length").to_numpy(), (df, n, mean))
+            search = Searcher(index, part.column("row").to_numpy())
+            for first in range(0, len(asked), batch):
+                for q, acc in enumerate(search.scores(queries[first : first + batch]), first):
+                    near[q], scores[q] = search.best(asked[q], acc, look, near[q], scores[q])
+        return pa.table({"row": pa.array(asked, pa.int64()), "near": pa.array(near, pa.list_(pa.int64())), "scores": pa.array(scores, pa.list_(pa.float32()))})
+
+    return run
+
+
+def retrieve(bags: DataFrame, query_terms: int | None = None, look: int = 16, block_postings: int = 12_000_000, chunks: int = 4) -> DataFrame:
+    """``row, near, scores``: the ``look`` best other rows of the whole corpus for each row of ``bags`` (row, terms, counts, length)."""
+    size = bags.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("length"), F.lit(0)).alias("tokens")).head()
+    if not size.n:
+        return bags.sparkSession.createDataFrame([], _NEAR)
+    counted = bags.select("terms").mapInArrow(_frequencies, "term bigint, n bigint").groupBy("term").agg(F.sum("n").alias("n")).collect()
+    df = np.zeros(max(r.term for r in counted) + 1, np.int64)
+    for r in counted:
+        df[r.term] = r.n
+    blocks = -(-int(df.sum()) // block_postings)
+    chunks = max(blocks, chunks)
+    mine = lambda k, seed: F.pmod(F.xxhash64("row", F.lit(seed)), F.lit(k)).cast("int")
+    every = lambda k: F.explode(F.sequence(F.lit(0), F.lit(k - 1)))
+    held = bags.select("row", "terms", "counts", "length", mine(blocks, 1).alias("i"), every(chunks).alias("j"))
+    asked = bags.select("row", "terms", mine(chunks, 2).alias("j"), every(blocks).alias("i"))
+    cells = held.groupBy("i", "j").cogroup(asked.groupBy("i", "j")).applyInArrow(_cell(df, size.n, size.tokens / size.n, query_terms, look), _NEAR)
+    if blocks == 1:
+        return cells
+    best = F.slice(F.array_sort(F.flatten(F.collect_list(F.arrays_zip((F.transform("scores", lambda s: -s)).alias("s"), F.col("near").alias("r"))))), 1, look)
+    return cells.groupBy("row").agg(best.alias("b")).select("row", F.col("b.r").alias("near"), F.transform("b.s", lambda s: -s).alias("scores"))
+
+
+def deal(near: DataFrame, lengths: DataFrame, shards: int, group_tokens: int) -> DataFrame:
+    """``row, leader, shard``: chains of best neighbours go whole to a task, larger ones than ``group_tokens`` are salted by row."""
+    best = near.where(F.size("near") > 0).select(F.col("row").alias("u"), F.get("near", F.lit(0)).alias("v"))
+    led = components(best).select(F.col("node").alias("row"), F.col("comp").alias("leader"))
+    found = lengths.join(led, "row", "left").select("row", "length", F.coalesce("leader", "row").alias("leader"))
+    found, _ = _shared.materialize(found, "dealt")
+    large = found.groupBy("leader").agg(F.sum("length").alias("n")).where(F.col("n") > group_tokens)
+    large, _ = _shared.materialize(large.select("leader", F.ceil(F.col("n") / group_tokens).cast("bigint").alias("parts")).coalesce(1), "large")
+    salt = F.pmod(F.xxhash64("row"), F.coalesce("parts", F.lit(1)))
+    return found.join(large, "leader", "left").select("row", "leader", F.pmod(F.xxhash64("leader", salt), F.lit(shards)).cast("bigint").alias("shard"))
+
+
+def _relation(rows: list[int], near: list[list[int]], scores: list[list[float]]) -> Callable[[int], np.ndarray]:
+    """place -> places of the documents at hand that retrieved it or that it retrieved, best first."""
+    place = {r: k for k, r in enumerate(rows)}
+    score: list[dict] = [{} for _ in rows]
+    for k, (them, values) in enumerate(zip(near, scores, strict=True)):
+        for r, v in zip(them or (), values or (), strict=True):
+            other = place.get(r)
+            if other is not None:
+                score[k][other] = max(v, score[k].get(other, v))
+                score[other][k] = max(v, score[other].get(k, v))
+    return lambda k: np.array(sorted(score[k], key=lambda o: (-score[k][o], o)), np.int64)
+
+
+def _pack(window: int, look: int):
     def run(table: pa.Table) -> pa.Table:
         shard = table.column("shard")[0].as_py()
-        table = table.sort_by([("doc_id", "ascending"), ("text", "ascending")])
-        encode = encoder(*enc)
+        table = table.sort_by([("leader", "ascending"), ("row", "ascending")])
         ids = table.column("doc_id").to_pylist()
-        tokens = [np.append(encode(t), np.uint32(end_id)).astype("<u4") for t in (x.as_py() or "" for x in table.column("text"))]
-        index = Index(tokens)
-        made = plan([len(t) for t in tokens], lambda d: index.neighbours(d, query_terms), window)
+        tokens = [_open(x).astype("<u4") for x in table.column("tokens").to_pylist()]
+        near = _relation(*(table.column(c).to_pylist() for c in ("row", "near", "scores")))
+        made = plan([len(t) for t in tokens], near, window, look)
         rows = [
             (ids[d], s, n, zlib.crc32(tokens[d][s : s + n].tobytes()), len(tokens[d]), (shard << 32) + q, o) for d, s, n, q, o in made
         ]
@@ -172,18 +339,24 @@ def pack(
     window: int = 2048,
     end_id: int = 1,
     shard_bytes: int = 8 << 20,
-    query_terms: int = 32,
+    query_terms: int | None = None,
+    look: int = 16,
 ) -> DataFrame:
     """Pieces ``doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset``."""
     spark = docs.sparkSession
     _shared.ship(spark)
     source = docs.select(F.col(f"`{id_col}`").cast("bigint").alias("doc_id"), F.col(f"`{text}`").cast("string").alias("text"))
-    total = source.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).head()[0]
-    shards = max(1, -(-int(total) // shard_bytes))
-    dealt = source.withColumn("shard", F.pmod(F.xxhash64("doc_id"), F.lit(shards)).cast("bigint"))
+    source = source.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text")
     enc = (tokenizer, ranks, pattern, specials)
-    return dealt.groupBy("shard").applyInArrow(
-        _pack(window, end_id, query_terms, enc),
+    kept, _ = _shared.materialize(source.mapInArrow(_tokenise(end_id, enc), "row bigint, doc_id bigint, tokens binary, terms binary, counts binary, length bigint"), "tokens")
+    size = kept.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("length"), F.lit(0)).alias("tokens")).head()
+    near, _ = _shared.materialize(retrieve(kept.select("row", "terms", "counts", "length"), query_terms, look), "near")
+    # a token is held in four bytes
+    shards = max(1, -(-int(size.tokens) * 4 // shard_bytes))
+    dealt = deal(near, kept.select("row", "length"), shards, shard_bytes // 4)
+    placed = dealt.join(near, "row", "left")
+    return kept.select("row", "doc_id", "tokens").join(placed, "row").groupBy("shard").applyInArrow(
+        _pack(window, look),
         "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint",
     )
 

@@ -368,3 +368,30 @@ def test_policies_and_ablations(spark):
     assert kept("default-1") == [1, 2] and kept("strict-1") == [1] and kept("base-1") == [1, 2, 4]
     a = {r.rule: (r.n_failed, r.n_only, r.n_kept_without) for r in quality.ablations(book).collect()}
     assert a["symbol_heavy"] == (1, 1, 3) and a["few_words"] == (1, 1, 3) and a["duplicate_lines"][0] == 1
+
+
+def test_neighbours_come_from_the_whole_corpus(spark):
+    rng = random.Random(6)
+    docs = [np.append(rng.choices(range(2, 300), k=rng.randint(5, 60)), 1).astype(np.uint32) for _ in range(200)]
+    index = packing.Index(docs)
+    bags = [(i, *(bytearray(packing._press(x)) for x in np.unique(d, return_counts=True)), len(d)) for i, d in enumerate(docs)]
+    df = spark.createDataFrame(bags, "row bigint, terms binary, counts binary, length bigint")
+    for postings in (10**9, 1500):
+        got = {r.row: (r.near, r.scores) for r in packing.retrieve(df, look=5, block_postings=postings).collect()}
+        for i in range(200):
+            assert got[i][0] == index.neighbours(i, 10**6)[:5].tolist() and len(got[i][1]) == 5
+
+
+def test_best_neighbours_are_packed_together(spark):
+    import public_tokenizers as p
+
+    rng = random.Random(9)
+    topics = [["".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=9)) for _ in range(12)] for _ in range(60)]
+    rows = [(k + 60 * c, " ".join(rng.choices(topics[k], k=60)), 1) for k in range(60) for c in range(4)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, x int").repartition(3)
+    got = packing.pack(df, p.path("byte_bpe_50k.json"), p.path("byte_bpe_50k.tiktoken"), p.PATTERN, (("<|endoftext|>", 50256),), shard_bytes=20_000).collect()
+    place = collections.defaultdict(set)
+    for r in got:
+        place[r.doc_id].add(r.sequence_id >> 32)
+    with_kin = sum(any(place[i] & place[(i + 60 * c) % 240] for c in (1, 2, 3)) for i in range(240))
+    assert len(set().union(*place.values())) > 4 and with_kin == 240
