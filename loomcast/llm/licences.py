@@ -1,11 +1,13 @@
 """Licence scan: trained paragraph classifier with template confirmation.
 
-A paragraph (line) is read as lower-cased word uni- and bigrams hashed into
-``DIM`` features, averaged over the paragraph.  A logistic regression tells
+A paragraph (line) is scored over overlapping windows of ``SPAN`` words that
+cover all of it, and each family keeps its best window.  A window is read as
+lower-cased word uni- and bigrams hashed into ``DIM`` features, averaged over it.  A logistic regression tells
 licence statements from everything else (the unknown class) and is calibrated
 by Platt scaling on held-out rows; a second, multinomial one names the family.
-A prediction is confirmed when the paragraph holds most words of one of the
-family's templates.
+A prediction is confirmed when the window holds most words of one of the
+family's names, or when most of its word trigrams are in the family's text; a
+text confirms its family also where the regression named another.
 
 Training rows are at most ``max_rows`` (default 4,000): statements framed from
 the templates, and paragraphs sampled from the corpus as unknown (those with a
@@ -43,6 +45,51 @@ NAMES = {
     "All-rights-reserved": ("All rights reserved", "Proprietary and confidential"),
     "MPL-2.0": ("Mozilla Public License, version 2.0", "Mozilla Public License 2.0", "MPL-2.0"),
 }
+_GNU = (
+    "{program} is free software; you can redistribute it and/or modify it under the terms of the GNU {kind} General Public License as published by the Free Software "
+    "Foundation; either version {n} of the License, or (at your option) any later version. {program} is distributed in the hope that it will be useful, but WITHOUT ANY "
+    "WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU {kind} General Public License for more details. "
+    "You should have received a copy of the GNU {kind} General Public License along with this program. If not, see <https://www.gnu.org/licenses/>."
+)
+_CC = (
+    "This work is licensed under the Creative Commons {kind} 4.0 International License. To view a copy of this license, visit http://creativecommons.org/licenses/{short}/4.0/ "
+    "or send a letter to Creative Commons, PO Box 1866, Mountain View, CA 94042, USA."
+)
+#: family -> standard notice, header or body.
+TEXTS = {
+    "MIT": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the "
+    "Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and "
+    "to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included "
+    "in all copies or substantial portions of the Software. THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO "
+    "THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES "
+    "OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.",
+    "BSD-3-Clause": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: "
+    "1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must "
+    "reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. "
+    "3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior "
+    "written permission. THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE "
+    "IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, "
+    "INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; "
+    "OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY "
+    "OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.",
+    "Apache-2.0": "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License. You may obtain a copy of the "
+    "License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "
+    "\"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under "
+    "the License.",
+    "GPL-2.0": _GNU.format(program="This program", kind="", n="2"),
+    "GPL-3.0": _GNU.format(program="This program", kind="", n="3"),
+    "LGPL-3.0": _GNU.format(program="This library", kind="Lesser", n="3"),
+    "MPL-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at "
+    "http://mozilla.org/MPL/2.0/.",
+    "CC-BY-4.0": _CC.format(kind="Attribution", short="by"),
+    "CC-BY-NC-4.0": _CC.format(kind="Attribution-NonCommercial", short="by-nc"),
+    "CC-BY-SA-4.0": _CC.format(kind="Attribution-ShareAlike", short="by-sa"),
+    "CC0-1.0": "To the extent possible under law, the person who associated CC0 with this work has waived all copyright and related or neighboring rights to this work.",
+    "All-rights-reserved": "All rights reserved. No part of this publication may be reproduced, distributed, or transmitted in any form or by any means, including photocopying, "
+    "recording, or other electronic or mechanical methods, without the prior written permission of the publisher.",
+}
+#: words of a window, and how far the next one starts: any SPAN - STRIDE + 1 words in a row lie in one window.
+SPAN, STRIDE = 12, 6
 FAMILIES = tuple(NAMES)
 FRAMES = (
     "Licensed under {the}{name}.", "Released under {the}{name}.", "This work is licensed under {the}{name}.",
@@ -63,6 +110,20 @@ def tokens(paragraph: Column) -> Column:
     return F.filter(F.split(F.lower(paragraph), r"[^a-z0-9.+]+"), lambda w: ~w.isin("", "."))
 
 
+def _words(text: str) -> list[str]:
+    return [w for w in re.split(r"[^a-z0-9.+]+", text.lower()) if w not in ("", ".")]
+
+
+def _starts(n: int) -> range:
+    return range(0, max(n - SPAN + STRIDE, 1), STRIDE)
+
+
+def windows(words: Column) -> Column:
+    """Overlapping runs of at most ``SPAN`` words that cover an array of words."""
+    starts = F.sequence(F.lit(0), F.greatest(F.size(words) - SPAN + STRIDE - 1, F.lit(0)), F.lit(STRIDE))
+    return F.transform(starts, lambda a: F.slice(words, a + 1, SPAN))
+
+
 def features(words: Column) -> Column:
     """Hashed uni- and bigrams of an array of words."""
     one = F.transform(words, lambda w: F.pmod(F.hash(w), F.lit(DIM)))
@@ -81,6 +142,19 @@ def training_rows(seed: int = 7) -> list[tuple[str, int]]:
                 text = frame.format(name=name, the=rng.choice(("the ", "")))
                 rows.append((text, k))
                 rows.append((" ".join([*rng.sample(fill, 2), text]), k))
+    seen = set()
+    for k, family in enumerate(FAMILIES):
+        words = _words(TEXTS[family])
+        for a in _starts(len(words)):
+            text = " ".join(words[a : a + SPAN])
+            if text not in seen:  # notices share sentences: the trigrams decide there
+                seen.add(text)
+                rows.append((text, k))
+    for k, names in enumerate(NAMES.values()):
+        for name in names:
+            text = _words(FRAMES[0].format(name=name, the="the "))[:SPAN]
+            left = rng.randint(0, SPAN - len(text))
+            rows.append((" ".join([*rng.choices(fill, k=left), *text, *rng.choices(fill, k=SPAN - len(text) - left)]), k))
     for text in DECOYS:
         for _ in range(20):
             rows.append((" ".join([*rng.sample(fill, 2), text, *rng.sample(fill, 2)]), -1))
@@ -125,7 +199,7 @@ def fit(docs: DataFrame, text: str = "text", max_rows: int = 4000) -> dict:
     """Train both regressions on at most ``max_rows`` labelled paragraphs."""
     spark = docs.sparkSession
     rows = training_rows()
-    known = "|".join(["licen[cs]e", "spdx", "copyright", "warrant", "public domain", "rights reserved", "proprietary"])
+    known = "|".join(["licen[cs]e", "spdx", "copyright", "warrant", "public domain", "rights reserved", "proprietary", "permission", "redistribut", "merchantab", "liab(le|ility)"])
     sample = (
         docs.select(F.explode(F.split(F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")), "\n")).alias("p"))
         .where(~F.col("p").rlike("(?i)" + known) & ~F.col("p").rlike("(?i)(cc.by|cc0|gpl|mpl.2|bsd|apache)"))
@@ -171,21 +245,33 @@ def _template_share(words: Column, family: str) -> Column:
     return F.greatest(*shares) if len(shares) > 1 else shares[0]
 
 
+def _text_share(words: Column, family: str) -> Column:
+    """Share of the window's word trigrams that the family's text holds; 0 for windows under six words."""
+    held = _words(TEXTS[family])
+    grams = sorted({" ".join(held[i : i + 3]) for i in range(len(held) - 2)})
+    mine = F.transform(F.sequence(F.lit(1), F.greatest(F.size(words) - 2, F.lit(1))), lambda i: F.array_join(F.slice(words, i, 3), " "))
+    known = F.array_intersect(mine, F.split(F.lit("\n".join(grams)), "\n"))
+    return F.when(F.size(words) >= 6, F.size(known) / F.size(F.array_distinct(mine))).otherwise(F.lit(0.0))
+
+
 def scan(docs: DataFrame, model: dict, id_col: str = "doc_id", text: str = "text", min_probability: float = 0.5, min_share: float = 0.75) -> DataFrame:
-    """Per row: ``doc_id, n_paragraphs, licences`` (array of line, family, probability, confirmed)."""
+    """Per row: ``doc_id, n_paragraphs, licences`` (array of line, family, probability, confirmed), the best window of each family on a line."""
     lines = F.split(F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")), "\n")
     rows = docs.select(F.col(f"`{id_col}`").alias("doc_id"), lines.alias("lines"))
     gate = _vector(model["weight"])
     # one select for each step: a lambda argument is evaluated once, an inlined expression at every use
     rows = rows.select("doc_id", "lines", F.transform("lines", tokens).alias("words"))
-    rows = rows.select("*", F.transform("words", features).alias("x"))
+    parts = F.flatten(F.transform("words", lambda w, i: F.transform(windows(w), lambda x: F.struct(i.alias("line"), x.alias("words")))))
+    count = F.size(F.filter("lines", lambda p: p.rlike(r"\S"))).cast("long").alias("n_paragraphs")
+    rows = rows.select("doc_id", count, parts.alias("parts"))
+    rows = rows.select("*", F.transform("parts", lambda s: features(s["words"])).alias("x"))
     rows = rows.select("*", F.transform("x", lambda x: _mean_score(x, gate, model["bias"])).alias("z"))
     floor = float(np.log(min_probability / (1 - min_probability)))
     rows = rows.select(
         "doc_id",
-        F.size(F.filter("lines", lambda p: p.rlike(r"\S"))).cast("long").alias("n_paragraphs"),
+        "n_paragraphs",
         F.filter(
-            F.transform(F.arrays_zip("lines", "words", "x", "z"), lambda s, i: F.struct(i.alias("line"), s["words"].alias("words"), s["x"].alias("x"), s["z"].alias("z"))),
+            F.transform(F.arrays_zip("parts", "x", "z"), lambda s: F.struct(s["parts"]["line"].alias("line"), s["parts"]["words"].alias("words"), s["x"].alias("x"), s["z"].alias("z"))),
             lambda s: s["z"] >= floor,
         ).alias("hits"),
     )
@@ -193,14 +279,27 @@ def scan(docs: DataFrame, model: dict, id_col: str = "doc_id", text: str = "text
 
     def named(s: Column) -> Column:
         best = F.array_max(F.array(*[F.struct(_mean_score(s["x"], family[k], model["family_bias"][k]).alias("z"), F.lit(f).alias("family")) for k, f in enumerate(FAMILIES)]))
-        return F.struct(s["line"].alias("line"), (1 / (1 + F.exp(-s["z"]))).alias("probability"), best["family"].alias("family"), s["words"].alias("words"))
+        held = F.array_max(F.array(*[F.struct(_text_share(s["words"], f).alias("share"), F.lit(f).alias("family")) for f in FAMILIES]))
+        return F.struct(s["line"].alias("line"), (1 / (1 + F.exp(-s["z"]))).alias("probability"), best["family"].alias("family"), held.alias("held"), s["words"].alias("words"))
 
     def confirmed(s: Column) -> Column:
-        share = F.coalesce(*[F.when(s["family"] == f, _template_share(s["words"], f)) for f in FAMILIES])
-        return F.struct(s["line"].alias("line"), s["family"].alias("family"), s["probability"].alias("probability"), (share >= min_share).alias("confirmed"))
+        share = F.coalesce(*[F.when(s["family"] == f, F.greatest(_template_share(s["words"], f), _text_share(s["words"], f))) for f in FAMILIES])
+        return F.struct(
+            s["line"].alias("line"), F.when((share < min_share) & (s["held"]["share"] >= min_share), s["held"]["family"]).otherwise(s["family"]).alias("family"),
+            s["probability"].alias("probability"), ((share >= min_share) | (s["held"]["share"] >= min_share)).alias("confirmed"),
+        )
 
     rows = rows.select("doc_id", "n_paragraphs", F.transform("hits", named).alias("hits"))
-    return rows.select("doc_id", "n_paragraphs", F.transform("hits", confirmed).alias("licences"))
+    rows = rows.select("doc_id", "n_paragraphs", F.transform("hits", confirmed).alias("hits"))
+    kinds = F.array_sort(F.array_distinct(F.transform("hits", lambda s: F.struct(s["line"].alias("line"), s["family"].alias("family")))))
+    rows = rows.select("doc_id", "n_paragraphs", "hits", kinds.alias("kinds"))
+
+    def top(k: Column) -> Column:
+        mine = F.filter("hits", lambda s: (s["line"] == k["line"]) & (s["family"] == k["family"]))
+        best = F.array_max(F.transform(mine, lambda s: F.struct(s["confirmed"].alias("confirmed"), s["probability"].alias("probability"))))
+        return F.struct(k["line"].alias("line"), k["family"].alias("family"), best["probability"].alias("probability"), best["confirmed"].alias("confirmed"))
+
+    return rows.select("doc_id", "n_paragraphs", F.transform("kinds", top).alias("licences"))
 
 
 def scan_licences(docs: DataFrame, id_col: str = "doc_id", text: str = "text", max_rows: int = 4000) -> DataFrame:

@@ -339,6 +339,16 @@ def test_licences(spark):
     assert licences.scan(df.limit(0), model).count() == 0
 
 
+def test_licences_in_long_lines_and_by_their_text(spark):
+    rng = random.Random(12)
+    mit = licences.TEXTS["MIT"].split(" ")
+    rows = [(1, prose(rng, 200) + " Released under the MIT License. " + prose(rng, 200)), (2, " ".join(mit[:40])), (3, prose(rng, 50) + "\n" + licences.TEXTS["BSD-3-Clause"]),
+            (4, prose(rng, 400)), (5, prose(rng, 90) + " Licensed under CC BY-NC 4.0. " + prose(rng, 90) + " " + " ".join(mit[:30]))]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    got = {r.doc_id: {x.family for x in r.licences if x.confirmed} for r in licences.scan(df, licences.fit(df)).collect()}
+    assert got[1] == {"MIT"} and got[2] == {"MIT"} and "BSD-3-Clause" in got[3] and got[4] == set() and got[5] == {"MIT", "CC-BY-NC-4.0"}
+
+
 # ---- 10 ----------------------------------------------------------------------------------------------------
 def brute_quality(text):
     t = text or ""
