@@ -84,16 +84,22 @@ def structural_scores(cells: DataFrame, km: DataFrame, cfgs: list[SchemaConfig],
     return agg.select(*by, "schema", value.alias("similarity"))
 
 
+def first_records(records: DataFrame, status: str, text: Column, name: str, most: int = 10) -> DataFrame:
+    """(source_id, ``name``): the ``most`` least records of a status.  Spark ranks within each task first, so no source is gathered."""
+    order = Window.partitionBy("source_id").orderBy("rec", "t")
+    least = records.where(F.col("status") == status).select("source_id", "rec", text.alias("t")).where("t is not null")
+    least = least.withColumn("rn", F.row_number().over(order)).where(F.col("rn") <= most)
+    return least.groupBy("source_id").agg(F.array_sort(F.collect_list(F.struct("rec", "t"))).alias(name))
+
+
 def choose_schemas(sources: DataFrame, records: DataFrame, scores: DataFrame, cfgs: list[SchemaConfig], forced: str | None) -> DataFrame:
     """One decision per source: ``schema`` or ``errors``, with ``warnings`` and ``schema_scores``."""
     candidates = ", ".join(c.name for c in cfgs)
     first = cfgs[0].settings
-    listed = lambda cond, item: F.slice(F.array_sort(F.collect_list(F.when(cond, F.struct("rec", item.alias("t"))))), 1, 10)
-    said = records.groupBy("source_id").agg(
-        listed(F.col("status") == "unrecognised", F.concat(F.lit("record "), F.col("rec").cast("string"), F.lit(": '"), F.col("type_text"), F.lit("'"))).alias("unknown"),
-        listed(F.col("status") == "ambiguous", F.concat(F.lit("record "), F.col("rec").cast("string"), F.lit(": "), F.array_join("names", ", "))).alias("several"),
-        F.array_sort(F.collect_set("schema")).alias("named"),
-    )
+    unknown = F.concat(F.lit("record "), F.col("rec").cast("string"), F.lit(": '"), F.col("type_text"), F.lit("'"))
+    several = F.concat(F.lit("record "), F.col("rec").cast("string"), F.lit(": "), F.array_join("names", ", "))
+    named = records.groupBy("source_id").agg(F.array_sort(F.collect_set("schema")).alias("named"))
+    said = named.join(first_records(records, "unrecognised", unknown, "unknown"), "source_id", "left").join(first_records(records, "ambiguous", several, "several"), "source_id", "left")
     place = F.create_map(*[F.lit(x) for i, c in enumerate(cfgs) for x in (c.name, i)])
     ranked = scores.groupBy("source_id").agg(
         F.array_sort(F.collect_list(F.struct((-F.col("similarity")).alias("minus"), F.try_element_at(place, "schema").alias("place"), "schema", "similarity"))).alias("ranked"),

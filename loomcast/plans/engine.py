@@ -96,6 +96,12 @@ def match_plans(cfgs: list[SchemaConfig], words: dict[str, Words]) -> list[tuple
     return plans
 
 
+def languages_of(results: DataFrame) -> DataFrame:
+    """(source_id, languages_detected): each language once, so what a source holds is bounded by the configured languages."""
+    each = results.select("source_id", F.explode("languages_detected").alias("language"))
+    return each.groupBy("source_id").agg(F.array_sort(F.collect_set("language")).alias("languages_detected"))
+
+
 def transform_cells(cells: DataFrame, cfgs: list[SchemaConfig], forced: str | None, languages: Sequence[str] | None, today: datetime.date) -> Report:
     if forced and forced not in [c.name for c in cfgs]:
         raise ConfigError(f"unknown schema '{forced}'")
@@ -138,9 +144,7 @@ def transform_cells(cells: DataFrame, cfgs: list[SchemaConfig], forced: str | No
     results, findings = parts[0]
     for r, f in parts[1:]:
         results, findings = results.unionByName(r), findings.unionByName(f)
-    summary = results.groupBy("source_id").agg(
-        F.count(F.lit(1)).alias("n_records"), F.bool_and("is_valid").alias("all_valid"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("languages_detected")))).alias("languages_detected")
-    )
+    summary = results.groupBy("source_id").agg(F.count(F.lit(1)).alias("n_records"), F.bool_and("is_valid").alias("all_valid")).join(languages_of(results), "source_id", "left")
     head = sources.join(decision, "source_id", "left").join(summary, "source_id", "left")
     nothing = F.array().cast("array<string>")
     errors = F.concat("read_errors", F.coalesce("errors", nothing))

@@ -148,3 +148,19 @@ def test_stream_gives_the_rows_of_a_batch(spark, tmp_path):
     transform_stream(spark, str(tmp_path / "in"), [SALE], "sale", str(tmp_path / "out"), str(tmp_path / "ck"), today=TODAY).awaitTermination(120)
     got = spark.read.parquet(str(tmp_path / "out"))
     assert got.count() == 2 and got.where("is_valid").count() == 2
+
+
+def test_header_gathers_no_source_whole(spark):
+    from pyspark.sql import functions as F
+
+    from loomcast.operators import detect
+    from loomcast.plans import engine
+
+    records = spark.range(1, 1001).select(F.concat(F.lit("s"), F.col("id") % 1).alias("source_id"), F.col("id").cast("int").alias("rec"), F.lit("unrecognised").alias("status"))
+    got = detect.first_records(records, "unrecognised", F.concat(F.lit("r"), F.col("rec")), "unknown")
+    assert [x.rec for x in got.head().unknown] == list(range(1, 11))
+    assert "WindowGroupLimit" in got._jdf.queryExecution().executedPlan().toString()
+    results = spark.createDataFrame([("s", ["fr", "en"]), ("s", ["en"]), ("t", [])], "source_id string, languages_detected array<string>")
+    seen = engine.languages_of(results)
+    assert [tuple(r) for r in seen.collect()] == [("s", ["en", "fr"])]
+    assert "collect_list" not in seen._jdf.queryExecution().executedPlan().toString()
