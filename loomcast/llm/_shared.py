@@ -35,6 +35,22 @@ def materialize(df: DataFrame, name: str, compression: str = "zstd") -> tuple[Da
     return spark.read.schema(df.schema).parquet(path), path
 
 
+def bucketed(df: DataFrame, key: str, n: int, name: str) -> DataFrame:
+    """Store ``df`` in ``n`` buckets of ``key`` (a file each): later joins on the key do not move it again."""
+    spark = df.sparkSession
+    table_name, path = f"loomcast_{name}_{uuid.uuid4().hex}", scratch(spark, name)
+    df.repartition(n, key).write.bucketBy(n, key).option("path", path).option("compression", "zstd").saveAsTable(table_name)
+    return spark.table(table_name)
+
+
+def release(spark: SparkSession) -> None:
+    """Delete everything that operators of this session have stored; call it when their results are written."""
+    folder = f"{shared_dir(spark)}/loomcast"
+    for t in spark.catalog.listTables(pattern="loomcast_*"):
+        spark.sql(f"DROP TABLE IF EXISTS {t.name}")
+    discard(spark, folder)
+
+
 def snug(df: DataFrame, rows: int, per: int = 500_000) -> DataFrame:
     """As few partitions as ``rows`` need.  Joins and aggregates of tables that fit one partition need no exchange."""
     return df.coalesce(max(1, -(-rows // per)))

@@ -36,16 +36,14 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 _BYTE = {s: np.where(_SPACE, _U(0), _splitmix(256, 1000 * s)) for s in (0, 1)}
-_BASE = {0: _U(0xD6E8FEB86659FD93), 1: _U(0xA0761D6478BD642F)}
-_POW: dict[int, np.ndarray] = {}
+_PLACE: dict[int, np.ndarray] = {}
 
 
-def _powers(seed: int, n: int) -> np.ndarray:
-    have = _POW.get(seed)
+def _places(seed: int, n: int) -> np.ndarray:
+    """A random number for each place in a word."""
+    have = _PLACE.get(seed)
     if have is None or len(have) < n:
-        p = np.full(max(n, 1024), _BASE[seed], dtype=_U)
-        p[0] = 1
-        have = _POW[seed] = np.multiply.accumulate(p)
+        have = _PLACE[seed] = _splitmix(max(n, 1024), 5_000_000_000 + seed * 7_000_000_000)
     return have
 
 
@@ -85,7 +83,13 @@ class Words:
         lead = int(self.starts[0])
         lens = np.diff(np.append(self.starts, len(data)))
         pos = np.arange(len(data) - lead, dtype=np.int32) - np.repeat((self.starts - lead).astype(np.int32), lens)
-        value = _BYTE[seed][data[lead:]] * _powers(seed, int(lens.max()) + 1)[pos]
+        # each (byte, place) has a number of its own: sums of products would follow algebra that texts can hit
+        value = _BYTE[seed][data[lead:]]
+        inside = value != 0
+        value ^= _places(seed, int(lens.max()) + 1)[pos]
+        value *= _U(0xFF51AFD7ED558CCD)
+        value ^= value >> _U(29)
+        value *= inside
         out = np.add.reduceat(value, self.starts - lead)
         return mix(out + (self.ends - self.starts).astype(_U) * _U(0x9E3779B97F4A7C15))
 

@@ -1,7 +1,8 @@
 """Connected components by alternating large-star and small-star steps.
 
 Both steps need only, per node, the least of its neighbours: a plain aggregate
-(combined before the shuffle) and an equi-join that Spark can split on hot
+(combined before the shuffle) and an equi-join.  The aggregate of a table of
+more than one partition is stored before the join, so that Spark can split hot
 nodes.  No neighbour list is ever gathered.
 """
 
@@ -19,10 +20,12 @@ def _each(df: DataFrame, *pairs: tuple) -> DataFrame:
     return df.select(F.explode(rows).alias("e")).select("e.u", "e.v")
 
 
-def _star(edges: DataFrame, large: bool) -> DataFrame:
+def _star(edges: DataFrame, large: bool, stored: bool) -> DataFrame:
     both = _each(edges, ("u", "v"), ("v", "u"))
     near = both if large else both.where("v < u")
     least = near.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+    if stored:
+        least, _ = materialize(least, "least")
     joined = near.join(least, "u")
     out = _each(joined.where("v > u"), ("v", "m")) if large else _each(joined, ("v", "m"), ("u", "m"))
     return out.where("u <> v").distinct()
@@ -39,7 +42,8 @@ def components(edges: DataFrame) -> DataFrame:
         if stamp == before:
             break
         before = stamp
-        new, fresh = materialize(_star(_star(now, True), False), "edges")
+        big = stamp[0] > 500_000
+        new, fresh = materialize(_star(_star(now, True, big), False, big), "edges")
         discard(spark, path)
         now, path = new, fresh
     out = _each(now, ("u", "v"), ("v", "v")).distinct()

@@ -12,7 +12,9 @@ together and stop once they are past the latest arrival that still matters.
 
 Signatures are banded.  Documents with equal multisets are folded first.  In a
 band bucket no pairs are emitted: one *centre* is compared with the other
-members by the exact multiset overlap, and verified links are merged into
+members, first by short signatures (128 places of 8 bits; a pair at the
+threshold disagrees in too many of them with probability below 1e-9), then by
+the exact multiset overlap of the texts, and verified links are merged into
 components; that settles groups of copies.  Documents of buckets that still
 hold several components are compared again by an exact filter, their rarest
 tokens (no similar pair lacks a common one, and positions rule out pairs that
@@ -21,10 +23,13 @@ until no group is open.  Every pair of a bucket is thus verified, already in
 one class, or ruled out.  32 bands of 4 miss a pair at similarity 0.8 with
 probability below 5e-8.
 
+Rows are stored once in buckets of a row id; pairs travel to the texts.
+
 Defined cases: texts without words are in a class of their own; rows that
-repeat a doc_id are one document; a row with a null doc_id takes the class of
-an identified copy, else null; an empty table gives an empty result; extra
-columns are ignored.
+repeat a doc_id are one document, whose texts' classes become one; a row with a
+null doc_id takes the class of an identified similar text, else null; ties go
+to the least doc_id; very long texts are hashed whole; an empty table gives an
+empty result; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -112,7 +117,7 @@ def _sign(bands: int, per: int, k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for piece in _words.slices(batch, "text"):
-                row, value, count, rows = shingles(piece.column(1), k)
+                row, value, count, rows = shingles(piece.column(2), k)
                 sig = signatures(row, value, count, rows, bands * per)
                 size = np.bincount(row, weights=count, minlength=rows).astype(np.int64)
                 some = size > 0
@@ -126,15 +131,30 @@ def _sign(bands: int, per: int, k: int):
                     keys = mix(keys + sig.reshape(rows, bands, per)[:, :, j]) + np.arange(bands, dtype=_U)
                 flat = pa.array(keys[some].view(np.int64).ravel())
                 offsets = np.concatenate([[0], np.cumsum(some * bands)]).astype(np.int32)
+                short = mix(sig).astype(np.uint8)
                 yield pa.RecordBatch.from_arrays(
-                    [piece.column(0), pa.array(size), pa.array(prints[0]), pa.array(prints[1]),
-                     pa.ListArray.from_arrays(pa.array(offsets), flat)],
-                    names=["doc_id", "n", "fp1", "fp2", "bands"],
+                    [piece.column(0), piece.column(1), pa.array(size), pa.array(prints[0]), pa.array(prints[1]),
+                     pa.array([x.tobytes() for x in short], pa.binary()), pa.ListArray.from_arrays(pa.array(offsets), flat)],
+                    names=["rid", "doc_id", "n", "fp1", "fp2", "sig", "bands"],
                 )
 
     return run
 
 
+def _alike(least: int):
+    """Pairs whose short signatures agree in ``least`` places or more."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            a, b = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(batch.num_rows, -1) for c in (2, 3))
+            ok = pa.array((a == b).sum(axis=1) >= least)
+            yield pa.RecordBatch.from_arrays([batch.column(0).filter(ok), batch.column(1).filter(ok)], names=["u", "v"])
+
+    return run
+
+
 def _overlap(threshold: float, k: int):
     """Exact weighted Jaccard of the two texts of each pair row; keeps the linked ones."""
 
@@ -158,7 +178,7 @@ def _overlap(threshold: float, k: int):
 
 
 def _tokens(k: int):
-    """(rep, n, token) rows: the k-th occurrence of a shingle is a token of its own, so overlap is set overlap."""
+    """(rep, n, key) rows: the k-th occurrence of a shingle is a token of its own, so overlap is set overlap."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -174,82 +194,160 @@ def _tokens(k: int):
     return run
 
 
-def _prefixes(texts: DataFrame, wanted: DataFrame, threshold: float, k: int) -> DataFrame:
-    """Rows (key, rep, n, pos, used): the prefix tokens of the wanted documents, rarest first.
+class _Links:
+    """The components that verified links make so far, and the pairs already looked at.
 
-    Two sets with Jaccard similarity t or more share a token among the first
-    n - ceil(t n) + 1 of each, in any common order.  In order of rarity, what
-    many documents share comes last, so a common passage makes no candidates.
+    ``texts`` (rid, text) is stored in buckets of rid, so pairs travel to the
+    texts; ``sigs`` (rep, n, sig) rules pairs out before any text moves.
     """
-    docs = texts.join(wanted.withColumnRenamed("rep", "doc_id"), "doc_id", "left_semi")
-    tokens, _ = _shared.materialize(docs.select("doc_id", "text").mapInArrow(_tokens(k), "rep bigint, n bigint, key bigint"), "tokens")
-    common = tokens.groupBy("key").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
-    found = tokens.join(common, "key")
-    mine = Window.partitionBy("rep")
-    ranked = found.select(
-        "key", "rep", "n",
-        (F.col("n") - F.count(F.lit(1)).over(mine) + F.row_number().over(mine.orderBy("df", "key")) - 1).alias("pos"),
-    )
-    prefix = F.col("n") - F.ceil(F.col("n") * threshold - 1e-9) + 1
-    return _shared.materialize(ranked.where(F.col("pos") < prefix).select("key", "rep", "n", F.lit(False).alias("used"), "pos"), "members")[0]
 
+    def __init__(self, texts: DataFrame, sigs: DataFrame, threshold: float, k: int, least: int) -> None:
+        spark = texts.sparkSession
+        self.texts, self.sigs, self.t, self.k, self.least = texts, sigs, threshold, k, least
+        self.n_tested = self.n_links = 0
+        self.tested = spark.createDataFrame([], "u bigint, v bigint")
+        self.label = spark.createDataFrame([], "node bigint, comp bigint")
+        self.spent: list[str] = []
 
-class _Links:
-    """The components that verified links make so far, and the pairs already looked at."""
+    def keep(self, df: DataFrame, name: str) -> DataFrame:
+        out, path = _shared.materialize(df, name)
+        self.spent.append(path)
+        return out
 
-    def __init__(self, spark, texts: DataFrame, threshold: float, k: int) -> None:
-        self.texts, self.t, self.k, self.n_tested = texts, threshold, k, 0
-        self.n_links = 0
-        self.none = self.tested = spark.createDataFrame([], "u bigint, v bigint")
-        self.label = spark.createDataFrame([], "node bigint, comp bigint")
+    def drop_spent(self) -> None:
+        _shared.discard(self.texts.sparkSession, *self.spent)
+        self.spent = []
+
+    def add(self, edges: DataFrame) -> None:
+        """Merge components along ``edges`` (u, v)."""
+        self.n_links += edges.count()
+        known = self.label.where("node <> comp").select(F.col("node").alias("u"), F.col("comp").alias("v"))
+        self.label = components(_shared.snug(known.unionByName(edges), 2 * self.n_links))
 
     def labelled(self, members: DataFrame) -> DataFrame:
         named = self.label.withColumnRenamed("node", "rep")
-        return members.drop("comp").join(named, "rep", "left").withColumn("comp", F.coalesce("comp", "rep"))
+        return members.join(named, "rep", "left").withColumn("comp", F.coalesce("comp", "rep"))
+
+    def verified(self, pairs: DataFrame) -> DataFrame:
+        """The pairs (u, v) whose texts are similar.  First the short signatures, then the texts, each by its own side."""
+        n_bits = self.sigs.select(F.col("rep").alias("u"), F.col("sig").alias("sig_u"))
+        v_bits = self.sigs.select(F.col("rep").alias("v"), F.col("sig").alias("sig_v"))
+        near = pairs.join(n_bits, "u").join(v_bits, "v").select("u", "v", "sig_u", "sig_v").mapInArrow(_alike(self.least), "u bigint, v bigint")
+        near = self.keep(near, "near")
+        # centres are few and may be hot: their texts are a table of their own, so that Spark can split the join on u
+        centres = self.keep(self.texts.join(near.select(F.col("u").alias("rid")).distinct(), "rid").select(F.col("rid").alias("u"), F.col("text").alias("text_u")), "centres")
+        held = near.join(self.texts.select(F.col("rid").alias("v"), F.col("text").alias("text_v")), "v")
+        both = held.join(centres, "u").select("u", "v", "text_u", "text_v")
+        return self.keep(both.mapInArrow(_overlap(self.t, self.k), "u bigint, v bigint").distinct(), "links")
+
+    def settle(self, pairs: DataFrame) -> None:
+        """Verify the pairs that were not looked at before, and merge along the links."""
+        pairs = pairs.distinct().join(self.tested, ["u", "v"], "left_anti")
+        pairs, _ = _shared.materialize(pairs, "pairs")
+        n = pairs.count()
+        if not n:
+            return
+        self.n_tested += n
+        found = self.verified(_shared.snug(pairs, n))
+        self.tested = _shared.snug(self.tested.unionByName(pairs), self.n_tested)
+        if not found.isEmpty():
+            self.add(found)
+        self.drop_spent()
 
     def still_open(self, members: DataFrame) -> DataFrame:
         """Members of keys whose members that were no centres yet belong to several components."""
-        now = self.labelled(members)
-        spread = now.where("not used").groupBy("key").agg(F.min("comp").alias("a"), F.max("comp").alias("b")).where("a < b")
-        held, _ = _shared.materialize(now.join(spread.select("key"), "key"), "open")
+        now = self.labelled(members.drop("comp"))
+        spread = now.where("not used").groupBy("key").agg(F.min("comp").alias("a"), F.max("comp").alias("b")).where("a < b").select("key")
+        held, _ = _shared.materialize(now.join(_shared.materialize(spread, "keys")[0], "key"), "open")
         return _shared.snug(held, held.count())
 
     def one_round(self, members: DataFrame, slots: int) -> DataFrame:
-        """Compare up to ``slots`` new centres of every key with its members; returns members with ``used`` brought up to date."""
-        now = self.labelled(members)
+        """Compare up to ``slots`` new centres of every key with its members (both with their components)."""
         slot = F.pmod(F.xxhash64("rep"), F.lit(slots))
         chosen = (
-            now.where("not used").groupBy("key", slot.alias("slot")).agg(F.min(F.struct("rep", "n", "comp", "pos")).alias("c"))
+            members.where("not used").groupBy("key", slot.alias("slot")).agg(F.min(F.struct("rep", "n", "comp", "pos")).alias("c"))
             .select("key", F.col("c.rep").alias("c"), F.col("c.n").alias("c_n"), F.col("c.comp").alias("c_comp"), F.col("c.pos").alias("c_pos"))
         )
+        chosen, path = _shared.materialize(chosen, "chosen")  # stored, so that Spark can split hot keys of the join
         sizes = f"least(n, c_n) >= {self.t} * greatest(n, c_n) - 1e-9"
         places = f"least(n - pos, c_n - c_pos) >= {self.t / (1 + self.t)} * (n + c_n) - 1e-9"
-        pairs = (
-            now.join(chosen, "key")
-            .where(f"rep <> c and comp <> c_comp and {sizes} and {places}")
-            .select(F.least("rep", "c").alias("u"), F.greatest("rep", "c").alias("v"))
-            .distinct()
-            .join(self.tested, ["u", "v"], "left_anti")
-        )
-        pairs, _ = _shared.materialize(pairs, "pairs")
-        n = pairs.count()
-        self.n_tested += n
-        # a hot centre's pairs are split by Spark's skew join
-        checked = (
-            pairs.join(self.texts.select(F.col("doc_id").alias("v"), F.col("text").alias("text_v")), "v")
-            .join(self.texts.select(F.col("doc_id").alias("u"), F.col("text").alias("text_u")), "u")
-            .select("u", "v", "text_u", "text_v")
-            .mapInArrow(_overlap(self.t, self.k), "u bigint, v bigint")
-        )
-        found = _shared.materialize(checked.distinct(), "links")[0] if n else self.none
-        self.tested = _shared.snug(self.tested.unionByName(pairs), self.n_tested)
-        if n and not found.isEmpty():
-            known = self.label.where("node <> comp").select(F.col("node").alias("u"), F.col("comp").alias("v"))
-            merged = known.unionByName(found)
-            self.n_links += found.count()
-            self.label = components(_shared.snug(merged, 2 * self.n_links))
+        met = members.join(chosen, "key").where(f"rep <> c and comp <> c_comp and {sizes} and {places}")
+        self.settle(met.select(F.least("rep", "c").alias("u"), F.greatest("rep", "c").alias("v")))
         done = chosen.select("key", F.col("c").alias("rep"), F.lit(True).alias("now_used"))
-        return members.join(done, ["key", "rep"], "left").select("key", "rep", "n", F.coalesce("now_used", "used").alias("used"), "pos")
+        out = members.join(done, ["key", "rep"], "left").select("key", "rep", "n", F.coalesce("now_used", "used").alias("used"), "pos")
+        out, _ = _shared.materialize(out, "members")
+        _shared.discard(self.texts.sparkSession, path)
+        return out
+
+    def prefixes(self, wanted: DataFrame) -> DataFrame:
+        """Rows (key, rep, n, used, pos): the prefix tokens of the wanted documents, rarest first.
+
+        Two sets with Jaccard similarity t or more share a token among the first
+        n - ceil(t n) + 1 of each, in any common order.  In order of rarity, what
+        many documents share comes last, so a common passage makes no candidates.
+        """
+        docs = self.texts.join(wanted.withColumnRenamed("rep", "rid"), "rid", "left_semi")
+        tokens, path = _shared.materialize(docs.select("rid", "text").mapInArrow(_tokens(self.k), "rep bigint, n bigint, key bigint"), "tokens")
+        common, freq = _shared.materialize(tokens.groupBy("key").agg(F.count(F.lit(1)).alias("df")).where("df > 1"), "frequencies")
+        mine = Window.partitionBy("rep")
+        ranked = tokens.join(common, "key").select(
+            "key", "rep", "n",
+            (F.col("n") - F.count(F.lit(1)).over(mine) + F.row_number().over(mine.orderBy("df", "key")) - 1).alias("pos"),
+        )
+        prefix = F.col("n") - F.ceil(F.col("n") * self.t - 1e-9) + 1
+        out, _ = _shared.materialize(ranked.where(F.col("pos") < prefix).select("key", "rep", "n", F.lit(False).alias("used"), "pos"), "members")
+        _shared.discard(self.texts.sparkSession, path, freq)
+        return out
+
+
+def _agreement(threshold: float, places: int) -> int:
+    """The least number of equal places of two short signatures that a pair at the threshold misses with probability under 1e-9."""
+    from math import comb
+
+    tail, k = 0.0, 0
+    while True:
+        tail += comb(places, k) * threshold**k * (1 - threshold) ** (places - k)
+        if tail > 1e-9:
+            return k
+        k += 1
+
+
+def _classes(base: DataFrame, threshold: float, k: int, bands: int, per: int, centres: int) -> tuple[DataFrame, DataFrame]:
+    """From stored rows (rid, doc_id, text, in buckets of rid): signed rows, and per group of equal multisets (fp1, fp2) its node and component."""
+    spark = base.sparkSession
+    signed, _ = _shared.materialize(
+        base.select("rid", "doc_id", "text").mapInArrow(
+            _sign(bands, per, k), "rid bigint, doc_id bigint, n bigint, fp1 bigint, fp2 bigint, sig binary, bands array<bigint>"), "signed")
+    # copies are folded before anything else travels; a group is named after its least row
+    groups, _ = _shared.materialize(
+        signed.where("n > 0").groupBy("fp1", "fp2").agg(
+            F.min("rid").alias("rep"), F.count(F.lit(1)).alias("size"), F.first("n").alias("n"), F.first("sig").alias("sig"), F.first("bands").alias("bands")), "groups")
+    rows = groups.select("rep", "n", F.explode("bands").alias("key"))
+    held = rows.groupBy("key").agg(F.min("rep").alias("c"), F.max("rep").alias("hi")).where("c < hi").select("key", "c")
+    held, keys_at = _shared.materialize(held, "keys")
+    members, _ = _shared.materialize(rows.join(held, "key").select("key", "rep", "n", (F.col("rep") == F.col("c")).alias("used"), F.lit(0).cast("bigint").alias("pos"), "c"), "members")
+    _shared.discard(spark, keys_at)
+    state = _Links(base.select("rid", "text"), groups.select("rep", "n", "sig"), threshold, k, _agreement(threshold, bands * per))
+    # every member of a bucket against one centre: this settles groups of copies
+    state.settle(members.where("rep <> c").select(F.col("c").alias("u"), F.col("rep").alias("v")))
+    left = state.still_open(members.drop("c")).select("rep").distinct()
+    if not left.isEmpty():
+        members, slots = state.prefixes(left), centres
+        while True:
+            live = state.still_open(members)
+            if live.isEmpty():
+                break
+            members = state.one_round(live, slots)
+            slots *= 4  # few keys stay open for long: rounds stay logarithmic in their size
+    found = groups.select("fp1", "fp2", "rep", "size").join(state.label.withColumnRenamed("node", "rep"), "rep", "left")
+    return signed, found.select("fp1", "fp2", F.coalesce("comp", "rep").alias("comp"), ((F.col("size") > 1) | F.col("comp").isNotNull()).alias("shared"))
+
+
+def _stored(docs: DataFrame) -> DataFrame:
+    """``docs`` with a row id ``rid``, stored in buckets of it: texts travel once, whatever is joined to them later."""
+    spark = docs.sparkSession
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), docs.rdd.getNumPartitions())
+    return _shared.bucketed(docs.select(F.monotonically_increasing_id().alias("rid"), "*"), "rid", n, "rows")
 
 
 def near_duplicates(
@@ -263,59 +361,52 @@ def near_duplicates(
     centres: int = 8,
 ) -> DataFrame:
     """One row per input row: ``doc_id, class_id`` (least doc_id of the class), ``n_shingles``."""
-    spark = docs.sparkSession
-    _shared.ship(spark)
-    source = docs.select(F.col(f"`{id_col}`").cast("bigint").alias("doc_id"), F.col(f"`{text}`").cast("string").alias("text"))
-    signed, _ = _shared.materialize(
-        source.mapInArrow(_sign(bands, per, k), "doc_id bigint, n bigint, fp1 bigint, fp2 bigint, bands array<bigint>"), "signed"
-    )
-    held = signed.where("n > 0")
-    groups = held.groupBy("fp1", "fp2").agg(F.min("doc_id").alias("rep"))
-    # band rows come from one document of each group of equal multisets
-    own = held.where("doc_id is not null").join(groups, ["fp1", "fp2"]).where("doc_id = rep").select("rep", "n", "bands").dropDuplicates(["rep", "n"])
-    rows = own.select("rep", "n", F.explode("bands").alias("key"))
-    shared_keys = rows.groupBy("key").agg(F.min("rep").alias("lo"), F.max("rep").alias("hi")).where("lo < hi").select("key")
-    members, at = _shared.materialize(rows.join(shared_keys, "key").select("key", "rep", "n", F.lit(False).alias("used")), "members")
-    wanted = members.select(F.col("rep").alias("doc_id")).distinct()
-    texts, _ = _shared.materialize(source.join(wanted, "doc_id", "left_semi"), "texts")
-    state = _Links(spark, texts, threshold, k)
-    members = members.select("*", F.lit(0).alias("pos"))
-    # every member of a bucket against one centre: this settles groups of copies
-    members = state.one_round(members, 1)
-    left = state.still_open(members).select("rep").distinct()
-    if not left.isEmpty():
-        members = _prefixes(texts, left, threshold, k)
-        slots = centres
-        while True:
-            live = state.still_open(members)
-            if live.isEmpty():
-                break
-            members = state.one_round(live, slots)
-            slots *= 4  # few keys stay open for long: rounds stay logarithmic in their size
-    label = state.label
-    classes = groups.join(label.withColumnRenamed("node", "rep"), "rep", "left").select("fp1", "fp2", F.coalesce("comp", "rep").alias("class_id"))
-    full = held.join(classes, ["fp1", "fp2"], "left")
-    out = full.select("doc_id", "class_id", F.col("n").alias("n_shingles"))
-    return out.unionByName(signed.where("n = 0").select("doc_id", F.col("doc_id").alias("class_id"), F.col("n").alias("n_shingles")))
+    _shared.ship(docs.sparkSession)
+    base = _stored(docs.select(F.col(f"`{id_col}`").cast("bigint").alias("doc_id"), F.col(f"`{text}`").cast("string").alias("text")))
+    signed, found = _classes(base, threshold, k, bands, per, centres)
+    found, _ = _shared.materialize(found.where("shared").drop("shared"), "classes")
+    own = signed.select("doc_id", "n", "fp1", "fp2")
+    shared = own.where("n > 0").join(found, ["fp1", "fp2"]).where("doc_id is not null")
+    # a doc_id with several texts is one document: its texts' components are one class
+    twice, _ = _shared.materialize(own.where("doc_id is not null").groupBy("doc_id").agg(F.count(F.lit(1)).alias("rows")).where("rows > 1").select("doc_id"), "twice")
+    least, _ = _shared.materialize(shared.groupBy("comp").agg(F.min("doc_id").alias("class_id")), "least")
+    if not twice.isEmpty():
+        doc, part = F.xxhash64(F.lit("doc"), "doc_id"), F.xxhash64(F.lit("part"), "comp")
+        meets = shared.join(twice, "doc_id", "left_semi").select(doc.alias("u"), part.alias("v")).distinct()
+        joined = components(_shared.materialize(meets, "meets")[0]).withColumnRenamed("comp", "joint")
+        named = least.withColumn("node", part).join(joined, "node", "left")
+        lowest = named.where("joint is not null").groupBy("joint").agg(F.min("class_id").alias("lowest"))
+        least = named.join(lowest, "joint", "left").select("comp", F.coalesce("lowest", "class_id").alias("class_id"))
+        least, _ = _shared.materialize(least, "least")
+    named, _ = _shared.materialize(found.join(least, "comp").select("fp1", "fp2", "class_id"), "named")
+    full = own.where("n > 0").join(named, ["fp1", "fp2"], "left").select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), F.col("n").alias("n_shingles"))
+    out = full.unionByName(own.where("n = 0").select("doc_id", F.col("doc_id").alias("class_id"), F.col("n").alias("n_shingles")))
+    if twice.isEmpty():
+        return out
+    # rows of a repeated doc_id that have no component of their own take the class of the others
+    some = out.join(twice, "doc_id", "left_semi").groupBy("doc_id").agg(F.min("class_id").alias("joint"))
+    some, _ = _shared.materialize(some, "joint")
+    return out.join(some, "doc_id", "left").select("doc_id", F.coalesce("joint", "class_id").alias("class_id"), "n_shingles")
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of ``docs``, unchanged, without the other members of each class.
+    """One row, unchanged, of each group of similar texts: that of the least doc_id (null last; then the least text hash).
 
-    Of rows that repeat a doc_id the first by text stays; rows without a doc_id stay.
+    Rows are judged by their own texts, so that no text goes without a similar
+    one staying, also where a doc_id holds several; rows without words stay.
     """
-    classes, _ = _shared.materialize(near_duplicates(docs, id_col, text), "classes")
-    gone = classes.where("doc_id is not null and doc_id <> class_id").select("doc_id").distinct()
-    twice = classes.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id")
-    key = F.col(f"`{id_col}`").cast("bigint")
-    name = "__id"
-    rest = docs.withColumn(name, key).join(gone.withColumnRenamed("doc_id", name), name, "left_anti")
-    if not twice.isEmpty():
-        first = Window.partitionBy(name).orderBy(F.col(f"`{text}`"))
-        again = twice.withColumnRenamed("doc_id", name)
-        some = rest.join(again, name, "left_semi").withColumn("__n", F.row_number().over(first)).where("__n = 1").drop("__n")
-        rest = rest.join(again, name, "left_anti").unionByName(some)
-    return rest.select(*[F.col(f"`{c}`") for c in docs.columns])
+    _shared.ship(docs.sparkSession)
+    inner = [F.col(f"`{c}`").alias(f"c{k}") for k, c in enumerate(docs.columns)]
+    base = _stored(docs.select(F.struct(*inner).alias("row")))
+    own = lambda name, kind: F.col(f"row.c{docs.columns.index(name)}").cast(kind)
+    signed, found = _classes(base.select("rid", own(id_col, "bigint").alias("doc_id"), own(text, "string").alias("text")), 0.8, 5, 32, 4, 8)
+    shared, _ = _shared.materialize(found.where("shared").drop("shared"), "classes")
+    rows, _ = _shared.materialize(signed.where("n > 0").select("rid", "doc_id", "fp1", "fp2").join(shared, ["fp1", "fp2"]).select("rid", "doc_id", "fp1", "comp"), "shared")
+    rank = F.struct(F.col("doc_id").isNull().alias("no"), "doc_id", "fp1", "rid")
+    first, _ = _shared.materialize(rows.groupBy("comp").agg(F.min(rank).alias("f")).select("comp", F.col("f.rid").alias("first")), "first")
+    gone, _ = _shared.materialize(rows.join(first, "comp").where("rid <> first").select("rid"), "gone")
+    rest = base.join(gone.hint("shuffle_hash"), "rid", "left_anti")
+    return rest.select(*[F.col(f"row.c{k}").alias(c) for k, c in enumerate(docs.columns)])
 
 
 def query(spark, sf_dir):

@@ -283,6 +283,26 @@ def test_one_of_each_class_stays(docs):
     assert sorted(i for i in ids if i is not None) == sorted(want) and None in ids
 
 
+def test_an_id_with_several_texts(spark):
+    rng = random.Random(21)
+    a, b = prose(rng, 60), prose(rng, 60)
+    longer = lambda t: t + " more"
+    for rows, kept in (
+        ([(1, a), (3, a), (3, b), (4, b)], [(1, a), (3, b)]),
+        ([(3, a), (3, b), (4, longer(b)), (5, longer(a))], [(3, a), (3, b)]),
+        ([(None, a), (7, longer(a)), (None, b), (None, b), (2, ""), (7, " ")], [(2, ""), (7, " "), (7, longer(a)), (None, b)]),
+    ):
+        df = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(2)
+        assert sorted(((r.doc_id, r.class_id) for r in neardup.near_duplicates(df).collect()), key=repr) == brute_classes(rows)
+        assert sorted(map(tuple, neardup.keep_one(df).collect()), key=repr) == sorted(kept, key=repr)
+
+
+def test_words_that_fool_polynomials_differ():
+    morse = "".join("ab"[bin(i).count("1") % 2] for i in range(1024))
+    h = [_words.Words(pa.array([morse, morse.translate(str.maketrans("ab", "ba"))])).hashes(s) for s in (0, 1)]
+    assert h[0][0] != h[0][1] and h[1][0] != h[1][1]
+
+
 def test_signatures_estimate_weighted_jaccard():
     rng = random.Random(4)
     a = {i: rng.randint(1, 9) for i in range(60)}
