@@ -1,28 +1,34 @@
 """Lexical retrieval packing.
 
 Every document is tokenised once.  Document frequencies, the number of
-documents and their mean length are counted over the corpus, and each
-document's ``look`` nearest others are found by BM25 of all its terms (or its
-``query_terms`` rarest) over the whole corpus: the
-index is cut into blocks, every chunk of queries meets every block, and the
-blocks' best are merged.  Nothing is pruned, so the work grows with the square
-of the corpus.
-
-Documents linked to their best neighbour, directly or in a chain, form a group.
-Groups go whole to packing tasks of about
-``shard_bytes``; a group larger than that is salted by row.  In a task the first
-document of a window is its seed; its nearest unused neighbours fill the window
-greedily (one that fits is preferred among the nearest, else the nearest is cut
-and its rest seeds the next window).  Windows are full, so padding is nil: what
-is left at the end of a task is cut at powers of two.
+documents and their mean length are counted over the whole corpus.  Documents
+are then dealt in *lexical order*: by the tokens that a weighted min-hash picks
+from them (rarer tokens are picked more often), so that copies and documents on
+one subject come to lie side by side.  A run of ``shard_bytes`` in that order
+is a shard with a BM25 index of its own, under the statistics of the corpus.
+
+In a shard the first unused document is the seed of a window.  All its terms
+are looked up, and its unused neighbours fill the window greedily, best first;
+where a document crosses the end of the window, its rest seeds the next one.
+Where no unused neighbour shares a term, the next unused document is taken.
+Windows are full, so padding is nil: what is left at the end of a task is cut
+at powers of two.
+
+Within a shard retrieval is exact (no term, posting or neighbour is left out);
+neighbours in other shards are not seen.  The README states the share of true
+nearest neighbours that lie in a document's shard.  Shards are cut by bytes and
+a hot lexical key runs over several, so the work grows with the corpus and a
+task's memory does not.
 
 Tokens: ids of the tokenizer file, then one end id.  Where the same vocabulary
 is also at hand as ranks, they are used for speed; both give equal ids (tested
-over all code points).
+over all code points), and a text that the fast encoder refuses goes to the
+tokenizer file.  The files are read on the driver and sent to the executors.
 
 Defined cases: a null text is empty and yields one end id; rows that repeat a
-doc_id are packed each as its own document; an empty table gives no pieces;
-extra columns are ignored.
+doc_id are packed each as its own document; null ids stay null; ties are in
+lexical order; very long texts are tokenised whole and cut over windows; an
+empty table gives no pieces; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -30,6 +36,7 @@ from __future__ import annotations
 import base64
 import zlib
 from collections.abc import Callable, Iterator
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -37,145 +44,106 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomcast.llm import _shared
-from loomcast.llm.components import components
+from loomcast.llm._words import mix
 
-_ENCODERS: dict[tuple, Callable] = {}
+_U = np.uint64
+_ENCODERS: dict[int, Callable] = {}
 
 
-def encoder(path: str, ranks: str | None = None, pattern: str | None = None, specials: tuple = ()) -> Callable[[str], np.ndarray]:
-    """text -> uint32 token ids."""
-    key = (path, ranks)
-    if key not in _ENCODERS:
-        if ranks:
-            import tiktoken
+def encoder(vocabulary: bytes, ranks: bytes | None = None, pattern: str | None = None, specials: tuple = ()) -> Callable[[str], np.ndarray]:
+    """text -> uint32 token ids, from the contents of a tokenizer file and, for speed, of the same vocabulary as ranks."""
+    key = hash((vocabulary, ranks))
+    if key in _ENCODERS:
+        return _ENCODERS[key]
+    slow: list = []
 
-            with open(ranks, "rb") as f:
-                table = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-            e = tiktoken.Encoding("shard", pat_str=pattern, mergeable_ranks=table, special_tokens=dict(specials))
-            _ENCODERS[key] = lambda text: np.asarray(e.encode(text, allowed_special="all"), dtype=np.uint32)
-        else:
+    def by_file(text: str) -> np.ndarray:
+        if not slow:
             from tokenizers import Tokenizer
 
-            t = Tokenizer.from_file(path)
-            _ENCODERS[key] = lambda text: np.asarray(t.encode(text, add_special_tokens=False).ids, dtype=np.uint32)
-    return _ENCODERS[key]
+            slow.append(Tokenizer.from_str(vocabulary.decode()))
+        return np.asarray(slow[0].encode(text, add_special_tokens=False).ids, dtype=np.uint32)
 
+    made = by_file
+    if ranks:
+        import tiktoken
 
-class Index:
-    """BM25 postings of documents over token ids; ``corpus`` (df by id, n, mean length) where they are a part of one."""
+        table = {base64.b64decode(a): int(b) for a, b in map(bytes.split, ranks.splitlines())}
+        fast = tiktoken.Encoding("packing", pat_str=pattern, mergeable_ranks=table, special_tokens=dict(specials))
+
+        def made(text: str) -> np.ndarray:
+            try:
+                return np.asarray(fast.encode(text, allowed_special="all"), dtype=np.uint32)
+            except (KeyboardInterrupt, SystemExit):
+                raise
+            except BaseException:  # the pattern's backtracking limit, or a panic of the native code
+                return by_file(text)
 
-    def __init__(self, docs: list[np.ndarray], k1: float = 1.2, b: float = 0.75, corpus: tuple | None = None) -> None:
-        terms, counts = zip(*[np.unique(d, return_counts=True) for d in docs], strict=True)
-        self._build(terms, counts, np.array([len(d) for d in docs], dtype=float), k1, b, corpus)
+    _ENCODERS[key] = made
+    return made
 
-    @classmethod
-    def of_bags(cls, terms: list[np.ndarray], counts: list[np.ndarray], length: np.ndarray, corpus: tuple) -> Index:
-        made = cls.__new__(cls)
-        made._build(terms, counts, length.astype(float), 1.2, 0.75, corpus)
-        return made
 
-    def _build(self, terms, counts, length: np.ndarray, k1: float, b: float, corpus: tuple | None) -> None:
-        who = np.repeat(np.arange(len(terms)), [len(t) for t in terms])
-        term, tf = np.concatenate(terms), np.concatenate(counts)
+class Index:
+    """BM25 postings of documents over token ids, under the statistics of a corpus (df by id, n, mean length)."""
+
+    def __init__(self, docs: list[np.ndarray], corpus: tuple | None = None, k1: float = 1.2, b: float = 0.75) -> None:
+        self.own, counts = zip(*[np.unique(d, return_counts=True) for d in docs], strict=True)
+        length = np.array([len(d) for d in docs], np.float32)
+        held = np.array([len(t) for t in self.own])
+        who, term, tf = np.repeat(np.arange(len(docs), dtype=np.int32), held), np.concatenate(self.own), np.concatenate(counts)
         order = np.argsort(term, kind="stable")
-        self.terms, first, held = np.unique(term[order], return_index=True, return_counts=True)
+        self.terms, first, here = np.unique(term[order], return_index=True, return_counts=True)
         self.at = np.append(first, len(term))
-        df, n, mean = (corpus[0][self.terms], *corpus[1:]) if corpus else (held, len(terms), length.mean())
-        self.idf = np.log1p((n - df + 0.5) / (df + 0.5))
-        idf = np.repeat(self.idf, held)
-        tf, self.who = tf[order], who[order]
-        self.weight = idf * tf * (k1 + 1) / (tf + k1 * (1 - b + b * length[self.who] / mean))
-        self.own, self.n = terms, len(terms)
-
-    def neighbours(self, seed: int, query_terms: int) -> np.ndarray:
-        """Other documents with a positive score for the seed's rarest terms, best first."""
-        mine = np.searchsorted(self.terms, self.own[seed])
-        mine = mine[np.argsort(-self.idf[mine], kind="stable")[:query_terms]]
-        spans = [slice(self.at[k], self.at[k + 1]) for k in mine]
+        df, n, mean = (corpus[0][self.terms], *corpus[1:]) if corpus else (here, len(docs), length.mean())
+        idf = np.repeat(np.log1p((n - df + 0.5) / (df + 0.5)).astype(np.float32), here)
+        tf, self.who = tf[order].astype(np.float32), who[order]
+        self.weight = idf * tf * np.float32(k1 + 1) / (tf + np.float32(k1) * (np.float32(1 - b) + np.float32(b / mean) * length[self.who]))
+        self.n = len(docs)
+
+    def scores(self, seed: int) -> np.ndarray:
+        """The BM25 score of every document for all terms of the seed."""
+        spans = [slice(self.at[k], self.at[k + 1]) for k in np.searchsorted(self.terms, self.own[seed])]
         who = np.concatenate([self.who[s] for s in spans])
-        score = np.bincount(who, weights=np.concatenate([self.weight[s] for s in spans]), minlength=self.n)
+        return np.bincount(who, weights=np.concatenate([self.weight[s] for s in spans]), minlength=self.n)
+
+    def neighbours(self, seed: int) -> np.ndarray:
+        """Other documents with a positive score, best first."""
+        score = self.scores(seed)
         score[seed] = 0
         found = np.flatnonzero(score)
         return found[np.argsort(-score[found], kind="stable")]
 
 
-class Searcher:
-    """Best documents of an index; terms held by many of them are rows of one matrix."""
-
-    def __init__(self, index: Index, rows: np.ndarray, many: int = 32) -> None:
-        self.rows, self.n = rows, index.n
-        weight, held = index.weight.astype(np.float32), np.diff(index.at)
-        dense = held * many > self.n
-        self.common = index.terms[dense]
-        self.matrix = np.zeros((len(self.common), self.n), np.float32)
-        at = np.repeat(np.cumsum(dense) - 1, held)
-        inside = np.repeat(dense, held)
-        self.matrix[at[inside], index.who[inside]] = weight[inside]
-        self.rare = {int(index.terms[k]): slice(int(index.at[k]), int(index.at[k + 1])) for k in np.flatnonzero(~dense)}
-        self.who, self.weight = index.who, weight
-
-    def scores(self, queries: list[np.ndarray]) -> np.ndarray:
-        """(queries, documents): BM25 of every document for every query, a set of term ids."""
-        asked = np.zeros((len(queries), len(self.common)), np.float32)
-        for k, query in enumerate(queries):
-            asked[k] = np.isin(self.common, query, assume_unique=True)
-        out = asked @ self.matrix
-        for k, query in enumerate(queries):
-            for t in query.tolist():
-                span = self.rare.get(t)
-                if span is not None:
-                    out[k, self.who[span]] += self.weight[span]
-        return out
-
-    def best(self, row: int, acc: np.ndarray, k: int, found: np.ndarray, scores: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(rows, scores) of the ``k`` best among those found before and the other documents of the index, ties by row."""
-        n = self.n
-        floor = scores[-1] if len(scores) == k else np.partition(acc, n - k - 1)[n - k - 1] if n > k else 0
-        near = np.flatnonzero((acc >= floor) & (acc > 0))
-        ids = self.rows[near]
-        keep = ids != row
-        if not keep.any():
-            return found, scores
-        found, scores = np.append(found, ids[keep]), np.append(scores, acc[near[keep]])
-        order = np.lexsort((found, -scores))[:k]
-        return found[order], scores[order]
-
-
-def plan(lengths: list[int], neighbours: Callable[[int], np.ndarray], window: int, look: int = 16) -> list[tuple[int, int, int, int, int]]:
+def plan(lengths: list[int], scores: Callable[[int], np.ndarray], window: int) -> list[tuple[int, int, int, int, int]]:
     """(document, start, length, sequence, offset) pieces that use up every token."""
     n = len(lengths)
     used = np.zeros(n, dtype=bool)
     pieces: list[tuple[int, int, int, int, int]] = []
-    seq = fill = cursor = 0
-    carry: tuple[int, int] | None = None  # document and tokens of it already placed
-    near: np.ndarray = np.zeros(0, np.int64)
+    seq = fill = cursor = start = 0
+    doc = -1  # the document at hand, ``start`` tokens of which are placed
+    score = np.zeros(n)
     while True:
-        if carry:
-            doc, start = carry
-        else:
-            doc = -1
+        if doc < 0:
             if fill:
-                near = near[~used[near]]
-                head = near[:look]
-                fits = [d for d in head.tolist() if lengths[d] <= window - fill]
-                doc = fits[0] if fits else int(head[0]) if len(head) else -1
+                score[used] = 0
+                best = int(score.argmax())
+                doc = best if score[best] > 0 else -1
             if doc < 0:
                 while cursor < n and used[cursor]:
                     cursor += 1
                 if cursor == n:
-                    break
+                    return _tail(pieces, seq, fill, window)
                 doc = cursor
-            used[doc] = True
-            start = 0
-        if not fill:
-            near = neighbours(doc)
+            used[doc], start = True, 0
+        if not fill and lengths[doc] - start < window:
+            score = scores(doc)
         take = min(lengths[doc] - start, window - fill)
         pieces.append((doc, start, take, seq, fill))
-        carry = (doc, start + take) if start + take < lengths[doc] else None
-        fill += take
+        start, fill = start + take, fill + take
+        if start == lengths[doc]:
+            doc = -1
         if fill == window:
             seq, fill = seq + 1, 0
-    return _tail(pieces, seq, fill, window)
 
 
 def _tail(pieces: list, seq: int, fill: int, window: int) -> list:
@@ -212,22 +180,30 @@ def _open(data: bytes) -> np.ndarray:
     return np.frombuffer(data, "<u4" if data[0] else "<u2", offset=1)
 
 
-def _tokenise(end_id: int, enc: tuple):
-    names = ["row", "doc_id", "tokens", "terms", "counts", "length"]
+def lexical_key(terms: np.ndarray, depth: int) -> list[int]:
+    """``depth`` tokens of a document by weighted min-hash: two documents agree in one with probability equal to
+    their weighted Jaccard similarity.  Ids of byte-pair vocabularies run from frequent to rare, hence the weights."""
+    cost = 1 / np.log1p(terms + 1.0) ** 2
+    out = []
+    for k in range(depth):
+        u = ((mix(terms.astype(_U) * _U(0x9E3779B97F4A7C15) + _U(k + 1)) >> _U(11)).astype(float) + 1) * 2.0**-53
+        out.append(int(terms[np.argmin(-np.log(u) * cost)]))
+    return out
 
+
+def _tokenise(end_id: int, vocabulary, depth: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(*enc)
+        encode = encoder(*vocabulary.value)
         for batch in batches:
-            tokens, terms, counts, length = [], [], [], []
-            for x in batch.column(2):
+            tokens, length, keys = [], [], []
+            for x in batch.column(1):
                 ids = np.append(encode(x.as_py() or ""), np.uint32(end_id))
-                t, c = np.unique(ids, return_counts=True)
                 tokens.append(_press(ids))
-                terms.append(_press(t))
-                counts.append(_press(c))
                 length.append(len(ids))
-            made = [pa.array(v, pa.binary()) for v in (tokens, terms, counts)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *made, pa.array(length, pa.int64())], names=names)
+                keys.append(lexical_key(np.unique(ids), depth))
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), pa.array(tokens, pa.binary()), pa.array(length, pa.int64()), pa.array(keys, pa.list_(pa.int32()))],
+                names=["doc_id", "tokens", "length", "keys"])
 
     return run
 
@@ -235,97 +211,52 @@ def _tokenise(end_id: int, enc: tuple):
 def _frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         if len(batch):
-            t, n = np.unique(np.concatenate([_open(x) for x in batch.column(0).to_pylist()]), return_counts=True)
+            t, n = np.unique(np.concatenate([np.unique(_open(x)) for x in batch.column(0).to_pylist()]), return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(t.astype(np.int64)), pa.array(n.astype(np.int64))], names=["term", "n"])
 
 
-_NEAR = "row bigint, near array<bigint>, scores array<float>"
+def _pack(window: int, shard_bytes: int, statistics):
+    """Cut a partition in lexical order into shards and pack each; one shard is held at a time."""
 
+    def shard(ids: list, tokens: list[np.ndarray], first: int) -> tuple[pa.RecordBatch, int]:
+        made = plan([len(t) for t in tokens], Index(tokens, statistics.value).scores, window)
+        rows = [(ids[d], s, n, zlib.crc32(tokens[d][s : s + n].astype("<u4").tobytes()), len(tokens[d]), first + q, o) for d, s, n, q, o in made]
+        out = pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(zip(*rows, strict=True), _OUT, strict=True)], schema=_OUT)
+        return out, made[-1][3] + 1
 
-def _cell(df: np.ndarray, n: int, mean: float, query_terms: int | None, look: int, step: int = 1 << 12, batch: int = 256):
-    idf = np.log1p((n - df + 0.5) / (df + 0.5))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
 
-    def run(block: pa.Table, chunk: pa.Table) -> pa.Table:
-        asked = chunk.column("row").to_pylist()
-        queries = [_open(data) for data in chunk.column("terms").to_pylist()]
-        if query_terms:
-            queries = [own[np.argsort(-idf[own], kind="stable")[:query_terms]] for own in queries]
-        near, scores = ([np.zeros(0, t)] * len(asked) for t in (np.int64, np.float32))
-        block = block.sort_by("row")
-        for a in range(0, len(block), step):  # one slice of the index at a time is held
-            part = block.slice(a, step)
-            terms, counts = ([_open(x) for x in part.column(c).to_pylist()] for c in ("terms", "counts"))
-            index = Index.of_bags(terms, counts, part.column("length").to_numpy(), (df, n, mean))
-            search = Searcher(index, part.column("row").to_numpy())
-            for first in range(0, len(asked), batch):
-                for q, acc in enumerate(search.scores(queries[first : first + batch]), first):
-                    near[q], scores[q] = search.best(asked[q], acc, look, near[q], scores[q])
-        return pa.table({"row": pa.array(asked, pa.int64()), "near": pa.array(near, pa.list_(pa.int64())), "scores": pa.array(scores, pa.list_(pa.float32()))})
+        first = TaskContext.get().partitionId() << 40
+        ids, tokens, size = [], [], 0
+        for batch in batches:
+            for i, x in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                ids.append(i)
+                tokens.append(_open(x))
+                size += 4 * len(tokens[-1])
+                if size >= shard_bytes:
+                    out, n = shard(ids, tokens, first)
+                    yield out
+                    ids, tokens, size, first = [], [], 0, first + n
+        if ids:
+            yield shard(ids, tokens, first)[0]
 
     return run
 
 
-def retrieve(bags: DataFrame, query_terms: int | None = None, look: int = 16, block_postings: int = 12_000_000, chunks: int = 4) -> DataFrame:
-    """``row, near, scores``: the ``look`` best other rows of the whole corpus for each row of ``bags`` (row, terms, counts, length)."""
-    size = bags.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("length"), F.lit(0)).alias("tokens")).head()
-    if not size.n:
-        return bags.sparkSession.createDataFrame([], _NEAR)
-    counted = bags.select("terms").mapInArrow(_frequencies, "term bigint, n bigint").groupBy("term").agg(F.sum("n").alias("n")).collect()
-    df = np.zeros(max(r.term for r in counted) + 1, np.int64)
+def tokenised(docs: DataFrame, vocabulary, end_id: int, depth: int, id_col: str, text: str) -> DataFrame:
+    source = docs.select(F.col(f"`{id_col}`").cast("bigint").alias("doc_id"), F.col(f"`{text}`").cast("string").alias("text"))
+    return source.mapInArrow(_tokenise(end_id, vocabulary, depth), "doc_id bigint, tokens binary, length bigint, keys array<int>")
+
+
+def corpus_statistics(kept: DataFrame) -> tuple[np.ndarray, int, float, int]:
+    """(df by token id, documents, mean length, tokens).  What comes back is a number for each id of the vocabulary."""
+    size = kept.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("length"), F.lit(0)).alias("tokens")).head()
+    counted = kept.select("tokens").mapInArrow(_frequencies, "term bigint, n bigint").groupBy("term").agg(F.sum("n").alias("n")).collect()
+    df = np.zeros(max((r.term for r in counted), default=0) + 1, np.int64)
     for r in counted:
         df[r.term] = r.n
-    blocks = -(-int(df.sum()) // block_postings)
-    chunks = max(blocks, chunks)
-    mine = lambda k, seed: F.pmod(F.xxhash64("row", F.lit(seed)), F.lit(k)).cast("int")
-    every = lambda k: F.explode(F.sequence(F.lit(0), F.lit(k - 1)))
-    held = bags.select("row", "terms", "counts", "length", mine(blocks, 1).alias("i"), every(chunks).alias("j"))
-    asked = bags.select("row", "terms", mine(chunks, 2).alias("j"), every(blocks).alias("i"))
-    cells = held.groupBy("i", "j").cogroup(asked.groupBy("i", "j")).applyInArrow(_cell(df, size.n, size.tokens / size.n, query_terms, look), _NEAR)
-    if blocks == 1:
-        return cells
-    best = F.slice(F.array_sort(F.flatten(F.collect_list(F.arrays_zip((F.transform("scores", lambda s: -s)).alias("s"), F.col("near").alias("r"))))), 1, look)
-    return cells.groupBy("row").agg(best.alias("b")).select("row", F.col("b.r").alias("near"), F.transform("b.s", lambda s: -s).alias("scores"))
-
-
-def deal(near: DataFrame, lengths: DataFrame, shards: int, group_tokens: int) -> DataFrame:
-    """``row, leader, shard``: chains of best neighbours go whole to a task, larger ones than ``group_tokens`` are salted by row."""
-    best = near.where(F.size("near") > 0).select(F.col("row").alias("u"), F.get("near", F.lit(0)).alias("v"))
-    led = components(best).select(F.col("node").alias("row"), F.col("comp").alias("leader"))
-    found = lengths.join(led, "row", "left").select("row", "length", F.coalesce("leader", "row").alias("leader"))
-    found, _ = _shared.materialize(found, "dealt")
-    large = found.groupBy("leader").agg(F.sum("length").alias("n")).where(F.col("n") > group_tokens)
-    large, _ = _shared.materialize(large.select("leader", F.ceil(F.col("n") / group_tokens).cast("bigint").alias("parts")).coalesce(1), "large")
-    salt = F.pmod(F.xxhash64("row"), F.coalesce("parts", F.lit(1)))
-    return found.join(large, "leader", "left").select("row", "leader", F.pmod(F.xxhash64("leader", salt), F.lit(shards)).cast("bigint").alias("shard"))
-
-
-def _relation(rows: list[int], near: list[list[int]], scores: list[list[float]]) -> Callable[[int], np.ndarray]:
-    """place -> places of the documents at hand that retrieved it or that it retrieved, best first."""
-    place = {r: k for k, r in enumerate(rows)}
-    score: list[dict] = [{} for _ in rows]
-    for k, (them, values) in enumerate(zip(near, scores, strict=True)):
-        for r, v in zip(them or (), values or (), strict=True):
-            other = place.get(r)
-            if other is not None:
-                score[k][other] = max(v, score[k].get(other, v))
-                score[other][k] = max(v, score[other].get(k, v))
-    return lambda k: np.array(sorted(score[k], key=lambda o: (-score[k][o], o)), np.int64)
-
-
-def _pack(window: int, look: int):
-    def run(table: pa.Table) -> pa.Table:
-        shard = table.column("shard")[0].as_py()
-        table = table.sort_by([("leader", "ascending"), ("row", "ascending")])
-        ids = table.column("doc_id").to_pylist()
-        tokens = [_open(x).astype("<u4") for x in table.column("tokens").to_pylist()]
-        near = _relation(*(table.column(c).to_pylist() for c in ("row", "near", "scores")))
-        made = plan([len(t) for t in tokens], near, window, look)
-        rows = [
-            (ids[d], s, n, zlib.crc32(tokens[d][s : s + n].tobytes()), len(tokens[d]), (shard << 32) + q, o) for d, s, n, q, o in made
-        ]
-        return pa.table([pa.array(c, type=f.type) for c, f in zip(zip(*rows, strict=True), _OUT, strict=True)], schema=_OUT)
-
-    return run
+    return df, size.n, size.tokens / max(size.n, 1), size.tokens
 
 
 def pack(
@@ -338,25 +269,22 @@ def pack(
     text: str = "text",
     window: int = 2048,
     end_id: int = 1,
-    shard_bytes: int = 8 << 20,
-    query_terms: int | None = None,
-    look: int = 16,
+    shard_bytes: int = 64 << 20,
+    depth: int = 4,
 ) -> DataFrame:
     """Pieces ``doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset``."""
     spark = docs.sparkSession
     _shared.ship(spark)
-    source = docs.select(F.col(f"`{id_col}`").cast("bigint").alias("doc_id"), F.col(f"`{text}`").cast("string").alias("text"))
-    source = source.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text")
-    enc = (tokenizer, ranks, pattern, specials)
-    kept, _ = _shared.materialize(source.mapInArrow(_tokenise(end_id, enc), "row bigint, doc_id bigint, tokens binary, terms binary, counts binary, length bigint"), "tokens")
-    size = kept.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("length"), F.lit(0)).alias("tokens")).head()
-    near, _ = _shared.materialize(retrieve(kept.select("row", "terms", "counts", "length"), query_terms, look), "near")
-    # a token is held in four bytes
-    shards = max(1, -(-int(size.tokens) * 4 // shard_bytes))
-    dealt = deal(near, kept.select("row", "length"), shards, shard_bytes // 4)
-    placed = dealt.join(near, "row", "left")
-    return kept.select("row", "doc_id", "tokens").join(placed, "row").groupBy("shard").applyInArrow(
-        _pack(window, look),
+    contents = [Path(tokenizer).read_bytes(), Path(ranks).read_bytes() if ranks else None]
+    vocabulary = spark.sparkContext.broadcast((*contents, pattern, specials))
+    kept, _ = _shared.materialize(tokenised(docs, vocabulary, end_id, depth, id_col, text), "tokens")
+    df, n, mean, total = corpus_statistics(kept)
+    statistics = spark.sparkContext.broadcast((df, n, mean))
+    # the last parts of the order tell the documents of a hot key apart, so that it is dealt over several tasks
+    order = [F.col("keys")[k] for k in range(depth)] + [F.xxhash64("doc_id", "tokens"), F.col("doc_id")]
+    dealt = kept.repartitionByRange(max(1, -(-4 * int(total) // shard_bytes)), *order).sortWithinPartitions(*order)
+    return dealt.select("doc_id", "tokens").mapInArrow(
+        _pack(window, shard_bytes, statistics),
         "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint",
     )
 
