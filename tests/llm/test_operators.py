@@ -5,6 +5,7 @@ import collections
 import hashlib
 import random
 import re
+import time
 import zlib
 from pathlib import Path
 
@@ -139,13 +140,69 @@ def test_secrets(spark):
     assert secrets.find_secrets(df.limit(0)).count() == 0
 
 
-def test_battery_separates_random_from_ordinary():
+def brute_spans(text):
+    """The three patterns by a walk over every place, without the operator's patterns."""
+    low = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text)
+    run = lambda at, letters: next((k for k in range(at, len(text)) if text[k] not in letters), len(text))
+    digits, upper, lower = "0123456789", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+    out, at = [], 0
+    while at < len(text):
+        word = next((w for w in ("password", "passwd", "secret", "token", "api_key", "apikey") if low.startswith(w, at)), None)
+        end = None
+        if word:
+            k = at + len(word)
+            k += k < len(text) and text[k] in "\"'"
+            k = run(k, " ")
+            if k < len(text) and text[k] in ":=":
+                k = run(k + 1, " ")
+                k += k < len(text) and text[k] in "\"'"
+                end = run(k, digits + upper + lower + "+/_.=-")
+                if end > k:
+                    if end - k >= 6:
+                        out.append((at, end, "assign"))
+                else:
+                    end = None
+        at = end or at + 1
+    for kind, lead, letters, least in (("access", "AKIA", upper + digits, 20), ("hex", "", digits + "abcdef", 24)):
+        at = 0
+        while at < len(text):
+            end = run(at + len(lead), letters) if text.startswith(lead, at) else at
+            if end > at + len(lead):
+                if end - at >= least:
+                    out.append((at, end, kind))
+                at = end
+            else:
+                at += 1
+    return sorted(out, key=lambda x: (x[0], ("assign", "access", "hex").index(x[2])))
+
+
+def test_base_spans_equal_brute_force():
+    rng = random.Random(31)
+    bits = ["password", "Token", "api_key", "APIKEY", "apikey", "secret", "passwd", " ", "  ", ":", "=", "\"", "'", "abcdef", "AKIA", "0123456789abcdef", "QWERTYUIOP12", "é", ".", "x", "-", "\n", "ſ", "K"]
+    for _ in range(3000):
+        text = "".join(rng.choices(bits, k=rng.randint(1, 14)))
+        assert secrets.base_spans(text) == brute_spans(text), text
+
+
+def test_battery_tells_random_from_ordinary():
     rng = random.Random(3)
     ordinary = ["internationalization_of_everything", "aaaaaaaaaaaaaaaaaaaaaaaa", "2024-05-14-2024-05-14-2024", "com_example_package_ClassName_method", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"]
-    assert all(secrets.candidates(t, [])[0]["p_bin"] < 8 for t in ordinary)
-    alphabet = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
-    hits = [secrets.candidates("".join(rng.choices(alphabet, k=44)), [])[0]["p_bin"] for _ in range(200)]
-    assert np.mean(np.array(hits) > 16) > 0.95
+    assert all(secrets.p_ordinary(t) > 1e-3 for t in ordinary)
+    alphabets = dict(secrets.ENCODINGS)
+    for name, least in (("hex-upper", 20), ("alnum", 24), ("base64", 24), ("base64-url", 32), ("base32", 64), ("base36", 64), ("letters", 64)):
+        for n in (n for n in (20, 24, 32, 64, 500, 2000, 5000) if n >= least):
+            hits = [secrets.p_ordinary("".join(rng.choices(alphabets[name], k=n)) + "=" * (name == "base64")) < 1e-2 for _ in range(60)]
+            assert np.mean(hits) > 0.85, (name, n)
+    made = [secrets.p_ordinary(secrets._ordinary(rng, name, n)) < 1e-3 for name in list(alphabets)[1:] for n in (20, 40, 100, 1000) for _ in range(20)]
+    assert np.mean(made) < 0.02
+
+
+def test_many_spans_take_linear_time():
+    token = base64.b64encode(hashlib.sha512(b"k").digest()).decode()[:40]
+    text = "".join(f"token=abcdef{i} {token} " for i in range(8000))
+    began = time.time()
+    spans = secrets.base_spans(text)
+    assert len(spans) == 8000 and len(secrets.candidates(text, spans)) == 8000 and time.time() - began < 20
 
 
 # ---- 4 -----------------------------------------------------------------------------------------------------
