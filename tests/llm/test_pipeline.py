@@ -27,8 +27,8 @@ def test_stages_one_by_one(spark):
     assert two.columns == columns and kept == {c for _, c in brute_classes([(i, rows[i].text) for i in sorted(ids)])}
     three, _ = _shared.materialize(clean(spark, two, SF), "t")
     items = [(str(r.item_id), r.text) for r in _shared.table(spark, SF, "benchmark").collect()]
-    automata = decontaminate._automata("test", [items], 10)
-    assert {r.doc_id for r in three.collect()} == {i for i in kept if not decontaminate.scan(rows[i].text, automata)[1]}
+    automaton = decontaminate.build([(p, n, i) for i, t in items for p, n in decontaminate.windows_of(t, 10)])
+    assert {r.doc_id for r in three.collect()} == {i for i in kept if not decontaminate.scan(rows[i].text, automaton)[1]}
     four, _ = _shared.materialize(redact(spark, three, SF), "t")
     assert four.columns == columns and four.count() == three.count()
     assert not any(secrets.base_spans(r.text) or r.n_chars != len(r.text) for r in four.collect())
