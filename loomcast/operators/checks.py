@@ -20,6 +20,11 @@ def _finding(df: DataFrame, stage: int, seq: Column, severity: str, message: Col
     return df.select(*RECORD, F.lit(stage).alias("stage"), seq.cast("long").alias("seq"), F.lit(severity).alias("severity"), message.alias("message")).where("message is not null")
 
 
+def _cents(name: str) -> Column:
+    """A number with two decimals."""
+    return F.col(name).cast("decimal(38,2)").cast("string")
+
+
 def total_findings(doc_values: DataFrame, line_values: DataFrame, line_ids: DataFrame, cfg: SchemaConfig) -> DataFrame:
     """The document total must equal the exact sum of the line fields that add up to it.
 
@@ -34,7 +39,7 @@ def total_findings(doc_values: DataFrame, line_values: DataFrame, line_ids: Data
     n = line_ids.groupBy(*RECORD).agg(F.count(F.lit(1)).alias("n_lines"))
     total = doc_values.where((F.col("field") == cfg.total_field) & F.col("out.number").isNotNull()).select(*RECORD, F.col("out.number").alias("total"))
     wrong = total.join(per, RECORD).join(n, RECORD).where("n_first = n_lines and total <> lines_sum")
-    text = F.concat(F.lit("total "), plain(F.col("total")), F.lit(" does not equal the sum of the line items "), plain(F.col("lines_sum")))
+    text = F.concat(F.lit(f"{cfg.total_field} "), _cents("total"), F.lit(" does not equal the sum of the line items "), _cents("lines_sum"))
     return _finding(wrong, 9, F.lit(0), cfg.settings["total_mismatch_severity"], text)
 
 
@@ -55,13 +60,18 @@ def rule_findings(doc_values: DataFrame, line_values: DataFrame, cfg: SchemaConf
             table = F.create_map(*[F.lit(x) for t, v in limits.items() for x in (t, float(v))]) if limits else F.create_map().cast("map<string,double>")
             rows = amount.join(kind, [*RECORD, "line"], "left").join(doc_type, RECORD, "left").withColumn("type", F.coalesce("line_type", "doc_type"))
             most = F.coalesce(F.try_element_at(table, F.coalesce("type", F.lit(""))), F.lit(float(rule["default"])))
-            rows = rows.withColumn("most", most).where("type is not null and a.number > most")
-            text = F.concat(F.lit("line "), F.col("line").cast("string"), F.lit(f": {rule['amount_field']} "), plain(F.col("a.number")), F.lit(" exceeds the reasonable maximum "), F.format_string("%.2f", "most"), F.lit(" for '"), F.col("type"), F.lit("'"))
+            rows = rows.withColumn("most", most).where("a.number > most")
+            shown = F.coalesce("type", F.lit(f"unknown {rule['type_field']}"))
+            text = F.concat(
+                F.lit("line "), F.col("line").cast("string"), F.lit(f": {rule['amount_field']} "), _cents("a.number"),
+                F.lit(" exceeds the reasonable maximum "), _cents("most"), F.lit(" for '"), shown, F.lit("'"))
             out.append(_finding(rows, 10, seq, rule.get("severity", "error"), text))
         else:
             units = one(rule["unit_field"], "u").where("u.number <> 0")
             rows = amount.join(units, [*RECORD, "line"]).where(F.col("a.number") / F.col("u.number") > F.lit(float(rule["max_rate"])))
-            text = F.concat(F.lit("line "), F.col("line").cast("string"), F.lit(": "), plain(F.col("a.number")), F.lit(" for "), plain(F.col("u.number")), F.lit(" minutes is an unusually high rate"))
+            text = F.concat(
+                F.lit("line "), F.col("line").cast("string"), F.lit(": "), _cents("a.number"), F.lit(" for "), plain(F.col("u.number")),
+                F.lit(f" {rule.get('unit_label', 'units')} is an unusually high rate"))
             out.append(_finding(rows, 10, seq, "warning", text))
     return out
 
@@ -81,4 +91,4 @@ def target_findings(results: DataFrame, findings: DataFrame, cfg: SchemaConfig)
             yield pd.DataFrame(rows, columns=["source_id", "rec", "stage", "seq", "severity", "message"])
 
     clean = results.select(*RECORD, "normalized").join(failed, RECORD, "left_anti")
-    return clean.mapInPandas(run, "source_id string, rec int, stage int, seq long, severity string, message string")
+    return clean.mapInPandas(run, "source_id string, rec bigint, stage int, seq long, severity string, message string")

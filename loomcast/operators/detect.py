@@ -63,9 +63,14 @@ def classify_records(cells: DataFrame, km: DataFrame, words: list[Words]) -> Dat
     return records.join(per, RECORD, "left").withColumn("status", F.coalesce("status", F.lit("none")))
 
 
+def key_profile(cells: DataFrame, by: list[str]) -> DataFrame:
+    """The distinct keys of each group."""
+    return cells.where("key is not null").select(*by, "key").distinct()
+
+
 def structural_scores(cells: DataFrame, km: DataFrame, cfgs: list[SchemaConfig], by: list[str]) -> DataFrame:
     """(*by, schema, similarity): weighted shares of signature fields, required fields and explained keys."""
-    profile = cells.where("key is not null").select(*by, "key").distinct()
+    profile = key_profile(cells, by)
     total = profile.groupBy(*by).agg(F.count(F.lit(1)).alias("n_keys"))
     known = profile.join(km.where("scope = 'profile'").select("schema", "key", "field"), "key")
     agg = known.groupBy(*by, "schema").agg(F.collect_set("field").alias("fields"), F.count("field").alias("n_explained")).join(total, by)

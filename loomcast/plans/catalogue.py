@@ -587,5 +587,5 @@ def q_transform_orders(spark, sf_dir):
     cells = frame_cells(docs.where("lines is not null"), "orders", "o_orderkey", scalars, "lines").unionByName(frame_cells(docs.where("lines is null"), "orders", "o_orderkey", scalars))
     report = transform_cells(cells, prepare([ORDER_SCHEMA]), "order", None, TODAY)
     lines = F.coalesce(F.json_array_length(F.get_json_object("normalized", "$.lines")), F.lit(0))
-    error = F.regexp_replace(F.get("errors", F.lit(0)), r"^total [\d.]+ does not equal the sum of the line items [\d.]+$", "total does not equal the sum of the line items")
+    error = F.regexp_replace(F.get("errors", F.lit(0)), r"^total_amount [\d.]+ does not equal the sum of the line items [\d.]+$", "total does not equal the sum of the line items")
     return report.results.select(F.col("rec").cast("bigint").alias("order_key"), "is_valid", lines.cast("bigint").alias("n_lines"), error.alias("error"))

@@ -28,7 +28,7 @@ from loomcast.plans.store import keep, ship
 from loomcast.sources import readers
 
 RECORD = ["source_id", "rec"]
-FINDING = "source_id string, rec int, stage int, seq long, severity string, message string"
+FINDING = "source_id string, rec bigint, stage int, seq long, severity string, message string"
 
 
 @dataclass
@@ -169,9 +169,9 @@ def fold_rows(cells: DataFrame, km: DataFrame, records: DataFrame, cfg: SchemaCo
     box = words.primary_container
     tagged = cells.where("key is not null").join(up, ["source_id", "key"], "left")
     head = tagged.where("up and rec = 1").drop("up")
-    lines = tagged.where("up is null").drop("up").withColumn("line", F.col("rec")).withColumn("container", F.lit(box)).withColumn("rec", F.lit(1))
+    lines = tagged.where("up is null").drop("up").withColumn("line", F.col("rec").cast("int")).withColumn("container", F.lit(box)).withColumn("rec", F.lit(1).cast("bigint"))
     holder = cells.select("source_id", "format").distinct().select(
-        "source_id", "format", F.lit(1).alias("rec"), F.lit(None).cast("int").alias("line"), F.lit(1 << 30).alias("ord"), F.lit(None).cast("string").alias("container"),
+        "source_id", "format", F.lit(1).cast("bigint").alias("rec"), F.lit(None).cast("int").alias("line"), F.lit(1 << 30).alias("ord"), F.lit(None).cast("string").alias("container"),
         F.lit(box).alias("key"), F.lit("list").alias("kind"), F.lit(None).cast("string").alias("text"),
     )
     return head.unionByName(lines).unionByName(holder)
@@ -214,6 +214,11 @@ def validated(mapped: DataFrame, cfg: SchemaConfig, words: Words, today: datetim
     return mapped.withColumn("empty", blank).withColumn("out", F.when(blank, empty).otherwise(out))
 
 
+def lend(line_ids: DataFrame, shared: DataFrame, line_values: DataFrame) -> DataFrame:
+    """A row for every line that takes a shared value (record, field, ...) because it has none of its own."""
+    return line_ids.join(shared, RECORD).join(line_values.select(*RECORD, "line", "field"), [*RECORD, "line", "field"], "left_anti")
+
+
 def _json_of(cfg: SchemaConfig) -> Column:
     numeric = sorted({s.name for s in cfg.all_specs if s.validator in ("money", "number")})
     text = F.to_json(F.array(F.col("out")["value"]))
@@ -357,7 +362,7 @@ def process(cells: DataFrame, km: DataFrame, records: DataFrame, cfg: SchemaConf
     line_ids = line_ids.unionByName(single.select(*RECORD, "line").distinct())
 
     # inheritance: lines without the field take the shared value
-    lent = line_ids.join(inherited, RECORD).join(line_values.select(*RECORD, "line", "field"), [*RECORD, "line", "field"], "left_anti")
+    lent = lend(line_ids, inherited, line_values)
     findings.append(finding(lent, 7, F.col("line"), "warning", F.concat(F.lit("line "), F.col("line").cast("string"), F.lit(": '"), F.col("field"), F.lit("' was not given; inherited from document-level field '"), F.col("key"), F.lit("'"))))
     line_values = line_values.unionByName(lent.select(*RECORD, "line", "field", "key", F.lit(0).alias("ord"), "out", "json", F.lit(False).alias("empty")))
     line_values, doc_values = keep(line_values, "line_values"), keep(doc_values, "doc_values")
