@@ -12,8 +12,9 @@ forms, comments and footers, labelled by construction.  Any other labelled
 pages can be given to ``train``.
 
 Defined cases: a null page is empty and has an empty text; unclosed and
-truncated markup is read as far as it goes; repeated rows are read each; an
-empty table gives no rows; extra columns are ignored.
+truncated markup is read as far as it goes; very long or deeply nested pages take
+time in proportion to their length; repeated rows are read each; ties between
+labellings go to "other"; an empty table gives no rows; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -21,6 +22,7 @@ from __future__ import annotations
 import html as _html
 import random
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -50,17 +52,58 @@ _ATTR = re.compile(r"(?:^|\s)(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|(
 _PART = re.compile(r"[a-z]+")
 
 
+#: Names of classes and ids are read from so many nearest ancestors, and so many words of each (features only; no text is left out).
+NEAREST, NAMES = 32, 16
+
+
 class Block:
-    __slots__ = ("text", "tags", "marks", "linked", "raw")
+    __slots__ = ("text", "leaf", "tags", "marks", "linked", "raw")
+
+    def __init__(self, text: str, leaf: str, tags: frozenset, marks: frozenset, linked: int, raw: int) -> None:
+        self.text, self.leaf, self.tags, self.marks, self.linked, self.raw = text, leaf, tags, marks, linked, raw
+
+
+class _Open:
+    """The open elements.  Each knows the tags above it, so that a block costs no walk up the stack."""
+
+    def __init__(self) -> None:
+        self.stack: list[tuple[str, frozenset, frozenset, str]] = []  # name, own marks, tags so far, nearest block tag
+        self.count: Counter = Counter()
+
+    def push(self, name: str, marks: frozenset) -> None:
+        tags, leaf = self.stack[-1][2:] if self.stack else (frozenset(), "")
+        self.stack.append((name, marks, tags if name in tags else tags | {name}, name if name in BLOCKS else leaf))
+        self.count[name] += 1
+
+    def cut(self, k: int) -> None:
+        for name, *_ in self.stack[k:]:
+            self.count[name] -= 1
+        del self.stack[k:]
+
+    def close(self, names: tuple[str, ...], within: frozenset = frozenset()) -> None:
+        """Close the innermost element of one of the names, unless one of ``within`` lies in between."""
+        if any(self.count[n] for n in names):
+            for k in range(len(self.stack) - 1, -1, -1):
+                if self.stack[k][0] in names:
+                    self.cut(k)
+                    return
+                if self.stack[k][0] in within:
+                    return
 
-    def __init__(self, text: str, tags: tuple, marks: frozenset, linked: int, raw: int) -> None:
-        self.text, self.tags, self.marks, self.linked, self.raw = text, tags, marks, linked, raw
+    def tags(self) -> frozenset:
+        return self.stack[-1][2] if self.stack else frozenset()
+
+    def leaf(self) -> str:
+        return self.stack[-1][3] if self.stack else ""
+
+    def marks(self) -> frozenset:
+        return frozenset().union(*(e[1] for e in self.stack[-NEAREST:]))
 
 
 def blocks_of(page: str | None) -> list[Block]:
     """Leaf blocks in page order, with decoded text whose white space is single spaces."""
     page = page or ""
-    stack: list[tuple[str, frozenset]] = []
+    up = _Open()
     out: list[Block] = []
     held: list[str] = []
     linked = at = 0
@@ -70,7 +113,7 @@ def blocks_of(page: str | None) -> list[Block]:
         if held:
             text = " ".join(_html.unescape("".join(held)).split())
             if text:
-                out.append(Block(text, tuple(t for t, _ in stack), frozenset().union(*(m for _, m in stack)), linked, sum(map(len, held))))
+                out.append(Block(text, up.leaf(), up.tags(), up.marks(), linked, sum(map(len, held))))
             held.clear()
         linked = 0
 
@@ -78,15 +121,9 @@ def blocks_of(page: str | None) -> list[Block]:
         nonlocal linked
         if text:
             held.append(text)
-            if any(t == "a" for t, _ in stack):
+            if up.count["a"]:
                 linked += len(text)
 
-    def close(name: str) -> None:
-        for k in range(len(stack) - 1, -1, -1):
-            if stack[k][0] == name:
-                del stack[k:]
-                return
-
     while True:
         m = _TOKEN.search(page, at)
         if not m:
@@ -101,35 +138,25 @@ def blocks_of(page: str | None) -> list[Block]:
         if not token.endswith(">"):
             break  # the page ends inside a tag
         name = got.group(1).lower()
-        if token[1] == "/":
-            if name in BLOCKS:
-                flush()
-            if name == "br":
-                held.append(" ")
-            elif any(t == name for t, _ in stack):
-                close(name)
-            continue
         if name in BLOCKS:
             flush()
-            if name in CLOSES_P and any(t == "p" for t, _ in stack):
-                close("p")
-            if name in SIBLINGS:
-                for k in range(len(stack) - 1, -1, -1):
-                    if stack[k][0] in SIBLINGS[name]:
-                        del stack[k:]
-                        break
-                    if stack[k][0] in SCOPE:
-                        break
+        if name == "br":
+            held.append(" ")
+        if token[1] == "/":
+            up.close((name,))
+            continue
+        if name in CLOSES_P:
+            up.close(("p",))
+        if name in SIBLINGS:
+            up.close(SIBLINGS[name], SCOPE)
         if name in VOID or (token.endswith("/>") and name not in BLOCKS):
-            if name == "br":
-                held.append(" ")
             continue
         if name in RAW:
             end = re.compile(f"</{re.escape(name)}(?=[\\s/>]|\\Z)[^>]*(?:>|\\Z)", re.I).search(page, at)
             at = end.end() if end else len(page)
             continue
-        marks = frozenset(w for a in _ATTR.finditer(token) for w in _PART.findall((a.group(1) or a.group(2) or a.group(3) or "").lower()))
-        stack.append((name, marks))
+        words = (_PART.findall((a.group(1) or a.group(2) or a.group(3) or "").lower())[:NAMES] for a in _ATTR.finditer(token))
+        up.push(name, frozenset(w for ws in words for w in ws))
     flush()
     return out
 
@@ -141,8 +168,8 @@ def describe(blocks: list[Block]) -> list[list[str]]:
     for i, b in enumerate(blocks):
         size = len(b.text)
         words = b.text.count(" ") + 1
-        names = ["bias", f"leaf:{next((t for t in reversed(b.tags) if t in BLOCKS), '')}"]
-        names += [f"in:{t}" for t in set(b.tags)] + [f"mark:{w}" for w in b.marks]
+        names = ["bias", f"leaf:{b.leaf}"]
+        names += [f"in:{t}" for t in b.tags] + [f"mark:{w}" for w in b.marks]
         names.append(f"len:{min(size.bit_length(), 10)}")
         names.append(f"links:{min(int(4 * b.linked / max(b.raw, 1)), 4)}")
         names.append(f"stops:{min(sum(b.text.count(c) for c in '.!?'), 4)}")
@@ -252,10 +279,11 @@ OTHER_NAMES = {
     "advert": ("ad", "ads", "advert", "advertisement", "sponsored", "sponsor", "promo", "promotion", "banner-ad"),
     "form": ("form", "newsletter", "subscribe", "signup", "login", "search", "contact"),
     "comments": ("comments", "comment", "comment-list", "replies", "reply", "disqus", "discussion", "responses"),
+    "hatnote": ("hatnote", "dablink", "disambiguation", "note", "rellink", "navbox"),
     "share": ("share", "social", "tags", "meta", "byline", "author", "pagination"),
 }
 TAGS = {"menu": ("nav", "div", "ul"), "header": ("header", "div"), "footer": ("footer", "div"), "sidebar": ("aside", "div", "section"), "notice": ("div", "section", "p", "dialog"),
-        "advert": ("div", "aside", "section"), "form": ("form", "div"), "comments": ("section", "div", "ol"), "share": ("div", "ul", "p")}
+        "advert": ("div", "aside", "section"), "form": ("form", "div"), "comments": ("section", "div", "ol"), "share": ("div", "ul", "p"), "hatnote": ("div", "p")}
 
 
 def _words(rng: random.Random, n: int) -> str:
@@ -283,6 +311,8 @@ def labelled_pages(n: int = 400, seed: int = 11) -> list[tuple[str, set[str]]]:
             if kind == "menu" or (kind in ("sidebar", "share", "footer") and rng.random() < 0.5):
                 items = [link() for _ in range(rng.randint(2, 8))]
                 inner = "".join(f"<li>{x}</li>" for x in items) if tag in ("ul", "ol") else "<ul>" + "".join(f"<li>{x}</li>" for x in items) + "</ul>"
+            elif kind == "hatnote":
+                inner = f"{_words(rng, 3).capitalize()}, {link()}."
             elif kind == "form":
                 inner = f"<label>{text}</label><input name=q><button>{_words(rng, 2)}</button>"
             elif kind == "comments":
@@ -295,15 +325,41 @@ def labelled_pages(n: int = 400, seed: int = 11) -> list[tuple[str, set[str]]]:
             return f"<{tag}{attr}>{inner}</{tag}>"
 
         def say(tag: str) -> str:
-            text = f"{_sentences(rng) if tag in ('p', 'li', 'blockquote', 'td') else _words(rng, rng.randint(2, 9)).capitalize()} {next(unique)}"
+            if tag in ("td", "th", "dt"):  # cells are short, and many are numbers
+                text = str(next(unique)) if rng.random() < 0.5 else f"{_words(rng, rng.randint(1, 3)).capitalize()} {next(unique)}"
+            else:
+                text = f"{_sentences(rng) if tag in ('p', 'li', 'blockquote', 'dd') else _words(rng, rng.randint(2, 9)).capitalize()} {next(unique)}"
             main.add(" ".join(text.split()))
             return f"<{tag}>{text}</{tag}>" if tag != "p" or rng.random() < 0.8 else f"<p><b>{text}<br>"
 
+        def table() -> str:
+            wide = rng.randint(2, 5)
+            head = "<tr>" + "".join(say("th") for _ in range(wide)) + "</tr>" if rng.random() < 0.7 else ""
+            rows = "".join("<tr>" + "".join(say("td") for _ in range(wide)) + "</tr>" for _ in range(rng.randint(1, 6)))
+            return f"<table>{say('caption') if rng.random() < 0.2 else ''}{head}{rows}</table>"
+
+        def bold() -> str:
+            text = f"{_words(rng, rng.randint(1, 6)).capitalize()} {next(unique)}"
+            main.add(text)
+            return rng.choice((f"<b>{text}</b><br>", f"<font size=5>{text}</font><br>")) if rng.random() < 0.5 else f"<div><b>{text}</b></div>"
+
+        def plain() -> str:
+            """Paragraphs without a container of their own: under body, in a nameless div, or in the cell of a layout table."""
+            inside = [rng.choice((say("h1"), say("h2"), bold() + "<p>"))] if rng.random() < 0.6 else []
+            inside += [say("p") for _ in range(rng.randint(1, 6))]
+            if rng.random() < 0.2:
+                inside.append(table())
+            body = "".join(inside)
+            x = rng.random()
+            return body if x < 0.4 else f"<div>{body}</div>" if x < 0.6 else f"<table><tr><td>{body}</td></tr></table>" if x < 0.8 else f"<center>{body}</center>"
+
         def article() -> str:
             inside = [say("h1")] if rng.random() < 0.8 else []
+            if rng.random() < 0.1:
+                inside.append(other("hatnote"))
             for _ in range(rng.randint(1, 9)):
                 x = rng.random()
-                inside.append(say("p") if x < 0.7 else say("h2") if x < 0.8 else "<ul>" + say("li") + say("li") + "</ul>" if x < 0.88 else say("blockquote") if x < 0.94 else f"<div>{say('p')}</div>")
+                inside.append(table() if x < 0.06 else "<dl>" + say("dt") + say("dd") + "</dl>" if x < 0.09 else "<pre>" + say("code") + "</pre>" if x < 0.11 else say("p") if x < 0.7 else say("h2") if x < 0.8 else "<ul>" + say("li") + say("li") + "</ul>" if x < 0.88 else say("blockquote") if x < 0.94 else f"<div>{say('p')}</div>")
                 if rng.random() < 0.06:
                     inside.append(other(rng.choice(("advert", "share", "sidebar", "form", "notice"))))
             if rng.random() < 0.15:
@@ -319,7 +375,7 @@ def labelled_pages(n: int = 400, seed: int = 11) -> list[tuple[str, set[str]]]:
         if rng.random() < 0.3:
             before.append(other("sidebar"))
         title = f"{_words(rng, 4)} {next(unique)}"
-        page = f"<!DOCTYPE html><html><head><title>{title}</title></head><body>{''.join(before)}{article()}{''.join(after)}</body></html>"
+        page = f"<!DOCTYPE html><html><head><title>{title}</title></head><body>{''.join(before)}{plain() if rng.random() < 0.2 else article()}{''.join(after)}</body></html>"
         out.append((page[: rng.randint(len(page) // 2, len(page))] if rng.random() < 0.1 else page, main))
     return out
 

@@ -7,10 +7,11 @@ row for each word, so windows grow by levels:
 
 1. Every full-length window has one *anchor*: its least-hashed run of ``base``
    words.  Equal windows have equal anchors, so only anchors (about one word in
-   six for base 10) are compared at the first level.
-2. Anchors whose run repeats somewhere survive; the runs of twice the length
-   around them are compared next, and so on while twice the length is below
-   ``window`` and candidates survive.
+   eight for base 5) are compared at the first level.
+2. Anchors whose run repeats somewhere survive, and theirs alone are extended:
+   the runs of twice the length around them are compared next, and so on while
+   twice the length is below ``window``.  The first level that no candidate
+   reaches ends the work.
 3. Full-length windows whose anchor survived every level are compared by a
    128-bit hash, and the first place of each is found.
 
@@ -19,12 +20,15 @@ neighbouring doc_ids, kept in a table bucketed by block.  A block sends each
 distinct hash once per bucket of the hash space (so a window copied a million
 times costs a row per block, never a row per copy), packed as one binary row;
 the bucket answers with one bit per hash, and the answers are joined back to
-the bucketed blocks without moving texts again.  False matches of the 64-bit
-hashes of the lower levels only let more candidates through.
+the bucketed blocks without moving texts again.  There is a bucket for each
+``bucket_bytes`` of text, so that what one group holds does not grow with the
+corpus.  False matches of the 64-bit hashes of the lower levels only let more
+candidates through; the last level compares two independent 64-bit hashes.
 
 Defined cases: null texts have no words; a null doc_id sorts first; rows that
-repeat a doc_id are judged in the order of their text; rows are never dropped;
-extra columns are ignored; an empty table gives an empty result.
+repeat a doc_id are judged in the order of their text; of equal windows the first
+in that order stays; very long texts are one row of a block; rows are never
+dropped; extra columns are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -335,19 +339,22 @@ def dedup_substrings(
     id_col: str = "doc_id",
     text: str = "text",
     window: int = 20,
-    base: int = 10,
+    base: int = 5,
     block_bytes: int = 4 << 20,
+    bucket_bytes: int = 64 << 20,
 ) -> DataFrame:
     """Per row: ``doc_id, n_words, n_removed, kept_sha256, kept_text``."""
     if not 0 < base <= window:
         raise ValueError("base must be from 1 to window")
     spark = docs.sparkSession
     _shared.ship(spark)
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     source = docs.select(F.col(f"`{id_col}`").cast("bigint").alias("doc_id"), F.col(f"`{text}`").cast("string").alias("text"))
+    size = source.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).head()[0]
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // bucket_bytes))
     name, path = f"loomcast_blocks_{_shared.uuid.uuid4().hex}", _shared.scratch(spark, "blocks")
     (
-        source.repartitionByRange("doc_id")
+        # the beginning of the text tells rows of a hot or null id apart and keeps their order
+        source.repartitionByRange("doc_id", F.substring("text", 1, 64))
         .sortWithinPartitions("doc_id", "text")
         .mapInArrow(_pack(block_bytes), "block bigint, spare int, ids array<bigint>, texts array<string>")
         .drop("spare")
@@ -365,6 +372,8 @@ def dedup_substrings(
         settle = _settle(length == window)
         new, _ = _shared.materialize(sent.groupBy("bucket").applyInArrow(settle, _ANSWER), "answers")
         answers = answers.unionByName(new)
+        if new.isEmpty():
+            break  # no candidate survived the level before
     out = "doc_id bigint, n_words bigint, n_removed bigint, kept_sha256 string, kept_text string"
     return joined().mapInArrow(_apply(window, base, n, None), out)
 
