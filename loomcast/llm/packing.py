@@ -36,6 +36,7 @@ from __future__ import annotations
 import base64
 import zlib
 from collections.abc import Callable, Iterator
+from functools import cache
 from pathlib import Path
 
 import numpy as np
@@ -98,7 +99,16 @@ class Index:
         idf = np.repeat(np.log1p((n - df + 0.5) / (df + 0.5)).astype(np.float32), here)
         tf, self.who = tf[order].astype(np.float32), who[order]
         self.weight = idf * tf * np.float32(k1 + 1) / (tf + np.float32(k1) * (np.float32(1 - b) + np.float32(b / mean) * length[self.who]))
-        self.n = len(docs)
+        self.n = self.left = len(docs)
+
+    def drop(self, used: np.ndarray) -> None:
+        """Leave out the postings of documents that are used, once a fifth of those at hand are."""
+        left = int(self.n - used.sum())
+        if left > 0.8 * self.left:
+            return
+        keep = ~used[self.who]
+        self.at = np.concatenate([[0], np.cumsum(keep)])[self.at]
+        self.who, self.weight, self.left = self.who[keep], self.weight[keep], left
 
     def scores(self, seed: int) -> np.ndarray:
         """The BM25 score of every document for all terms of the seed."""
@@ -114,7 +124,7 @@ class Index:
         return found[np.argsort(-score[found], kind="stable")]
 
 
-def plan(lengths: list[int], scores: Callable[[int], np.ndarray], window: int) -> list[tuple[int, int, int, int, int]]:
+def plan(lengths: list[int], index: Index, window: int) -> list[tuple[int, int, int, int, int]]:
     """(document, start, length, sequence, offset) pieces that use up every token."""
     n = len(lengths)
     used = np.zeros(n, dtype=bool)
@@ -136,7 +146,8 @@ def plan(lengths: list[int], scores: Callable[[int], np.ndarray], window: int) -
                 doc = cursor
             used[doc], start = True, 0
         if not fill and lengths[doc] - start < window:
-            score = scores(doc)
+            index.drop(used)
+            score = index.scores(doc)
         take = min(lengths[doc] - start, window - fill)
         pieces.append((doc, start, take, seq, fill))
         start, fill = start + take, fill + take
@@ -180,15 +191,19 @@ def _open(data: bytes) -> np.ndarray:
     return np.frombuffer(data, "<u4" if data[0] else "<u2", offset=1)
 
 
-def lexical_key(terms: np.ndarray, depth: int) -> list[int]:
+@cache
+def _costs(k: int, size: int) -> np.ndarray:
+    """The cost of each token id in the k-th choice.  Ids of byte-pair vocabularies run from frequent to rare, hence the weights."""
+    ids = np.arange(size)
+    u = ((mix(ids.astype(_U) * _U(0x9E3779B97F4A7C15) + _U(k + 1)) >> _U(11)).astype(float) + 1) * 2.0**-53
+    return -np.log(u) / np.log1p(ids + 1.0) ** 2
+
+
+def lexical_key(ids: np.ndarray, depth: int) -> list[int]:
     """``depth`` tokens of a document by weighted min-hash: two documents agree in one with probability equal to
-    their weighted Jaccard similarity.  Ids of byte-pair vocabularies run from frequent to rare, hence the weights."""
-    cost = 1 / np.log1p(terms + 1.0) ** 2
-    out = []
-    for k in range(depth):
-        u = ((mix(terms.astype(_U) * _U(0x9E3779B97F4A7C15) + _U(k + 1)) >> _U(11)).astype(float) + 1) * 2.0**-53
-        out.append(int(terms[np.argmin(-np.log(u) * cost)]))
-    return out
+    their weighted Jaccard similarity."""
+    size = 1 << int(ids.max()).bit_length()
+    return [int(ids[_costs(k, max(size, 1 << 16))[ids].argmin()]) for k in range(depth)]
 
 
 def _tokenise(end_id: int, vocabulary, depth: int):
@@ -200,7 +215,7 @@ def _tokenise(end_id: int, vocabulary, depth: int):
                 ids = np.append(encode(x.as_py() or ""), np.uint32(end_id))
                 tokens.append(_press(ids))
                 length.append(len(ids))
-                keys.append(lexical_key(np.unique(ids), depth))
+                keys.append(lexical_key(ids, depth))
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(tokens, pa.binary()), pa.array(length, pa.int64()), pa.array(keys, pa.list_(pa.int32()))],
                 names=["doc_id", "tokens", "length", "keys"])
@@ -209,17 +224,22 @@ def _tokenise(end_id: int, vocabulary, depth: int):
 
 
 def _frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    df = np.zeros(1 << 16, np.int64)
     for batch in batches:
-        if len(batch):
-            t, n = np.unique(np.concatenate([np.unique(_open(x)) for x in batch.column(0).to_pylist()]), return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(t.astype(np.int64)), pa.array(n.astype(np.int64))], names=["term", "n"])
+        for x in batch.column(0).to_pylist():
+            ids = _open(x)
+            if int(ids.max()) >= len(df):
+                df = np.append(df, np.zeros(2 * int(ids.max()) - len(df), np.int64))
+            df[ids] += 1  # an index that repeats counts once
+    found = np.flatnonzero(df)
+    yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(df[found])], names=["term", "n"])
 
 
 def _pack(window: int, shard_bytes: int, statistics):
     """Cut a partition in lexical order into shards and pack each; one shard is held at a time."""
 
     def shard(ids: list, tokens: list[np.ndarray], first: int) -> tuple[pa.RecordBatch, int]:
-        made = plan([len(t) for t in tokens], Index(tokens, statistics.value).scores, window)
+        made = plan([len(t) for t in tokens], Index(tokens, statistics.value), window)
         rows = [(ids[d], s, n, zlib.crc32(tokens[d][s : s + n].astype("<u4").tobytes()), len(tokens[d]), first + q, o) for d, s, n, q, o in made]
         out = pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(zip(*rows, strict=True), _OUT, strict=True)], schema=_OUT)
         return out, made[-1][3] + 1
@@ -269,7 +289,7 @@ def pack(
     text: str = "text",
     window: int = 2048,
     end_id: int = 1,
-    shard_bytes: int = 64 << 20,
+    shard_bytes: int = 16 << 20,
     depth: int = 4,
 ) -> DataFrame:
     """Pieces ``doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset``."""
