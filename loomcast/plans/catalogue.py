@@ -2,50 +2,22 @@
 
 from __future__ import annotations
 
-import datetime
-
-from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomcast.functions import text as T
 from loomcast.functions import validators as V
 from loomcast.functions import values as N
-from loomcast.plans.store import ship
-
-TODAY = datetime.date(2002, 1, 1)
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
-
-
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def query(sql: str | None = None):
-    """Register a function under its name, with its SQL if it has any."""
-
-    def add(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLES[f.__name__] = sql
-        return f
-
-    return add
-
-
-def _shipped(f):
-    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        ship(spark)
-        return f(spark, sf_dir)
-
-    return run
+from loomcast.plans.registry import CENTS, ORACLES, QUERIES, TODAY, cents_of, frac, query, shipped, table, whole
 
 
 def queries() -> dict:
-    return {name: _shipped(f) for name, f in QUERIES.items()}
+    from loomcast.plans import record_queries  # noqa: F401
+
+    return {name: shipped(f) for name, f in QUERIES.items()}
 
 
 def oracle_sql() -> dict[str, str]:
+    queries()
     return dict(ORACLES)
 
 
@@ -53,23 +25,6 @@ def join_list(c, sep: str = "|"):
     return F.array_join(c, sep)
 
 
-# ---- shared fragments of the oracles -------------------------------------------------------------------------
-#: amounts in text, built from whole cents so that no engine's float printing matters
-CENTS = "CAST(round(l_extendedprice * 100) AS BIGINT)"
-
-
-def cents_of(c: str):
-    return F.round(F.col(c) * 100).cast("bigint")
-
-
-def whole(c):
-    return F.expr(f"{c} div 100").cast("string")
-
-
-def frac(c):
-    return F.lpad(F.expr(f"{c} % 100").cast("string"), 2, "0")
-
-
 # ---- paths, labels, keys -------------------------------------------------------------------------------------
 @query("""SELECT c_custkey, array_to_string(list_filter(list_transform(string_split_regex(regexp_replace(c_mktsegment || ' > ' || c_name || '.acct', '\\.([0-9A-Za-z_])', ' > \\1', 'g'), '\\s*>\\s*'), lambda x: trim(x)), lambda x: x <> ''), '|') AS segments,
  CAST(3 AS INTEGER) AS n_segments FROM customer""")
@@ -79,27 +34,6 @@ def q_split_path(spark, sf_dir):
     return table(spark, sf_dir, "customer").select("c_custkey", join_list(parts).alias("segments"), F.size(parts).alias("n_segments"))
 
 
-@query("""SELECT event_id, 'k' AS key, json_extract_string(props, '$.k') AS value FROM events""")
-def q_flatten_props(spark, sf_dir):
-    m = F.from_json("props", "map<string,string>")
-    return table(spark, sf_dir, "events").select("event_id", F.explode(m).alias("key", "value"))
-
-
-@query("""SELECT fmt, count(*) AS n FROM (SELECT CASE WHEN left(ltrim(t), 1) = '<' THEN 'xml' WHEN left(ltrim(t), 1) IN ('{', '[') THEN 'json' ELSE 'csv' END AS fmt
- FROM (SELECT html AS t FROM pages UNION ALL SELECT props FROM events UNION ALL SELECT text FROM documents)) GROUP BY fmt""")
-def q_sniff_format(spark, sf_dir):
-    t = table(spark, sf_dir, "pages").select(F.col("html").alias("t")).unionByName(table(spark, sf_dir, "events").select(F.col("props").alias("t"))).unionByName(
-        table(spark, sf_dir, "documents").select(F.col("text").alias("t")))
-    head = F.left(F.ltrim("t"), F.lit(1))
-    return t.select(F.when(head == "<", "xml").when(head.isin("{", "["), "json").otherwise("csv").alias("fmt")).groupBy("fmt").agg(F.count(F.lit(1)).alias("n"))
-
-
-@query("""SELECT event_type, count(*) AS n, count(DISTINCT k) AS n_keys FROM (SELECT event_type, unnest(json_keys(props)) AS k FROM events) GROUP BY event_type""")
-def q_profile_keys(spark, sf_dir):
-    keys = table(spark, sf_dir, "events").select("event_type", F.explode(F.json_object_keys("props")).alias("k"))
-    return keys.groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("k").alias("n_keys"))
-
-
 @query("""SELECT doc_id, md5(lower(strip_accents(replace(text, 'œ', 'oe')))) AS folded FROM documents""")
 def q_fold_text(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", F.md5(T.fold(F.col("text"))).alias("folded"))
@@ -141,21 +75,6 @@ def q_jaccard_similarity(spark, sf_dir):
     return table(spark, sf_dir, "part").select("p_partkey", F.round(T.word_overlap(a, b), 6).alias("overlap"))
 
 
-@query()
-def q_ratio_similarity(spark, sf_dir):
-    """Matching-block similarity of distinct name words with each alias of a fixed list."""
-    words = table(spark, sf_dir, "part").select(F.explode(F.split(F.lower("p_name"), " ")).alias("word")).distinct()
-    aliases = ("steel", "brass", "large", "copper")
-
-    def run(batches):
-        import pandas as pd
-
-        for b in batches:
-            yield pd.DataFrame([(w, a, round(T.similarity(w, a), 6)) for w in b["word"] for a in aliases], columns=["word", "alias", "ratio"])
-
-    return words.mapInPandas(run, "word string, alias string, ratio double")
-
-
 @query("""SELECT p_partkey, CASE WHEN t[len(t)] = 'fr' THEN 'fr' WHEN t[1] = 'en' THEN 'en' END AS lang, array_to_string(CASE WHEN t[len(t)] = 'fr' THEN t[1:len(t)-1] WHEN t[1] = 'en' THEN t[2:] ELSE t END, ' ') AS rest
  FROM (SELECT p_partkey, string_split(CASE p_partkey % 3 WHEN 0 THEN 'name ' || p_size || ' fr' WHEN 1 THEN 'en label ' || p_size ELSE 'plain ' || p_size END, ' ') AS t FROM part)""")
 def q_language_tag(spark, sf_dir):
@@ -165,67 +84,6 @@ def q_language_tag(spark, sf_dir):
     return table(spark, sf_dir, "part").select("p_partkey", out["lang"].alias("lang"), join_list(out["tokens"], " ").alias("rest"))
 
 
-# ---- mapping -------------------------------------------------------------------------------------------------
-def _keys(spark, sf_dir):
-    """A relation of keys with scores for fields, drawn from the parts: (rec, key, field, score, weak)."""
-    p = table(spark, sf_dir, "part")
-    return p.select(
-        (F.col("p_partkey") % 500).alias("rec"), F.concat(F.lit("k"), F.col("p_partkey").cast("string")).alias("key"),
-        F.concat(F.lit("f"), (F.col("p_size") % 7).cast("string")).alias("field"), (F.col("p_size") % 3 / 2).alias("score"), (F.col("p_size") % 2 == 0).alias("weak"),
-    )
-
-
-_KEYS_SQL = "SELECT p_partkey % 500 AS rec, 'k' || p_partkey AS key, 'f' || (p_size % 7) AS field, p_size % 3 / 2 AS score, p_size % 2 = 0 AS weak FROM part"
-
-
-@query(f"""SELECT rec, field, key, score FROM (SELECT *, row_number() OVER (PARTITION BY rec, field ORDER BY weak, score DESC, key) AS rn FROM ({_KEYS_SQL})) WHERE rn = 1""")
-def q_best_key_per_field(spark, sf_dir):
-    from pyspark.sql import Window
-
-    w = Window.partitionBy("rec", "field").orderBy("weak", F.desc("score"), "key")
-    return _keys(spark, sf_dir).withColumn("rn", F.row_number().over(w)).where("rn = 1").select("rec", "field", "key", "score")
-
-
-@query(f"""SELECT rec, count(DISTINCT field) AS n_fields FROM (SELECT *, rank() OVER (PARTITION BY rec ORDER BY weak, score DESC) AS r FROM ({_KEYS_SQL})) WHERE r = 1 GROUP BY rec HAVING count(DISTINCT field) > 1""")
-def q_ambiguous_keys(spark, sf_dir):
-    from pyspark.sql import Window
-
-    w = Window.partitionBy("rec").orderBy("weak", F.desc("score"))
-    top = _keys(spark, sf_dir).withColumn("r", F.rank().over(w)).where("r = 1")
-    return top.groupBy("rec").agg(F.count_distinct("field").alias("n_fields")).where("n_fields > 1")
-
-
-@query(f"""SELECT rec, field, count(*) AS n_keys, max(score) AS best FROM ({_KEYS_SQL}) GROUP BY rec, field HAVING count(*) > 1""")
-def q_competing_keys(spark, sf_dir):
-    return _keys(spark, sf_dir).groupBy("rec", "field").agg(F.count(F.lit(1)).alias("n_keys"), F.max("score").alias("best")).where("n_keys > 1")
-
-
-@query("""SELECT c_custkey, 'acct balance' AS key, 'balance' AS field FROM customer""")
-def q_alias_match(spark, sf_dir):
-    """Key matching by the library's matcher over distinct keys, joined back to the rows."""
-    from loomcast.operators.keys import key_match
-    from loomcast.plans.config import Words, build_schema_config
-
-    cfg = build_schema_config({"schema_name": "account", "document_fields": {"balance": {"validator": "money", "aliases": ["account balance", "acct balance"]}}})
-    rows = table(spark, sf_dir, "customer").select("c_custkey", F.lit("acct balance").alias("key"))
-    km = key_match(rows, [("account", "doc", cfg.document_fields, Words(cfg), True)])
-    return rows.join(km.select("key", "field"), "key").select("c_custkey", "key", "field")
-
-
-@query("""SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber, CAST(l_extendedprice AS VARCHAR) IS NOT NULL AS same FROM lineitem WHERE l_linenumber = 1""")
-def q_competing_values(spark, sf_dir):
-    """The same amount in English and French spelling is equivalent."""
-    li = table(spark, sf_dir, "lineitem").where("l_linenumber = 1").withColumn("c", cents_of("l_extendedprice"))
-    en = N.parse_money(F.concat(F.lit("$"), whole("c"), F.lit("."), frac("c")), "en")["value"]
-    fr = N.parse_money(F.concat(whole("c"), F.lit(","), frac("c"), F.lit(" $")), "fr")["value"]
-    return li.select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", (en == fr).alias("same"))
-
-
-@query("""SELECT doc_id, source FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)""")
-def q_unmapped_keys(spark, sf_dir):
-    return table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels"), "doc_id", "left_anti").select("doc_id", "source")
-
-
 # ---- detection -----------------------------------------------------------------------------------------------
 @query("""SELECT event_type, count(*) AS n, CASE WHEN event_type IN ('click', 'purchase') THEN event_type END AS schema FROM events GROUP BY event_type""")
 def q_classify_type(spark, sf_dir):
@@ -256,25 +114,6 @@ def q_structural_score(spark, sf_dir):
     return structural_scores(keys, km, [cfg], ["t"]).select("t", "similarity")
 
 
-@query("""SELECT source, CASE WHEN gap >= 0.05 THEN lang END AS chosen FROM (SELECT source, arg_max(lang, share) AS lang, max(share) - coalesce(max(share) FILTER (WHERE rn = 2), 0) AS gap FROM
- (SELECT source, lang, count(*) / sum(count(*)) OVER (PARTITION BY source) AS share, row_number() OVER (PARTITION BY source ORDER BY count(*) DESC, lang) AS rn FROM documents GROUP BY source, lang) GROUP BY source)""")
-def q_select_with_margin(spark, sf_dir):
-    """Best candidate of a group if it beats the runner-up by the margin."""
-    from pyspark.sql import Window
-
-    w = Window.partitionBy("source")
-    d = table(spark, sf_dir, "documents").groupBy("source", "lang").agg(F.count(F.lit(1)).alias("n"))
-    d = d.withColumn("share", F.col("n") / F.sum("n").over(w)).withColumn("rn", F.row_number().over(w.orderBy(F.desc("n"), "lang")))
-    top = d.groupBy("source").agg(F.min_by("lang", "rn").alias("lang"), F.max("share").alias("a"), F.max(F.when(F.col("rn") == 2, F.col("share"))).alias("b"))
-    return top.select("source", F.when(F.col("a") - F.coalesce("b", F.lit(0.0)) >= 0.05, F.col("lang")).alias("chosen"))
-
-
-@query("""SELECT event_id, (CASE WHEN event_type IS NOT NULL THEN 1 ELSE 0 END + CASE WHEN value > 50 THEN 1 ELSE 0 END) / 2.0 >= 0.75 AS fits FROM events""")
-def q_record_fit(spark, sf_dir):
-    present = F.col("event_type").isNotNull().cast("int") + (F.col("value") > 50).cast("int")
-    return table(spark, sf_dir, "events").select("event_id", (present / 2 >= 0.75).alias("fits"))
-
-
 # ---- values --------------------------------------------------------------------------------------------------
 def _amounts(spark, sf_dir):
     return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", cents_of("l_extendedprice").alias("c"))
@@ -310,13 +149,6 @@ q_money_negative_trailing = _money_query(
 _AMBIGUOUS = "CAST(o_orderkey % 900 + 100 AS VARCHAR)"
 
 
-@query(f"SELECT o_orderkey, {_AMBIGUOUS} || ',' || {_AMBIGUOUS} || ' ' AS t, true AS ambiguous FROM orders")
-def q_money_ambiguous(spark, sf_dir):
-    n = (F.col("o_orderkey") % 900 + 100).cast("string")
-    t = F.concat(n, F.lit(","), n, F.lit(" "))
-    return table(spark, sf_dir, "orders").select("o_orderkey", t.alias("t"), N.parse_money(t, "mixed")["error"].isNotNull().alias("ambiguous"))
-
-
 @query("""SELECT c_custkey, CASE WHEN c_acctbal < 0 THEN 'negative' WHEN c_acctbal > 5000 THEN 'high' ELSE 'ok' END AS verdict FROM customer""")
 def q_money_limits(spark, sf_dir):
     cents = F.round(F.col("c_acctbal") * 100).cast("bigint")
@@ -469,55 +301,6 @@ def q_flagship_documents(spark, sf_dir):
     return out.withColumn("error", error)
 
 
-@query(f"SELECT o_orderkey, claimed, lines_cents FROM ({_DOC_SQL}) WHERE claimed <> lines_cents")
-def q_total_check(spark, sf_dir):
-    return _documents(spark, sf_dir).where("claimed <> lines_cents").select("o_orderkey", "claimed", "lines_cents")
-
-
-@query("""SELECT l_orderkey, count(*) AS n_lines, md5(string_agg(l_partkey || ':' || l_suppkey || ':' || l_linenumber, ',' ORDER BY l_partkey, l_suppkey, l_linenumber)) AS lines FROM lineitem GROUP BY l_orderkey""")
-def q_fold_lines(spark, sf_dir):
-    li = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.count(F.lit(1)).alias("n_lines"), F.array_sort(F.collect_list(F.struct("l_partkey", "l_suppkey", "l_linenumber"))).alias("a"))
-    text = F.transform("a", lambda x: F.concat_ws(":", *[x[c].cast("string") for c in ("l_partkey", "l_suppkey", "l_linenumber")]))
-    return li.select("l_orderkey", "n_lines", F.md5(F.array_join(text, ",")).alias("lines"))
-
-
-@query("""SELECT l_orderkey, CASE WHEN count(DISTINCT l_linestatus) = 1 THEN min(l_linestatus) END AS hoisted FROM lineitem GROUP BY l_orderkey""")
-def q_hoist_columns(spark, sf_dir):
-    g = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.count_distinct("l_linestatus").alias("k"), F.min("l_linestatus").alias("v"))
-    return g.select("l_orderkey", F.when(F.col("k") == 1, F.col("v")).alias("hoisted"))
-
-
-@query("""SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber, CAST(CASE WHEN l_linenumber % 2 = 0 THEN l_shipdate ELSE o_orderdate END AS DATE) AS day, l_linenumber % 2 <> 0 AS inherited FROM lineitem JOIN orders ON l_orderkey = o_orderkey""")
-def q_line_inherit(spark, sf_dir):
-    own = F.when(F.col("l_linenumber") % 2 == 0, F.col("l_shipdate")).cast("date")
-    j = table(spark, sf_dir, "lineitem").join(table(spark, sf_dir, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
-    return j.select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", F.coalesce(own, F.col("o_orderdate").cast("date")).alias("day"), own.isNull().alias("inherited"))
-
-
-@query("""SELECT l_orderkey, bool_and(l_linenumber % 5 <> 0) AS on_every_line FROM lineitem GROUP BY l_orderkey""")
-def q_doc_field_on_all_lines(spark, sf_dir):
-    return table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.bool_and(F.col("l_linenumber") % 5 != 0).alias("on_every_line"))
-
-
-@query("""SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber, p_brand, l_quantity FROM lineitem JOIN part ON l_partkey = p_partkey WHERE l_quantity > CASE p_brand WHEN 'Brand#1' THEN 10 WHEN 'Brand#2' THEN 20 ELSE 45 END""")
-def q_max_by_vocabulary(spark, sf_dir):
-    most = F.create_map(F.lit("Brand#1"), F.lit(10.0), F.lit("Brand#2"), F.lit(20.0))
-    j = table(spark, sf_dir, "lineitem").join(table(spark, sf_dir, "part").select("p_partkey", "p_brand"), F.col("l_partkey") == F.col("p_partkey"))
-    over = F.col("l_quantity") > F.coalesce(F.try_element_at(most, "p_brand"), F.lit(45.0))
-    return j.where(over).select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "p_brand", "l_quantity")
-
-
-@query("""SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber FROM lineitem WHERE l_quantity <> 0 AND l_extendedprice / l_quantity > 1500""")
-def q_rate_limit(spark, sf_dir):
-    return table(spark, sf_dir, "lineitem").where("l_quantity <> 0 and try_divide(l_extendedprice, l_quantity) > 1500").select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber")
-
-
-@query("""SELECT documents.doc_id, 'required field ''quality'' is missing' AS error FROM documents LEFT JOIN labels USING (doc_id) WHERE quality IS NULL""")
-def q_required_missing(spark, sf_dir):
-    j = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels"), "doc_id", "left").where("quality is null")
-    return j.select("doc_id", F.lit("required field 'quality' is missing").alias("error"))
-
-
 @query("""SELECT c_custkey, length(c_name) < 3 OR c_mktsegment NOT IN ('BUILDING', 'MACHINERY', 'AUTOMOBILE') AS violates FROM customer""")
 def q_target_schema(spark, sf_dir):
     from loomcast.plans.target import compile_schema, violations
@@ -533,30 +316,6 @@ def q_target_schema(spark, sf_dir):
     return table(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_mktsegment").mapInPandas(run, "c_custkey bigint, violates boolean")
 
 
-@query("""SELECT conv_id, count(*) AS n_turns, string_agg(role, '>' ORDER BY turn) AS roles, CAST(sum(length(text)) AS BIGINT) AS n_chars FROM conversations GROUP BY conv_id""")
-def q_conversation_documents(spark, sf_dir):
-    g = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(
-        F.count(F.lit(1)).alias("n_turns"), F.array_sort(F.collect_list(F.struct("turn", "role"))).alias("t"), F.sum(F.char_length("text")).alias("n_chars"))
-    return g.select("conv_id", "n_turns", F.array_join(F.transform("t", lambda x: x["role"]), ">").alias("roles"), "n_chars")
-
-
-@query(f"""SELECT code, severity, count(*) AS n FROM (SELECT 'TOTAL' AS code, 'error' AS severity FROM ({_DOC_SQL}) WHERE claimed <> lines_cents
- UNION ALL SELECT 'LINE_NONE', 'error' FROM ({_DOC_SQL}) WHERE n_lines IS NULL UNION ALL SELECT 'UNMAPPED', 'warning' FROM orders WHERE o_orderpriority IS NOT NULL) GROUP BY code, severity""")
-def q_report_summary(spark, sf_dir):
-    d = _documents(spark, sf_dir)
-    found = d.where("claimed <> lines_cents").select(F.lit("TOTAL").alias("code"), F.lit("error").alias("severity")).unionByName(
-        d.where("n_lines is null").select(F.lit("LINE_NONE").alias("code"), F.lit("error").alias("severity"))).unionByName(
-        table(spark, sf_dir, "orders").where("o_orderpriority is not null").select(F.lit("UNMAPPED").alias("code"), F.lit("warning").alias("severity")))
-    return found.groupBy("code", "severity").agg(F.count(F.lit(1)).alias("n"))
-
-
-@query("""SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H') AS hour, event_type, count(*) AS n, count(DISTINCT user_id) AS n_users FROM events GROUP BY 1, 2""")
-def q_event_windows(spark, sf_dir):
-    """Tumbling windows over the event table (monitoring; the stream form is in ``loomcast.streaming``)."""
-    e = table(spark, sf_dir, "events").groupBy(F.window("ts", "1 hour").alias("w"), "event_type")
-    return e.agg(F.count(F.lit(1)).alias("n"), F.count_distinct("user_id").alias("n_users")).select(F.date_format("w.start", "yyyy-MM-dd HH").alias("hour"), "event_type", "n", "n_users")
-
-
 ORDER_SCHEMA = {
     "schema_name": "order", "languages": ["en"], "line_containers": ["lines"],
     "document_fields": {

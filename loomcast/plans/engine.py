@@ -380,8 +380,8 @@ def process(cells: DataFrame, km: DataFrame, records: DataFrame, cfg: SchemaConf
         counted = every.join(boxes, RECORD, "left").join(line_ids.groupBy(*RECORD).agg(F.count(F.lit(1)).alias("n_lines")), RECORD, "left")
         findings.append(finding(counted.where("n_boxes is not null and n_lines is null").join(line_cells.select(*RECORD).distinct(), RECORD, "left_anti"), 6, 99, "error", F.lit("the list of line items is empty")))
         findings.append(finding(counted.where("n_boxes is null and n_lines is null"), 6, 99, "error", F.lit(f"no line items found: supply a list (e.g. '{words.primary_container}') or the line fields themselves")))
-        findings += _missing_on_lines(line_ids, line_values, doc_values, on_line, cfg)
-    findings += _missing_fields(every, doc_values, line_values, line_ids, cfg)
+        findings += missing_on_lines(line_ids, line_values, doc_values, on_line, cfg)
+    findings += missing_fields(every, doc_values, line_values, line_ids, cfg)
 
     # totals and rules
     findings.append(checks.total_findings(doc_values, line_values, line_ids, cfg))
@@ -438,7 +438,7 @@ def process(cells: DataFrame, km: DataFrame, records: DataFrame, cfg: SchemaConf
     return final, all_findings
 
 
-def _missing_on_lines(line_ids: DataFrame, line_values: DataFrame, doc_values: DataFrame, on_line: DataFrame, cfg: SchemaConfig) -> list[DataFrame]:
+def missing_on_lines(line_ids: DataFrame, line_values: DataFrame, doc_values: DataFrame, on_line: DataFrame, cfg: SchemaConfig) -> list[DataFrame]:
     present = line_values.groupBy(*RECORD, "line").agg(F.collect_set("field").alias("have"))
     above = doc_values.where("json <> 'null'").groupBy(*RECORD).agg(F.collect_set("field").alias("above"))
     strange = on_line.where("key is not null and not (scalar and field is not null)").groupBy(*RECORD, "line").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ord", "key"))), lambda x: x["key"]), ", ").alias("strange"))
@@ -456,7 +456,7 @@ def _missing_on_lines(line_ids: DataFrame, line_values: DataFrame, doc_values: D
     return out
 
 
-def _missing_fields(every: DataFrame, doc_values: DataFrame, line_values: DataFrame, line_ids: DataFrame, cfg: SchemaConfig) -> list[DataFrame]:
+def missing_fields(every: DataFrame, doc_values: DataFrame, line_values: DataFrame, line_ids: DataFrame, cfg: SchemaConfig) -> list[DataFrame]:
     """Document fields that are neither given nor present on every line."""
     have = doc_values.groupBy(*RECORD).agg(F.collect_set("field").alias("have"))
     n = line_ids.groupBy(*RECORD).agg(F.count(F.lit(1)).alias("n"))
