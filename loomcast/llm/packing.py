@@ -74,7 +74,7 @@ def encoder(vocabulary: bytes, ranks: bytes | None = None, pattern: str | None =
 
         def made(text: str) -> np.ndarray:
             try:
-                return np.asarray(fast.encode(text, allowed_special="all"), dtype=np.uint32)
+                return fast.encode_to_numpy(text, allowed_special="all")
             except (KeyboardInterrupt, SystemExit):
                 raise
             except BaseException:  # the pattern's backtracking limit, or a panic of the native code
@@ -289,7 +289,7 @@ def pack(
     text: str = "text",
     window: int = 2048,
     end_id: int = 1,
-    shard_bytes: int = 16 << 20,
+    shard_bytes: int = 8 << 20,
     depth: int = 4,
 ) -> DataFrame:
     """Pieces ``doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset``."""
