@@ -1,21 +1,25 @@
 """Licence scan: trained paragraph classifier with template confirmation.
 
-A paragraph (line) is scored over overlapping windows of ``SPAN`` words that
+A paragraph (lines up to a blank one) is scored over overlapping windows of ``SPAN`` words that
 cover all of it, and each family keeps its best window.  A window is read as
 lower-cased word uni- and bigrams hashed into ``DIM`` features, averaged over it.  A logistic regression tells
 licence statements from everything else (the unknown class) and is calibrated
 by Platt scaling on held-out rows; a second, multinomial one names the family.
 A prediction is confirmed when the window holds most words of one of the
 family's names, or when most of its word trigrams are in the family's text; a
-text confirms its family also where the regression named another.
+text confirms its family also where the regression named another.  A statement
+that denies a licence ("not released under ...") confirms none.
 
 Training rows are at most ``max_rows`` (default 4,000): statements framed from
-the templates, and paragraphs sampled from the corpus as unknown (those with a
-template's name in them are left out).  Scoring uses only column functions, in
+the templates, and paragraphs of ``max_docs`` (default 1,000) documents of the
+least text hashes as unknown (those with licence words in them are left out), so
+that the sample does not depend on the order of files.  Frames and sentences of
+the calibration rows are not among the training rows.  Scoring uses only column functions, in
 one pass without a shuffle, over every paragraph of every document.
 
 Defined cases: a null text has no paragraphs; repeated rows are scanned each;
-an empty table gives no rows; extra columns are ignored.
+very long texts and lines are scanned whole; of families with equal scores the
+last by name is taken; an empty table gives no rows; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -90,6 +94,9 @@ TEXTS = {
 }
 #: words of a window, and how far the next one starts: any SPAN - STRIDE + 1 words in a row lie in one window.
 SPAN, STRIDE = 12, 6
+PARAGRAPH = r"\n(?:[ \t\x0B\f\r]*\n)+"
+#: A statement that denies a licence.
+DENIED = r"\b(?:not|never|nor|cannot|isn t|longer) (?:\S+ ){0,2}(?:licen[cs]ed|released|distributed|covered|available|published|under)\b"
 FAMILIES = tuple(NAMES)
 FRAMES = (
     "Licensed under {the}{name}.", "Released under {the}{name}.", "This work is licensed under {the}{name}.",
@@ -131,17 +138,17 @@ def features(words: Column) -> Column:
     return F.concat(one, two)
 
 
-def training_rows(seed: int = 7) -> list[tuple[str, int]]:
-    """(paragraph, family number; -1 for unknown) framed from the fixed names."""
+def training_rows(seed: int = 7) -> list[tuple[str, int, int]]:
+    """(paragraph, family number; -1 for unknown, number of its frame or sentence) framed from the fixed names."""
     rng = random.Random(seed)
     fill = "the of and to in it on for with as by at from this that was is are be or an".split()
     rows = []
     for k, names in enumerate(NAMES.values()):
         for name in names:
-            for frame in FRAMES:
+            for at, frame in enumerate(FRAMES):
                 text = frame.format(name=name, the=rng.choice(("the ", "")))
-                rows.append((text, k))
-                rows.append((" ".join([*rng.sample(fill, 2), text]), k))
+                rows.append((text, k, at))
+                rows.append((" ".join([*rng.sample(fill, 2), text]), k, at))
     seen = set()
     for k, family in enumerate(FAMILIES):
         words = _words(TEXTS[family])
@@ -149,17 +156,17 @@ def training_rows(seed: int = 7) -> list[tuple[str, int]]:
             text = " ".join(words[a : a + SPAN])
             if text not in seen:  # notices share sentences: the trigrams decide there
                 seen.add(text)
-                rows.append((text, k))
+                rows.append((text, k, a // STRIDE + 1))
     for k, names in enumerate(NAMES.values()):
         for name in names:
             text = _words(FRAMES[0].format(name=name, the="the "))[:SPAN]
             left = rng.randint(0, SPAN - len(text))
-            rows.append((" ".join([*rng.choices(fill, k=left), *text, *rng.choices(fill, k=SPAN - len(text) - left)]), k))
-    for text in DECOYS:
+            rows.append((" ".join([*rng.choices(fill, k=left), *text, *rng.choices(fill, k=SPAN - len(text) - left)]), k, 1))
+    for at, text in enumerate(DECOYS):
         for _ in range(20):
-            rows.append((" ".join([*rng.sample(fill, 2), text, *rng.sample(fill, 2)]), -1))
-    for _ in range(400):
-        rows.append((" ".join(rng.choices(fill, k=rng.randint(3, 30))), -1))
+            rows.append((" ".join([*rng.sample(fill, 2), text, *rng.sample(fill, 2)]), -1, at))
+    for at in range(400):
+        rows.append((" ".join(rng.choices(fill, k=rng.randint(3, 30))), -1, at))
     rng.shuffle(rows)
     return rows
 
@@ -195,20 +202,21 @@ def _platt(z: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     return a, c
 
 
-def fit(docs: DataFrame, text: str = "text", max_rows: int = 4000) -> dict:
+def fit(docs: DataFrame, text: str = "text", max_rows: int = 4000, max_docs: int = 1000) -> dict:
     """Train both regressions on at most ``max_rows`` labelled paragraphs."""
     spark = docs.sparkSession
     rows = training_rows()
     known = "|".join(["licen[cs]e", "spdx", "copyright", "warrant", "public domain", "rights reserved", "proprietary", "permission", "redistribut", "merchantab", "liab(le|ility)"])
+    some = docs.select(F.col(f"`{text}`").cast("string").alias("t")).where("t is not null").orderBy(F.xxhash64("t")).limit(max_docs)
     sample = (
-        docs.select(F.explode(F.split(F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")), "\n")).alias("p"))
+        some.select(F.explode(F.split("t", "\n")).alias("p"))
         .where(~F.col("p").rlike("(?i)" + known) & ~F.col("p").rlike("(?i)(cc.by|cc0|gpl|mpl.2|bsd|apache)"))
-        .limit(max(max_rows - len(rows), 0))
+        .orderBy(F.xxhash64("p")).limit(max(max_rows - len(rows), 0))
     )
-    labelled = spark.createDataFrame(rows, "p string, y int").unionByName(sample.select("p", F.lit(-1).alias("y")))
-    got = [(np.array(r.x, dtype=np.int64), r.y) for r in labelled.select(features(tokens(F.col("p"))).alias("x"), "y").collect() if r.x]
-    x, y = [g[0] for g in got], np.array([g[1] for g in got])
-    held = np.arange(len(x)) % 5 == 0
+    labelled = spark.createDataFrame(rows, "p string, y int, g int").unionByName(sample.select("p", F.lit(-1).alias("y"), F.pmod(F.xxhash64("p"), F.lit(1000)).cast("int").alias("g")))
+    got = sorted((r.g, r.y, r.x) for r in labelled.select(features(tokens(F.col("p"))).alias("x"), "y", "g").collect() if r.x)
+    x, y = [np.array(g[2], dtype=np.int64) for g in got], np.array([g[1] for g in got])
+    held = np.array([g[0] for g in got]) % 5 == 0
     train = np.flatnonzero(~held)
     wb, bb = _fit([x[i] for i in train], (y[train] >= 0).astype(int), 2)
     weight, bias = wb[:, 1] - wb[:, 0], float(bb[1] - bb[0])
@@ -255,8 +263,8 @@ def _text_share(words: Column, family: str) -> Column:
 
 
 def scan(docs: DataFrame, model: dict, id_col: str = "doc_id", text: str = "text", min_probability: float = 0.5, min_share: float = 0.75) -> DataFrame:
-    """Per row: ``doc_id, n_paragraphs, licences`` (array of line, family, probability, confirmed), the best window of each family on a line."""
-    lines = F.split(F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")), "\n")
+    """Per row: ``doc_id, n_paragraphs, licences`` (array of paragraph, family, probability, confirmed), the best window of each family in a paragraph."""
+    lines = F.split(F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")), PARAGRAPH)
     rows = docs.select(F.col(f"`{id_col}`").alias("doc_id"), lines.alias("lines"))
     gate = _vector(model["weight"])
     # one select for each step: a lambda argument is evaluated once, an inlined expression at every use
@@ -280,10 +288,10 @@ def scan(docs: DataFrame, model: dict, id_col: str = "doc_id", text: str = "text
     def named(s: Column) -> Column:
         best = F.array_max(F.array(*[F.struct(_mean_score(s["x"], family[k], model["family_bias"][k]).alias("z"), F.lit(f).alias("family")) for k, f in enumerate(FAMILIES)]))
         held = F.array_max(F.array(*[F.struct(_text_share(s["words"], f).alias("share"), F.lit(f).alias("family")) for f in FAMILIES]))
-        return F.struct(s["line"].alias("line"), (1 / (1 + F.exp(-s["z"]))).alias("probability"), best["family"].alias("family"), held.alias("held"), s["words"].alias("words"))
+        return F.struct(s["line"].alias("line"), (1 / (1 + F.exp(-s["z"]))).alias("probability"), best["family"].alias("family"), held.alias("held"), s["words"].alias("words"), F.array_join(s["words"], " ").rlike(DENIED).alias("denied"))
 
     def confirmed(s: Column) -> Column:
-        share = F.coalesce(*[F.when(s["family"] == f, F.greatest(_template_share(s["words"], f), _text_share(s["words"], f))) for f in FAMILIES])
+        share = F.coalesce(*[F.when(s["family"] == f, F.greatest(F.when(s["denied"], F.lit(0.0)).otherwise(_template_share(s["words"], f)), _text_share(s["words"], f))) for f in FAMILIES])
         return F.struct(
             s["line"].alias("line"), F.when((share < min_share) & (s["held"]["share"] >= min_share), s["held"]["family"]).otherwise(s["family"]).alias("family"),
             s["probability"].alias("probability"), ((share >= min_share) | (s["held"]["share"] >= min_share)).alias("confirmed"),

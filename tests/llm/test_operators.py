@@ -522,6 +522,10 @@ def test_licences_in_long_lines_and_by_their_text(spark):
             (4, prose(rng, 400)), (5, prose(rng, 90) + " Licensed under CC BY-NC 4.0. " + prose(rng, 90) + " " + " ".join(mit[:30]))]
     df = spark.createDataFrame(rows, "doc_id bigint, text string")
     got = {r.doc_id: {x.family for x in r.licences if x.confirmed} for r in licences.scan(df, licences.fit(df)).collect()}
+    wrapped = licences.TEXTS["MIT"].split(" ")
+    odd = [(1, "\n".join(" ".join(wrapped[i : i + 7]) for i in range(0, 70, 7))), (2, "This program is not released under the MIT License."), (3, "It is no longer available under the Apache License 2.0"), (4, "Released under the\nMIT License.\n\nNo more.")]
+    found = {r.doc_id: (r.n_paragraphs, {x.family for x in r.licences if x.confirmed}) for r in licences.scan(spark.createDataFrame(odd, "doc_id bigint, text string"), licences.fit(df)).collect()}
+    assert found == {1: (1, {"MIT"}), 2: (1, set()), 3: (1, set()), 4: (2, {"MIT"})}
     assert got[1] == {"MIT"} and got[2] == {"MIT"} and "BSD-3-Clause" in got[3] and got[4] == set() and got[5] == {"MIT", "CC-BY-NC-4.0"}
 
 
