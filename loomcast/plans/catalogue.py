@@ -121,8 +121,9 @@ def _amounts(spark, sf_dir):
 
 def _money_query(name: str, render, locale: str, sql: str | None = None):
     def run(spark, sf_dir):
-        got = N.parse_money(render(), locale)
-        return _amounts(spark, sf_dir).select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", (got["value"] * 100).cast("bigint").alias("cents"), got["error"].isNotNull().alias("failed"))
+        # a select for each step: what is used twice is worked out once
+        rows = _amounts(spark, sf_dir).withColumn("t", render()).withColumn("got", N.parse_money(F.col("t"), locale))
+        return rows.select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", (F.col("got.value") * 100).cast("bigint").alias("cents"), F.col("got.error").isNotNull().alias("failed"))
 
     run.__name__ = name
     return query(sql or f"SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber, {CENTS} AS cents, false AS failed FROM lineitem")(run)
@@ -163,15 +164,15 @@ def q_money_round(spark, sf_dir):
     """A third decimal of 5 is rounded half up, with a warning."""
     a = _amounts(spark, sf_dir)
     raw = F.concat(whole("c"), F.lit("."), frac("c"), F.lit("5"))
-    out = V.VALIDATORS["money"](raw, F.lit("string"), {}, V.Scope(name="price"))
-    return a.select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", (out["number"] * 100).cast("bigint").alias("cents"), (F.size(out["warnings"]) > 0).alias("warned"))
+    rows = a.withColumn("t", raw).withColumn("out", V.VALIDATORS["money"](F.col("t"), F.lit("string"), {}, V.Scope(name="price")))
+    return rows.select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", (F.col("out.number") * 100).cast("bigint").alias("cents"), (F.size("out.warnings") > 0).alias("warned"))
 
 
 @query("""SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber, CASE WHEN l_quantity BETWEEN 1 AND 30 THEN CAST(l_quantity AS BIGINT) ELSE -1 END AS value, l_quantity NOT BETWEEN 1 AND 30 AS failed FROM lineitem""")
 def q_number_range(spark, sf_dir):
     raw = F.col("l_quantity").cast("bigint").cast("string")
-    out = V.VALIDATORS["number"](raw, F.lit("string"), {"minimum": 1, "maximum": 30}, V.Scope())
-    return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", F.coalesce(out["number"].cast("bigint"), F.lit(-1).cast("bigint")).alias("value"), out["error"].isNotNull().alias("failed"))
+    rows = table(spark, sf_dir, "lineitem").withColumn("t", raw).withColumn("out", V.VALIDATORS["number"](F.col("t"), F.lit("string"), {"minimum": 1, "maximum": 30}, V.Scope()))
+    return rows.select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", F.coalesce(F.col("out.number").cast("bigint"), F.lit(-1).cast("bigint")).alias("value"), F.col("out.error").isNotNull().alias("failed"))
 
 
 @query("""SELECT p_partkey, p_size % 2 = 1 AS failed FROM part""")
@@ -183,7 +184,8 @@ def q_integer_only(spark, sf_dir):
 
 def _date_query(name: str, render, languages=("en",), sql: str = "SELECT o_orderkey, CAST(o_orderdate AS DATE) AS day FROM orders"):
     def run(spark, sf_dir):
-        return table(spark, sf_dir, "orders").select("o_orderkey", N.parse_date(render(F.col("o_orderdate").cast("date")), True, languages)["value"].alias("day"))
+        rows = table(spark, sf_dir, "orders").select("o_orderkey", render(F.col("o_orderdate").cast("date")).alias("t"))
+        return rows.select("o_orderkey", N.parse_date(F.col("t"), True, languages)["value"].alias("day"))
 
     run.__name__ = name
     return query(sql)(run)

@@ -76,7 +76,7 @@ def transform(
     delimiter = delimiter or next((c.csv["delimiter"] for c in cfgs if c.csv.get("delimiter")), None)
     if isinstance(source, DataFrame):
         cells = source
-    elif isinstance(source, str) and source.lstrip()[:1] not in ("<", "{", "[") and "\n" not in source:
+    elif isinstance(source, str) and is_path(spark, source):
         cells = readers.read_sources(spark, source, fmt, delimiter, hints_of(cfgs))
     else:
         many = isinstance(source, list) and source and all(isinstance(x, (str, bytes)) for x in source)
@@ -84,6 +84,18 @@ def transform(
     return transform_cells(cells, cfgs, schema, languages, today or datetime.date.today())
 
 
+def is_path(spark: SparkSession, text: str) -> bool:
+    """Whether a text names files that are there (a path or glob of any file system); never raises."""
+    if "\n" in text or not 0 < len(text) < 1024:
+        return False
+    try:
+        path = spark._jvm.org.apache.hadoop.fs.Path(text)
+        found = path.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(path)
+        return found is not None and len(found) > 0
+    except Exception:  # whatever no file system takes for a path is text
+        return False
+
+
 def match_plans(cfgs: list[SchemaConfig], words: dict[str, Words]) -> list[tuple]:
     plans = []
     for c in cfgs:
@@ -242,24 +254,46 @@ def _label(scope: Column, line: Column) -> Column:
     return F.when(scope == "line", F.concat(F.lit("line "), line.cast("string"), F.lit(": "))).otherwise("")
 
 
+def _any(cases: list) -> Column:
+    return F.coalesce(*[F.when(test, value) for test, value in cases])
+
+
+def _same_outcome(a: Column, b: Column) -> Column:
+    return a["error"].isNull() & b["error"].isNull() & (a["value"] == b["value"])
+
+
 def competing_findings(mapped: DataFrame, cfg: SchemaConfig, words: Words) -> DataFrame:
     """Losing keys whose value repeats or contradicts the winner's."""
     specs = {s.name: s for s in cfg.all_specs}
     same = F.lit(None).cast("boolean")
+    scope = Scope(cfg.settings, words.languages, cfg.limits, datetime.date.today(), F.col("locale"))
     kinds = {s.name: s.validator for s in specs.values()}
     for kind in set(kinds.values()):
         names = [n for n, k in kinds.items() if k == kind]
         a, b = F.col("text"), F.col("winner_text")
-        if kind in ("money", "number"):
+        if kind == "number":
+            eq = _any([(F.col("field") == s.name, _same_outcome(*(VALIDATORS[kind](x, F.col(k), s.params, replace(scope, name=s.name)) for x, k in ((a, "kind"), (b, "winner_kind"))))) for s in specs.values() if s.validator == kind])
+        elif kind == "money":
             eq = parse_money(a, F.col("locale"), cfg.settings["ambiguous_number_policy"])["value"] == parse_money(b, F.col("locale"), cfg.settings["ambiguous_number_policy"])["value"]
         elif kind == "date":
             eq = parse_date(a, cfg.settings["day_first"], words.languages)["value"] == parse_date(b, cfg.settings["day_first"], words.languages)["value"]
         elif kind == "phone":
-            eq = F.regexp_replace(a, r"\D", "") == F.regexp_replace(b, r"\D", "")
+            eq = _same_outcome(*(VALIDATORS[kind](x, F.col(k), {}, scope) for x, k in ((a, "kind"), (b, "winner_kind"))))
+        elif kind == "vocabulary":
+            eq = F.col("same_term")
         else:
             eq = (F.col("kind") == F.col("winner_kind")) & (F.trim(a) == F.trim(b))
         same = F.when(F.col("field").isin(*names), F.coalesce(eq, F.lit(False))).otherwise(same)
-    lost = mapped.where("role = 'competing'").withColumn("same", same)
+    lost = mapped.where("role = 'competing'")
+    if "vocabulary" in kinds.values():
+        vocab = _any([(F.col("field") == s.name, F.lit(s.params["vocabulary"])) for s in specs.values() if s.validator == "vocabulary"])
+        lost = lost.withColumn("vocab", vocab)
+        texts = lost.where("vocab is not null").select("vocab", F.explode(F.array("text", "winner_text")).alias("text")).where("text is not null")
+        sure = F.col("term_score") >= cfg.settings["vocabulary_threshold"]
+        terms = vocabulary_matches(texts, cfg, words).select("vocab", "text", F.when(sure, F.col("term")).otherwise(F.col("plain_value")).alias("term"))
+        lost = lost.join(terms, ["vocab", "text"], "left").join(terms.select("vocab", F.col("text").alias("winner_text"), F.col("term").alias("winner_term")), ["vocab", "winner_text"], "left")
+        lost = lost.withColumn("same_term", F.col("term") == F.col("winner_term"))
+    lost = lost.withColumn("same", same)
     silent = F.col("same") & (F.col("language") != F.col("winner_language"))
     where = _label(F.col("scope"), F.col("line"))
     dup = F.concat(where, F.lit("'"), F.col("key"), F.lit("' repeats '"), F.col("winner_key"), F.lit("' (same value for '"), F.col("field"), F.lit("'); the duplicate was ignored"))
@@ -331,8 +365,11 @@ def process(cells: DataFrame, km: DataFrame, records: DataFrame, cfg: SchemaConf
         findings.append(finding(df.where(F.col(f"{pre}ambiguous") & F.col("scalar")), 2, F.col("ord"), "error", F.concat(where, F.lit("'"), F.col("key"), F.lit("' has ambiguous field meanings"))))
         findings.append(finding(df.where((F.size(f"{pre}refusals") > 0) & F.col("scalar") & F.col(f"{pre}field").isNull()), 2, F.col("ord"), "warning", F.concat(where, F.lit("'"), F.col("key"), F.lit("' was not used: "), F.array_join(f"{pre}refusals", "; "))))
     findings.append(finding(mapped.where("role = 'winner' and weak"), 2, F.col("ord"), "warning", F.concat(_label(F.col("scope"), F.col("line")), F.lit("generic field name '"), F.col("key"), F.lit("' was interpreted as '"), F.col("field"), F.lit(f"' using {cfg.name} context"))))
-    spelt = doc.select(*RECORD, "ord", "expansions").unionByName(on_line.select(*RECORD, "ord", "expansions"))
-    findings.append(finding(spelt.select(*RECORD, "ord", F.explode("expansions").alias("e")), 1, F.col("ord"), "warning", F.col("e")))
+    spelt = doc.select(*RECORD, "ord", F.explode("expansions").alias("e"))
+    inside = rows.where("line is not null and key is not null").join(lk.select("key", "expansions").where(F.size("expansions") > 0), "key")
+    place = F.concat(F.col("container"), F.lit("["), F.col("line").cast("string"), F.lit("]."))
+    spelt = spelt.unionByName(inside.select(*RECORD, "ord", F.explode("expansions").alias("e"), place.alias("place")).select(*RECORD, "ord", F.concat("place", "e").alias("e")))
+    findings.append(finding(spelt, 1, F.col("ord"), "warning", F.col("e")))
     findings.append(competing_findings(mapped, cfg, words))
 
     # top-level line values beside a list, or as the one line
