@@ -14,6 +14,8 @@ def shared_dir(spark: SparkSession) -> str:
     """``spark.checkpoint.dir``; a temporary folder only where the session has none (tests on one machine)."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="loomcast-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")

@@ -27,9 +27,9 @@ def transform_stream(
     languages: Sequence[str] | None = None, settings: dict | None = None, today: datetime.date | None = None,
     trigger: dict | None = None, each: Callable[[DataFrame, int], None] | None = None,
 ) -> StreamingQuery:
-    """Append the result rows of new files under ``folder`` to the Parquet table ``results``.
+    """Add the result rows of new files under ``folder`` to the Parquet table ``results``.
 
-    The batch id is a column, so a batch that is replayed after a failure can be told apart.
+    The batch id is a partition, and a batch that is replayed after a failure overwrites its own.
     """
     ship(spark)
     cfgs = prepare(configs, settings, languages)
@@ -39,7 +39,7 @@ def transform_stream(
         cells = parse_contents(batch.select("path", "content"), fmt, None, hints_of(cfgs))
         report = transform_cells(cells, cfgs, schema, languages, day)
         out = report.results.withColumn("batch_id", F.lit(batch_id))
-        out.write.mode("append").parquet(results)
+        out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch_id").parquet(results)
         if each:
             each(out, batch_id)
 
