@@ -13,11 +13,13 @@ from pyspark.sql import DataFrame, SparkSession
 def shared_dir(spark: SparkSession) -> str:
     """The folder every executor can reach: ``spark.checkpoint.dir``.
 
-    Only where the session has none (unit tests on one machine) a temporary
-    folder is made and recorded in the session.
+    Only where the session has none and runs on one machine (unit tests) a
+    temporary folder is made and recorded in the session.
     """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="loomcast-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -35,6 +37,12 @@ def materialize(df: DataFrame, name: str, compression: str = "zstd") -> tuple[Da
     return spark.read.schema(df.schema).parquet(path), path
 
 
+def buckets(spark: SparkSession, wanted: int) -> int:
+    """As many buckets as wanted, at least one for each shuffle partition, at most as many as tables may have."""
+    most = int(spark.conf.get("spark.sql.sources.bucketing.maxBuckets", "100000"))
+    return min(max(wanted, int(spark.conf.get("spark.sql.shuffle.partitions"))), most)
+
+
 def bucketed(df: DataFrame, key: str, n: int, name: str) -> DataFrame:
     """Store ``df`` in ``n`` buckets of ``key`` (a file each): later joins on the key do not move it again."""
     spark = df.sparkSession

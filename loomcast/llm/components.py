@@ -31,20 +31,20 @@ def _star(edges: DataFrame, large: bool, stored: bool) -> DataFrame:
     return out.where("u <> v").distinct()
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """``(u, v)`` undirected edges -> ``(node, comp)`` with the least node of each component; isolated nodes are absent."""
+def components(edges: DataFrame, per: int = 500_000) -> DataFrame:
+    """``(u, v)`` undirected edges -> ``(node, comp)`` with the least node of each component; isolated nodes are absent.  ``per``: edges of a partition."""
     spark = edges.sparkSession
     now, path = materialize(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
     before = None
     while True:
         stamp = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).head()
-        now = snug(now, stamp[0])
+        now = snug(now, stamp[0], per)
         if stamp == before:
             break
         before = stamp
-        big = stamp[0] > 500_000
+        big = stamp[0] > per
         new, fresh = materialize(_star(_star(now, True, big), False, big), "edges")
         discard(spark, path)
         now, path = new, fresh
     out = _each(now, ("u", "v"), ("v", "v")).distinct()
-    return snug(out.select(F.col("u").alias("node"), F.col("v").alias("comp")), 2 * stamp[0])
+    return snug(out.select(F.col("u").alias("node"), F.col("v").alias("comp")), 2 * stamp[0], per)

@@ -346,8 +346,8 @@ def _classes(base: DataFrame, threshold: float, k: int, bands: int, per: int, ce
 def _stored(docs: DataFrame) -> DataFrame:
     """``docs`` with a row id ``rid``, stored in buckets of it: texts travel once, whatever is joined to them later."""
     spark = docs.sparkSession
-    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), docs.rdd.getNumPartitions())
-    return _shared.bucketed(docs.select(F.monotonically_increasing_id().alias("rid"), "*"), "rid", n, "rows")
+    rows = docs.select(F.monotonically_increasing_id().alias("rid"), "*")
+    return _shared.bucketed(rows, "rid", _shared.buckets(spark, docs.rdd.getNumPartitions()), "rows")
 
 
 def near_duplicates(

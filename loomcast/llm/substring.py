@@ -358,7 +358,7 @@ def dedup_substrings(
         .sortWithinPartitions("doc_id", "text")
         .mapInArrow(_pack(block_bytes), "block bigint, spare int, ids array<bigint>, texts array<string>")
         .drop("spare")
-        .write.bucketBy(n, "block").option("path", path).option("compression", "zstd").saveAsTable(name)
+        .write.bucketBy(_shared.buckets(spark, n), "block").option("path", path).option("compression", "zstd").saveAsTable(name)
     )
     blocks = spark.table(name)
     answers = spark.createDataFrame([], _ANSWER)

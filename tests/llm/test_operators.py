@@ -468,7 +468,9 @@ def test_signatures_estimate_weighted_jaccard():
 
 def test_components(spark):
     edges = [(i, i + 1) for i in range(1, 40)] + [(100, k) for k in range(101, 130)] + [(130, 129), (500, 400), (7, 7)]
-    got = {r.node: r.comp for r in components.components(spark.createDataFrame(edges, "u bigint, v bigint")).collect()}
+    df = spark.createDataFrame(edges, "u bigint, v bigint")
+    got = {r.node: r.comp for r in components.components(df).collect()}
+    assert got == {r.node: r.comp for r in components.components(df, per=20).collect()}
     assert {got[i] for i in range(1, 41)} == {1} and {got[i] for i in range(100, 131)} == {100} and got[500] == got[400] == 400
 
 
