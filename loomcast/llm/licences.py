@@ -207,7 +207,11 @@ def fit(docs: DataFrame, text: str = "text", max_rows: int = 4000, max_docs: int
     spark = docs.sparkSession
     rows = training_rows()
     known = "|".join(["licen[cs]e", "spdx", "copyright", "warrant", "public domain", "rights reserved", "proprietary", "permission", "redistribut", "merchantab", "liab(le|ility)"])
-    some = docs.select(F.col(f"`{text}`").cast("string").alias("t")).where("t is not null").orderBy(F.xxhash64("t")).limit(max_docs)
+    # a hash range of about twice as many texts as wanted, so that no task meets rows in line with the corpus; copies count once
+    texts = docs.select(F.col(f"`{text}`").cast("string").alias("t")).where("t is not null").select("t", F.xxhash64("t").alias("h"))
+    share = min(1.0, 2 * max_docs / max(docs.count(), 1))
+    some = texts.where(F.pmod("h", F.lit(1 << 40)) < int(share * (1 << 40)))
+    some = some.groupBy("h").agg(F.min("t").alias("t")).orderBy(F.pmod("h", F.lit(1 << 40))).limit(max_docs)
     sample = (
         some.select(F.explode(F.split("t", "\n")).alias("p"))
         .where(~F.col("p").rlike("(?i)" + known) & ~F.col("p").rlike("(?i)(cc.by|cc0|gpl|mpl.2|bsd|apache)"))
