@@ -164,8 +164,7 @@ def blocks_of(page: str | None) -> list[Block]:
 def describe(blocks: list[Block]) -> list[list[str]]:
     """Feature names of each block."""
     out = []
-    n = len(blocks)
-    for i, b in enumerate(blocks):
+    for b in blocks:
         size = len(b.text)
         words = b.text.count(" ") + 1
         names = ["bias", f"leaf:{b.leaf}"]
@@ -178,10 +177,6 @@ def describe(blocks: list[Block]) -> list[list[str]]:
             names.append("few-words")
         if "©" in b.text:
             names.append("copyright")
-        if i == 0:
-            names.append("first")
-        if i == n - 1:
-            names.append("last")
         out.append(names)
     return out
 
@@ -295,7 +290,7 @@ def _sentences(rng: random.Random, most: int = 8) -> str:
     return " ".join(_words(rng, rng.randint(1, 18)).capitalize() + rng.choice((".", ".", ",", "?", "!", " %%%.", "")) for _ in range(rng.randint(1, most)))
 
 
-def labelled_pages(n: int = 400, seed: int = 11) -> list[tuple[str, set[str]]]:
+def labelled_pages(n: int = 700, seed: int = 11) -> list[tuple[str, set[str]]]:
     """(page, texts of its main blocks), the layouts drawn by rule."""
     rng = random.Random(seed)
     out = []
@@ -355,8 +350,8 @@ def labelled_pages(n: int = 400, seed: int = 11) -> list[tuple[str, set[str]]]:
 
         def article() -> str:
             inside = [say("h1")] if rng.random() < 0.8 else []
-            if rng.random() < 0.1:
-                inside.append(other("hatnote"))
+            if rng.random() < 0.2:
+                inside.insert(rng.randint(0, len(inside)), other("hatnote"))
             for _ in range(rng.randint(1, 9)):
                 x = rng.random()
                 inside.append(table() if x < 0.06 else "<dl>" + say("dt") + say("dd") + "</dl>" if x < 0.09 else "<pre>" + say("code") + "</pre>" if x < 0.11 else say("p") if x < 0.7 else say("h2") if x < 0.8 else "<ul>" + say("li") + say("li") + "</ul>" if x < 0.88 else say("blockquote") if x < 0.94 else f"<div>{say('p')}</div>")
@@ -374,8 +369,10 @@ def labelled_pages(n: int = 400, seed: int = 11) -> list[tuple[str, set[str]]]:
         after = [other(k) for k in ("share", "comments", "sidebar", "form", "advert", "menu", "notice", "footer") if rng.random() < 0.45]
         if rng.random() < 0.3:
             before.append(other("sidebar"))
-        title = f"{_words(rng, 4)} {next(unique)}"
-        page = f"<!DOCTYPE html><html><head><title>{title}</title></head><body>{''.join(before)}{plain() if rng.random() < 0.2 else article()}{''.join(after)}</body></html>"
+        if rng.random() < 0.15:  # nothing but the text
+            before, after = [], []
+        title = f"<head><title>{_words(rng, 4)} {next(unique)}</title></head>" if rng.random() < 0.85 else ""
+        page = f"<!DOCTYPE html><html>{title}<body>{''.join(before)}{plain() if rng.random() < 0.2 else article()}{''.join(after)}</body></html>"
         out.append((page[: rng.randint(len(page) // 2, len(page))] if rng.random() < 0.1 else page, main))
     return out
 
@@ -393,7 +390,7 @@ def sequences(pages: list[tuple[str, set[str]]]) -> list[tuple[list[list[str]],
 _MODEL: dict[tuple, Crf] = {}
 
 
-def default_model(n: int = 400, seed: int = 11) -> Crf:
+def default_model(n: int = 700, seed: int = 11) -> Crf:
     if (n, seed) not in _MODEL:
         _MODEL[n, seed] = train(sequences(labelled_pages(n, seed)))
     return _MODEL[n, seed]
