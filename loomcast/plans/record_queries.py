@@ -427,7 +427,7 @@ CLIENT = {
 }
 VENDOR = {
     "schema_name": "vendor", "languages": ["en"], "document_fields": {
-        "supplier_name": {"validator": "text", "signature": True}, "supplier_code": {"validator": "identifier", "signature": True}, "debt": {"validator": "number", "required": False, "aliases": ["money owed"]}},
+        "supplier_name": {"validator": "text", "signature": True}, "supplier_code": {"validator": "identifier", "signature": True}, "debt": {"validator": "number", "required": False, "aliases": ["money owed"], "params": {"minimum": -100000}}},
 }
 
 
