@@ -16,6 +16,7 @@ MODULES = {
     "op8_warc": "warc",
     "op9_licence_scan": "licences",
     "op10_quality_rules": "quality",
+    "op11_importance_resampling": "resample",
     "op13_token_counts": "tokencounts",
 }
 
