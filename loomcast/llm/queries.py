@@ -17,6 +17,7 @@ MODULES = {
     "op9_licence_scan": "licences",
     "op10_quality_rules": "quality",
     "op11_importance_resampling": "resample",
+    "op12_embedding_whitening": "whitening",
     "op13_token_counts": "tokencounts",
 }
 
