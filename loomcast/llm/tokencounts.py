@@ -35,9 +35,11 @@ one; extra columns are ignored.
 from __future__ import annotations
 
 import json
+import re
 import unicodedata
 from collections.abc import Iterator
 from functools import cache
+from itertools import accumulate
 from pathlib import Path
 
 import numpy as np
@@ -49,12 +51,14 @@ from pyspark.sql import functions as F
 from loomcast.llm import _shared
 
 #: Most entries of a worker's tables; a full table starts anew.
-KEPT = 400_000
+KEPT = 250_000
 #: Symbols at the start of a piece whose states are kept for other pieces.
 STEM = 6
 _NEVER = 1 << 60
 _NOTHING = (None, None)
 _START = ("", 0)
+#: White space of the texts that are split here; what else counts as white space is left to the library.
+_WHITE = "\t\n\r "
 #: Runs between spaces of at most so many code points are kept.
 SHORT = 40
 
@@ -80,15 +84,19 @@ def _byte_symbols() -> list[str]:
 
 
 class _Kept(dict):
-    """Results of a function of short strings, a bounded number of them."""
+    """Results of a function of short strings, a bounded number of them; a full table grows old, and what is asked again moves on."""
 
     def __init__(self, made) -> None:
         self.made = made
+        self.old: dict[str, bytes] = {}
 
     def __missing__(self, key: str) -> bytes:
-        made = self.made(key)
+        made = self.old.get(key)
+        if made is None:
+            made = self.made(key)
         if len(key) <= SHORT:
             if len(self) >= KEPT:
+                self.old = dict(self)
                 self.clear()
             self[key] = made
         return made
@@ -143,6 +151,9 @@ class Counter:
         # below U+0300 the normaliser works on each character alone; odd white space is left to the library
         self.simple = regex.compile(r"[\t\n\r -~¡-įı-˿]*")
         self.pattern = regex.compile(split)
+        # the same pattern for characters below U+0300, and the white space between
+        of = {kind: "".join(c for c in map(chr, range(0x300)) if regex.match(kind, c)) for kind in (r"\p{L}", r"\p{N}")}
+        self.everything = re.compile(split.replace(r"\p{L}", of[r"\p{L}"]).replace(r"\p{N}", of[r"\p{N}"]) + r"|\s+")
         self.follows: dict[str, dict[str, bool]] = {}
         self.n_follows = 0
         self.stems: dict[str, tuple[tuple, tuple]] = {}
@@ -191,9 +202,10 @@ class Counter:
             known = self.follows[before] = {}
         found = known.get(token)
         if found is None:
-            if self.n_follows >= KEPT:
+            if self.n_follows >= 4 * KEPT:
                 self.n_follows = 0
-                self.follows = {before: (known := {})}
+                self.follows.clear()
+                known = self.follows[before] = {}
             self.n_follows += 1
             own = self._merges_of(token)
             found = known[token] = bool(own) and (not before or self._meet(self._merges_of(before)[1], own[0], _NEVER))
@@ -205,15 +217,15 @@ class Counter:
             raw, stops = text, None
         else:
             raw = "".join([self.symbols[b] for b in text.encode()])
-            stops = set(np.cumsum([len(c.encode()) for c in text]).tolist())
-        get, nothing, may_follow, out = self.tails.get, _NOTHING, self._may_follow, []
+            stops = set(accumulate([len(c.encode()) for c in text]))
+        get, nothing, follows, may_follow, out = self.tails.get, _NOTHING, self.follows, self._may_follow, []
         stem = raw[:STEM] if not size and stops is None and len(raw) > STEM and inner[0] == _START else ""
         if stem in self.stems:
             states, n = self.stems[stem]
             inner[:], out, size, stem = states, [*n], STEM, ""
         for i in range(size + 1, len(raw) + 1):
             if stem and i == STEM + 1:
-                if len(self.stems) >= KEPT // 4:
+                if len(self.stems) >= KEPT // 2:
                     self.stems.clear()
                 self.stems[stem] = tuple(inner), tuple(out)
             fits = []
@@ -227,7 +239,9 @@ class Counter:
             for k, (token, _) in fits:
                 if token:
                     before, n = inner[k]
-                    if may_follow(before, token):
+                    known = follows.get(before)
+                    fit = known.get(token) if known else None
+                    if may_follow(before, token) if fit is None else fit:
                         inner.append((token, n + 1))
                         break
             else:
@@ -236,7 +250,9 @@ class Counter:
                 for k, (_, token) in fits:
                     if token:
                         before, n = inner[k]
-                        if may_follow(before, token):
+                        known = follows.get(before)
+                        fit = known.get(token) if known else None
+                        if may_follow(before, token) if fit is None else fit:
                             out.append(n + 1)
                             break
                 else:
@@ -245,6 +261,8 @@ class Counter:
 
     def piece(self, text: str) -> list[int]:
         """The count of each prefix of a piece of the splitter."""
+        if not text.strip(_WHITE):
+            return [0] * len(text)
         if len(text) == 1 or text.isalpha() or (not regex.search(r"\p{L}|\p{N}", text)):
             return self._walk(text, [_START], 0)
         # a prefix may be split where the whole is not
@@ -335,18 +353,16 @@ class Counter:
 
     def steps(self, run: str) -> bytes:
         """How the count changes with each code point, a signed byte each."""
-        if self.simple.fullmatch(run) and not self.special.search(run):
-            normal = run.lower()
-            pieces = self.pattern.findall(normal)
-            if sum(map(len, pieces)) == len(normal):
-                return b"".join(map(self.piece_steps.__getitem__, pieces))
         return _as_steps(self.all_counts(run))
 
     def table(self, text: str) -> tuple[int, bytes]:
         """(tokens, stored form) of a text: width of a step in its first byte, then the steps."""
         try:
             # pieces and special strings hold no spaces, so runs between spaces add up
-            steps = b"\0".join(map(self.runs.__getitem__, text.split(" ")))
+            if self.simple.fullmatch(text) and not self.special.search(text):
+                steps = b"".join(map(self.piece_steps.__getitem__, self.everything.findall(text.lower())))
+            else:
+                steps = b"\0".join(map(self.runs.__getitem__, text.split(" ")))
         except Wide:
             counts = self.all_counts(text)
             wide = np.diff(np.asarray([0, *counts], np.int32)).astype("<i4")
