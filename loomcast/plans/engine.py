@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import datetime
 import json
+import os
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, replace
 
@@ -22,12 +23,14 @@ from loomcast.functions.values import DECIMAL, number_locale, parse_date, parse_
 from loomcast.operators import checks, detect
 from loomcast.operators.keys import key_match, vocabulary_term
 from loomcast.operators.mapping import document_languages, mark_document_keys, rank_matches
-from loomcast.plans.config import ConfigError, SchemaConfig, Words, load_schema_configs
+from loomcast.plans.config import ConfigError, SchemaConfig, SourceError, Words, load_schema_configs
 from loomcast.plans.defaults import SETTINGS
 from loomcast.plans.store import keep, ship
-from loomcast.sources import readers
+from loomcast.sources import large, readers
 
 RECORD = ["source_id", "rec"]
+#: Of the messages that make a whole source unusable, so many are spelt out; the rest are counted.
+SPELT_OUT = 100
 FINDING = "source_id string, rec bigint, stage int, seq long, severity string, message string"
 
 
@@ -70,17 +73,28 @@ def transform(
     spark: SparkSession, source, configs, fmt: str | None = None, schema: str | None = None, languages: Sequence[str] | None = None,
     settings: dict | None = None, delimiter: str | None = None, today: datetime.date | None = None,
 ) -> Report:
-    """``source``: a path or glob, a list of in-memory sources, a dict, or a DataFrame of cells."""
+    """``source``: a path or glob (text or ``Path``), text, bytes, a dict, a list of in-memory sources, or a DataFrame of cells.
+
+    Formats are named in any case.  What no source can be raises SourceError.
+    """
     ship(spark)
     cfgs = prepare(configs, settings, languages)
     delimiter = delimiter or next((c.csv["delimiter"] for c in cfgs if c.csv.get("delimiter")), None)
+    fmt = fmt.strip().lower() if isinstance(fmt, str) else fmt
+    if fmt is not None and fmt not in readers.FORMATS:
+        raise SourceError(f"unsupported source format '{fmt}'")
+    hints = hints_of(cfgs)
+    if isinstance(source, os.PathLike):
+        source = os.fspath(source)
+        if not is_path(spark, source):
+            raise SourceError(f"no such source: {source}")
     if isinstance(source, DataFrame):
         cells = source
     elif isinstance(source, str) and is_path(spark, source):
-        cells = readers.read_sources(spark, source, fmt, delimiter, hints_of(cfgs))
+        cells = large.read_paths(spark, source, fmt, delimiter, hints)
     else:
-        many = isinstance(source, list) and source and all(isinstance(x, (str, bytes)) for x in source)
-        cells = readers.read_values(spark, source if many else [source], fmt, delimiter, hints_of(cfgs))
+        many = isinstance(source, list) and source and all(isinstance(x, (str, bytes, bytearray)) for x in source)
+        cells = readers.read_values(spark, source if many else [source], fmt, delimiter, hints)
     return transform_cells(cells, cfgs, schema, languages, today or datetime.date.today())
 
 
@@ -114,16 +128,36 @@ def languages_of(results: DataFrame) -> DataFrame:
     return each.groupBy("source_id").agg(F.array_sort(F.collect_set("language")).alias("languages_detected"))
 
 
+def spelt_out(rows: DataFrame) -> DataFrame:
+    """(source_id, said): the messages of each source in the order of its records, the first of them in full.
+
+    ``rows``: source_id, rec, message.  Only the first are gathered, so a source of any size will do.
+    """
+    first = rows.withColumn("place", F.row_number().over(Window.partitionBy("source_id").orderBy("rec", "message"))).where(F.col("place") <= SPELT_OUT)
+    texts = first.groupBy("source_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("place", "message"))), lambda x: x["message"]), "; ").alias("said"))
+    n = rows.groupBy("source_id").agg(F.count(F.lit(1)).alias("n"))
+    more = F.when(F.col("n") > SPELT_OUT, F.concat(F.lit("; and "), (F.col("n") - SPELT_OUT).cast("string"), F.lit(" more"))).otherwise("")
+    return texts.join(n, "source_id").select("source_id", F.concat("said", more).alias("said"))
+
+
 def transform_cells(cells: DataFrame, cfgs: list[SchemaConfig], forced: str | None, languages: Sequence[str] | None, today: datetime.date) -> Report:
     if forced and forced not in [c.name for c in cfgs]:
         raise ConfigError(f"unknown schema '{forced}'")
     words = {c.name: Words(c, languages) for c in cfgs}
     cells = keep(cells, "cells")
-    km = keep(key_match(cells, match_plans(cfgs, words)), "keys")
+    # folded rows stand under the name of a container, which the cells need not hold
+    boxes = cells.sparkSession.createDataFrame([(words[c.name].primary_container,) for c in cfgs if c.has_lines and c.csv.get("layout") == "lines"], "key string")
+    km = keep(key_match(cells.select("key").unionByName(boxes), match_plans(cfgs, words)), "keys")
     sources = cells.groupBy("source_id").agg(
         F.first("format").alias("format"), F.array_compact(F.collect_list(F.when(F.col("kind") == "source_error", F.col("text")))).alias("read_errors"),
         F.array_compact(F.collect_list(F.when(F.col("kind") == "source_note", F.col("text")))).alias("notes"),
     )
+    # a source none of whose records can be used is an error as a whole
+    is_record = ~F.col("kind").isin("record_error", "source_error", "source_note")
+    idle = cells.groupBy("source_id").agg(F.bool_or(is_record).alias("usable")).where("not usable").select("source_id")
+    why = spelt_out(cells.where("kind = 'record_error'").join(idle, "source_id", "left_semi").select("source_id", "rec", F.col("text").alias("message")))
+    sources = sources.join(why, "source_id", "left").withColumn("read_errors", F.when((F.size("read_errors") == 0) & F.col("said").isNotNull(), F.array("said")).otherwise(F.col("read_errors"))).drop("said")
+    sources = keep(sources, "sources")
     chosen = []
     for form in readers.FORMATS:
         able = [c for c in cfgs if form in c.formats and forced in (None, c.name)]
@@ -153,13 +187,13 @@ def transform_cells(cells: DataFrame, cfgs: list[SchemaConfig], forced: str | No
     for c in [c for c in cfgs if c.name in picked] or cfgs[:1]:
         of = decision.where(F.col("schema") == c.name).select("source_id")
         parts.append(process(cells.join(of, "source_id"), km, records, c, words[c.name], forced, today))
-    results, findings = parts[0]
-    for r, f in parts[1:]:
-        results, findings = results.unionByName(r), findings.unionByName(f)
+    results, findings, vetoes = parts[0]
+    for r, f, v in parts[1:]:
+        results, findings, vetoes = results.unionByName(r), findings.unionByName(f), vetoes.unionByName(v)
     summary = results.groupBy("source_id").agg(F.count(F.lit(1)).alias("n_records"), F.bool_and("is_valid").alias("all_valid")).join(languages_of(results), "source_id", "left")
-    head = sources.join(decision, "source_id", "left").join(summary, "source_id", "left")
+    head = sources.join(decision, "source_id", "left").join(summary, "source_id", "left").join(vetoes, "source_id", "left")
     nothing = F.array().cast("array<string>")
-    errors = F.concat("read_errors", F.coalesce("errors", nothing))
+    errors = F.concat("read_errors", F.coalesce("errors", nothing), F.array_compact(F.array("veto")))
     header = head.select(
         "source_id", "format", "schema", "schema_scores", errors.alias("errors"), F.concat("notes", F.coalesce("warnings", nothing)).alias("warnings"),
         F.coalesce("n_records", F.lit(0)).alias("n_records"), F.coalesce("languages_detected", nothing).alias("languages_detected"),
@@ -168,6 +202,15 @@ def transform_cells(cells: DataFrame, cfgs: list[SchemaConfig], forced: str | No
     return Report(header, results, findings)
 
 
+def misfits(good: DataFrame, km: DataFrame, typed: DataFrame, cfg: SchemaConfig) -> DataFrame:
+    """(source_id, rec, message) of the records without a type that do not fit the schema on their own."""
+    least = float(cfg.settings["min_schema_score"])
+    fit = detect.structural_scores(good, km.where(F.col("schema") == cfg.name), [cfg], RECORD)
+    low = fit.join(typed.where("status = 'none'"), RECORD).where(F.col("similarity") < least)
+    said = F.concat(F.lit(f"record does not fit schema '{cfg.name}' (similarity "), F.format_string("%.2f", "similarity"), F.lit(f", minimum {least:.2f})"))
+    return low.select(*RECORD, said.alias("message"))
+
+
 # ---- rows of a CSV to one document ---------------------------------------------------------------------------
 def fold_rows(cells: DataFrame, km: DataFrame, records: DataFrame, cfg: SchemaConfig, words: Words) -> DataFrame:
     """CSV layout "lines": columns of document fields with one value throughout (and the type) go up, the rest become lines."""
@@ -262,11 +305,11 @@ def _same_outcome(a: Column, b: Column) -> Column:
     return a["error"].isNull() & b["error"].isNull() & (a["value"] == b["value"])
 
 
-def competing_findings(mapped: DataFrame, cfg: SchemaConfig, words: Words) -> DataFrame:
+def competing_findings(mapped: DataFrame, cfg: SchemaConfig, words: Words, today: datetime.date | None = None) -> DataFrame:
     """Losing keys whose value repeats or contradicts the winner's."""
     specs = {s.name: s for s in cfg.all_specs}
     same = F.lit(None).cast("boolean")
-    scope = Scope(cfg.settings, words.languages, cfg.limits, datetime.date.today(), F.col("locale"))
+    scope = Scope(cfg.settings, words.languages, cfg.limits, today or datetime.date.today(), F.col("locale"))
     kinds = {s.name: s.validator for s in specs.values()}
     for kind in set(kinds.values()):
         names = [n for n, k in kinds.items() if k == kind]
@@ -302,28 +345,34 @@ def competing_findings(mapped: DataFrame, cfg: SchemaConfig, words: Words) -> Da
 
 
 # ---- one schema ------------------------------------------------------------------------------------------------
-def process(cells: DataFrame, km: DataFrame, records: DataFrame, cfg: SchemaConfig, words: Words, forced: str | None, today: datetime.date) -> tuple[DataFrame, DataFrame]:
-    """(results, findings) of the sources that belong to one schema."""
+def process(cells: DataFrame, km: DataFrame, records: DataFrame, cfg: SchemaConfig, words: Words, forced: str | None, today: datetime.date) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(results, findings, vetoes) of the sources that belong to one schema; a veto says why a source has no results."""
     s = cfg.settings
     bad = cells.where("kind = 'record_error'")
     good = cells.where("kind not in ('record_error', 'source_error', 'source_note')")
-    if cfg.csv.get("layout") == "lines":
+    vetoes = cells.sparkSession.createDataFrame([], "source_id string, veto string")
+    status = ["status", "type_key", F.coalesce("type_languages", F.array().cast("array<string>")).alias("type_languages")]
+    alone = good  # what is judged record by record
+    if cfg.has_lines and cfg.csv.get("layout") == "lines":
         records = records.join(cells.select("source_id").distinct(), "source_id")
-        good = good.where("format <> 'csv'").unionByName(fold_rows(good.where("format = 'csv'"), km, records, cfg, words))
-    typed = records.select(*RECORD, "type_key", F.coalesce("type_languages", F.array().cast("array<string>")).alias("type_languages"), "status")
+        table, alone = good.where("format = 'csv'"), good.where("format <> 'csv'")
+        # one bad row, and the rows of its source are no document
+        wrong = bad.where("format = 'csv'").select(*RECORD, F.col("text").alias("message"))
+        if not forced:
+            wrong = wrong.unionByName(misfits(table, km, records.select(*RECORD, *status), cfg))
+        wrong = keep(wrong.select(*RECORD, F.concat(F.lit("row "), F.col("rec").cast("string"), F.lit(": "), "message").alias("message")), "wrong_rows")
+        vetoes = spelt_out(wrong).select("source_id", F.concat(F.lit("CSV rows cannot be combined into one document: "), "said").alias("veto"))
+        gone = wrong.select("source_id").distinct()
+        table, bad = table.join(gone, "source_id", "left_anti"), bad.join(gone, "source_id", "left_anti")
+        good = alone.unionByName(fold_rows(table, km, records, cfg, words))
+    typed = records.select(*RECORD, *status)
     rows = good.join(typed, RECORD, "left")
     doc = mark_document_keys(rows.where("line is null"), km, cfg)
     findings: list[DataFrame] = []
     every = good.select(*RECORD).distinct()
 
     # records that do not fit on their own
-    if not forced:
-        fit = detect.structural_scores(good, km.where(F.col("schema") == cfg.name), [cfg], RECORD)
-        low = fit.join(typed.where("status = 'none'"), RECORD).where(F.col("similarity") < float(s["min_schema_score"]))
-        unfit = finding(low, 0, 0, "error", F.concat(F.lit(f"record does not fit schema '{cfg.name}' (similarity "), F.format_string("%.2f", "similarity"), F.lit(f", minimum {s['min_schema_score']:.2f})")))
-        unfit = unfit.join(every, RECORD, "left_semi") if cfg.csv.get("layout") != "lines" else unfit.limit(0)
-    else:
-        unfit = None
+    unfit = finding(misfits(alone, km, typed, cfg), 0, 0, "error", F.col("message")) if not forced else None
     shape = finding(bad, 0, 0, "error", F.col("text"))
     findings.append(shape)
     if unfit is not None:
@@ -370,7 +419,7 @@ def process(cells: DataFrame, km: DataFrame, records: DataFrame, cfg: SchemaConf
     place = F.concat(F.col("container"), F.lit("["), F.col("line").cast("string"), F.lit("]."))
     spelt = spelt.unionByName(inside.select(*RECORD, "ord", F.explode("expansions").alias("e"), place.alias("place")).select(*RECORD, "ord", F.concat("place", "e").alias("e")))
     findings.append(finding(spelt, 1, F.col("ord"), "warning", F.col("e")))
-    findings.append(competing_findings(mapped, cfg, words))
+    findings.append(competing_findings(mapped, cfg, words, today))
 
     # top-level line values beside a list, or as the one line
     line_names = [f.name for f in cfg.line_fields]
@@ -472,7 +521,7 @@ def process(cells: DataFrame, km: DataFrame, records: DataFrame, cfg: SchemaConf
         F.coalesce("warnings", nothing).alias("warnings"), "normalized", "field_mapping", F.coalesce("unmapped_fields", nothing).alias("unmapped_fields"),
         F.coalesce("languages_detected", nothing).alias("languages_detected"), "translations", F.coalesce("number_locale", number_locale(nothing, words.languages, s["number_locale"])).alias("number_locale"),
     )
-    return final, all_findings
+    return final, all_findings, vetoes
 
 
 def missing_on_lines(line_ids: DataFrame, line_values: DataFrame, doc_values: DataFrame, on_line: DataFrame, cfg: SchemaConfig) -> list[DataFrame]:

@@ -55,6 +55,63 @@ def q_profile_keys(spark, sf_dir):
     return each.groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("key").alias("n_keys"))
 
 
+_WRITTEN = """SELECT l_orderkey % 3 AS part, CAST(l_orderkey AS VARCHAR) AS "order", CAST(l_linenumber AS VARCHAR) AS line, CAST(CAST(l_quantity AS BIGINT) AS VARCHAR) AS "lot size",
+ l_returnflag || '"' || chr(10) || l_linestatus || ',' AS note FROM lineitem"""
+
+
+@query(f"""SELECT part, key, count(*) AS n, CAST(sum(length(text)) AS BIGINT) AS n_chars, min(text) AS least, max(text) AS most FROM ({_WRITTEN}) UNPIVOT (text FOR key IN ("order", line, "lot size", note)) GROUP BY ALL""")
+def q_large_csv(spark, sf_dir):
+    """Line items written as quoted CSV with line ends inside fields, a few files, and read back block by block."""
+    from loomcast.plans.store import scratch
+    from loomcast.sources import large
+
+    rows = table(spark, sf_dir, "lineitem").select(
+        (F.col("l_orderkey") % 3).alias("part"), F.col("l_orderkey").alias("order"), F.col("l_linenumber").alias("line"), F.col("l_quantity").cast("bigint").alias("lot size"),
+        F.concat("l_returnflag", F.lit('"\n'), "l_linestatus", F.lit(",")).alias("note"))
+    folder = scratch(spark, "written")
+    rows.repartitionByRange(3, "part").write.partitionBy("part").option("header", True).option("escape", '"').csv(folder)
+    cells = large.read_csv_files(spark, f"{folder}/part=*")
+    part = F.regexp_extract("source_id", r"part=(\d)", 1).cast("bigint")
+    return cells.where("kind = 'string'").groupBy(part.alias("part"), "key").agg(F.count(F.lit(1)).alias("n"), F.sum(F.char_length("text")).alias("n_chars"), F.min("text").alias("least"), F.max("text").alias("most"))
+
+
+_LINES = """SELECT c_mktsegment, CAST(c_custkey AS VARCHAR) AS cust, c_name || ' é' AS name FROM customer"""
+
+
+@query(f"""SELECT c_mktsegment, key, kind, count(*) AS n, min(text) AS least, max(text) AS most, max(rec) AS n_records FROM (
+ SELECT c_mktsegment, row_number() OVER (PARTITION BY c_mktsegment ORDER BY cust) AS rec, unnest([{{'key': 'id', 'kind': 'int', 'text': cust}}, {{'key': 'who > name', 'kind': 'string', 'text': name}}], recursive := true) FROM ({_LINES})) GROUP BY ALL""")
+def q_json_lines(spark, sf_dir):
+    """Customers written as JSON lines, a file for each segment, and read back block by block."""
+    from loomcast.plans.store import scratch
+    from loomcast.sources import large
+
+    rows = table(spark, sf_dir, "customer").select("c_mktsegment", F.to_json(F.struct(F.col("c_custkey").alias("id"), F.struct(F.concat("c_name", F.lit(" é")).alias("name")).alias("who"))).alias("value"))
+    folder = scratch(spark, "written")
+    rows.repartition("c_mktsegment").write.partitionBy("c_mktsegment").text(folder)
+    cells = large.read_json_lines(spark, f"{folder}/c_mktsegment=*")
+    segment = F.regexp_extract("source_id", r"c_mktsegment=([^/]*)/", 1)
+    return cells.groupBy(segment.alias("c_mktsegment"), "key", "kind").agg(F.count(F.lit(1)).alias("n"), F.min("text").alias("least"), F.max("text").alias("most"), F.max("rec").alias("n_records"))
+
+
+@query("""SELECT nation, key, kind, count(*) AS n, min(text) AS least, max(text) AS most, max(rec) AS n_records FROM (
+ SELECT s_nationkey AS nation, row_number() OVER (PARTITION BY s_nationkey ORDER BY s_suppkey) AS rec, unnest([{'key': 'id', 'kind': 'string', 'text': CAST(s_suppkey AS VARCHAR)}, {'key': 'name', 'kind': 'string', 'text': s_name || ' <&>'}], recursive := true)
+ FROM supplier) GROUP BY ALL""")
+def q_xml_records(spark, sf_dir):
+    """Suppliers written as XML, one root over all, and read record by record."""
+    from loomcast.plans.store import scratch
+    from loomcast.sources import large
+
+    rows = table(spark, sf_dir, "supplier").select(
+        F.format_string("<supplier nation='%d'><id>%d</id><name>%s &lt;&amp;&gt;</name></supplier>", "s_nationkey", "s_suppkey", "s_name").alias("value"), "s_suppkey")
+    ends = spark.createDataFrame([("<?xml version='1.0'?><suppliers>", -1), ("</suppliers>", 1 << 62)], "value string, s_suppkey bigint")
+    folder = scratch(spark, "written")
+    rows.unionByName(ends).coalesce(1).sortWithinPartitions("s_suppkey").select("value").write.text(folder)  # one file is the feature shown
+    cells = large.read_xml_records(spark, folder)
+    nation = cells.where("key = 'nation'").select("rec", F.col("text").cast("int").alias("nation"))
+    each = cells.where("key <> 'nation'").join(nation, "rec").withColumn("rec", F.dense_rank().over(Window.partitionBy("nation").orderBy("rec")).cast("bigint"))
+    return each.groupBy("nation", "key", "kind").agg(F.count(F.lit(1)).alias("n"), F.min("text").alias("least"), F.max("text").alias("most"), F.max("rec").alias("n_records"))
+
+
 @query("""SELECT s_suppkey, rec, key, kind, value FROM (SELECT s_suppkey, s_name, CAST(round(s_acctbal * 100) AS BIGINT) AS c, unnest([1, 2]) AS rec FROM supplier),
  LATERAL (VALUES ('name', 'string', CASE rec WHEN 1 THEN s_name ELSE 'a "b"; c' END), ('cents', 'string', CAST(c * rec AS VARCHAR)), ('note', 'string', '')) v(key, kind, value)""")
 def q_read_csv(spark, sf_dir):
@@ -167,6 +224,20 @@ def q_alias_match(spark, sf_dir):
     return rows.join(km, "key").select("c_custkey", "key", "field", "weak")
 
 
+_DOUBLED = "left(p_name, CAST(p_partkey % 3 + 1 AS INT)) || substr(p_name, CAST(p_partkey % 3 + 1 AS INT))"
+
+
+@query(f"""SELECT p_partkey, {_DOUBLED} AS key, replace(p_name, ' ', '_') AS field, false AS weak FROM part""")
+def q_key_similarity_join(spark, sf_dir):
+    """Keys with a letter doubled against all part names as fields: a similarity join through the index of names."""
+    rows = table(spark, sf_dir, "part")
+    names = [r.p_name for r in rows.select("p_name").distinct().orderBy("p_name").limit(5000).collect()]  # the fields of a configuration
+    cfg = schema("parts", {n.replace(" ", "_"): {"validator": "text"} for n in names})
+    keyed = rows.select("p_partkey", F.expr(_DOUBLED).alias("key"))
+    km = key_match(keyed, [("parts", "doc", cfg.document_fields, Words(cfg), True)])
+    return keyed.join(km, "key").select("p_partkey", "key", "field", "weak")
+
+
 # ---- mapping -------------------------------------------------------------------------------------------------
 _PART_KEYS = "SELECT p_partkey % 500 AS rec, 'k' || p_partkey AS key, 'f' || (p_size % 7) AS field, p_size % 3 / 2 AS score, p_size % 2 = 0 AS weak FROM part"
 

@@ -21,13 +21,24 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    return f"{shared_dir(spark)}/loomcast/{name}-{uuid.uuid4().hex}"
+
+
 def keep(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` and read it back: short plans above it, and nothing to recompute when executors go."""
-    path = f"{shared_dir(df.sparkSession)}/loomcast/{name}-{uuid.uuid4().hex}"
+    path = scratch(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession) -> None:
+    """Delete what this library has stored in the session's shared folder; call it when results are written."""
+    jvm = spark._jvm
+    folder = jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/loomcast")
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def ship(spark: SparkSession) -> None:
     """Send this package to the executors, so that Python workers can import it wherever they run."""
     context = spark.sparkContext

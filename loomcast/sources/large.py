@@ -390,3 +390,164 @@ def read_json_lines(spark: SparkSession, paths) -> DataFrame:
             raise SourceProblem(f"source is not valid JSON: record {number}: {e}") from e
 
     return _records(spark, lines, "json", survey(lines), read)
+
+
+# ---- one XML record a piece ----------------------------------------------------------------------------------
+_MARKUP = re.compile(r"<!--.*?-->|<\?.*?\?>", re.S)
+_PROLOG = re.compile(r"\A\ufeff?\s*(?:(?:<!--.*?-->|<\?.*?\?>)\s*)*", re.S)
+_START = re.compile(r"<([^\s<>/!?]+)((?:\s+[^\s=<>]+\s*=\s*(?:\"[^\"]*\"|'[^']*'))*)\s*>")
+_NAMESPACE = re.compile(r"""\sxmlns(?::[^\s=]+)?\s*=\s*(?:"[^"]*"|'[^']*')""")
+_DECLARED = re.compile(r"""\A\s*<\?xml\b[^>]*?\bencoding\s*=\s*["'](?!utf-?8["'])""", re.I)
+
+
+@dataclass
+class XmlPlan:
+    """How the records of an XML file are found."""
+
+    tag: str
+    root: str
+    names: str  # the root's namespaces, as written
+    plan: FilePlan | None = None
+
+
+class NotByRecord(ValueError):
+    """This XML file is not a plain list of records."""
+
+
+def xml_plan(spark: SparkSession, path: str, hints: frozenset) -> XmlPlan:
+    """The tag of the records, from the start of the file: that of the root's first child."""
+    start = lines_of(spark, [path], ">").where("block = 0").select("value").limit(200).collect()
+    head = ">".join(str(r.value) for r in start)
+    text = head[_PROLOG.match(head).end() :]
+    if _DECLARED.match(head) or text[:9].upper() == "<!DOCTYPE":
+        raise NotByRecord(path)
+    root = _START.match(text)
+    first = re.match(r"[^<]*<([^\s<>/!?]+)", _MARKUP.sub("", text[root.end() :])) if root else None
+    if not first or _NAMESPACE.sub("", root[2]).strip() or readers.squash_py(root[1].rpartition(":")[2]) in hints:
+        raise NotByRecord(path)
+    return XmlPlan(first[1], root[1], "".join(_NAMESPACE.findall(root[2])))
+
+
+def xml_children(piece: str, xml: XmlPlan, hints: frozenset, first: bool) -> tuple[list, bool]:
+    """The records in a piece, as the whole-file reader would have them, and whether the root ends with it."""
+    if first:
+        piece = piece[_PROLOG.match(piece).end() :]
+        root = _START.match(piece)
+        if not root:
+            raise NotByRecord("no root")
+        piece = piece[root.end() :]
+    body, closed, _ = piece.rpartition(f"</{xml.root}>") if re.search(rf"</{re.escape(xml.root)}\s*>\s*(?:<!--.*?-->\s*)*\Z", piece, re.S) else (piece, "", "")
+    if not closed:
+        if not piece.strip():
+            return [], False
+        body = f"{piece}</{xml.tag}>" if re.search(rf"<{re.escape(xml.tag)}[\s>/]", piece) else piece
+    parser = readers.ElementTree.XMLParser(target=readers._Values(hints), encoding="utf-8")
+    try:
+        parser.feed(f"<_{xml.names}>{body}</_>".encode("utf-8", "replace"))
+        _, value = parser.close()
+    except (readers.ElementTree.ParseError, RecursionError, IndexError, ValueError) as e:
+        raise NotByRecord(str(e)) from e
+    if isinstance(value, list):
+        records = value
+    elif isinstance(value, dict) and len(value) == 1:
+        (found,) = value.values()
+        records = [found]
+        if next(iter(value)) != xml.tag.rpartition(":")[2]:
+            raise NotByRecord(f"a child other than {xml.tag}")
+    elif isinstance(value, str):  # no child at all
+        records = []
+    else:
+        raise NotByRecord(f"children other than {xml.tag}")
+    return records, bool(closed)
+
+
+def read_xml_records(spark: SparkSession, path: str, hints: frozenset = frozenset()) -> DataFrame:
+    """Cells of one XML file that is a plain list of records: a root without attributes whose children all bear one name.
+
+    The file is cut at the closing tags of its records and each piece is
+    parsed under the root's namespaces.  A file of another form (attributes
+    at the root, children of several names, records that hold their own tag,
+    a single record, other encodings, document types) raises NotByRecord;
+    the whole-file reader says what it is.
+    """
+    xml = xml_plan(spark, path, hints)
+    pieces = lines_of(spark, [path], f"</{xml.tag}>")
+    files = survey(pieces)
+    (name, plan), = files.items()
+    sent = spark.sparkContext.broadcast((xml, plan, hints))
+    names = [c.split(" ")[0] for c in CELLS.split(", ")]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        how, file, named = sent.value
+        out: list[tuple] = []
+
+        def batch() -> pa.RecordBatch:
+            columns = list(zip(*out, strict=True)) if out else [[]] * 10
+            kinds = [pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int32(), pa.int32(), pa.string(), pa.string(), pa.string(), pa.string()]
+            return pa.RecordBatch.from_arrays([pa.array(c, type=t) for c, t in zip(columns, kinds, strict=True)], names=["block", *names])
+
+        for source, block, own in _by_block(batches):
+            nth, closed = 0, False
+            for at, raw in enumerate(own):
+                try:
+                    if closed and raw.strip():
+                        raise NotByRecord("something follows the root")
+                    records, ends = xml_children(raw.decode(file.encoding), how, named, at == 0 and block == 0)
+                    closed = closed or ends
+                except NotByRecord as e:
+                    out.append((block, source, "xml", 0, None, 0, None, None, "unfit", str(e)))
+                    break
+                for record in records:
+                    nth += 1
+                    out += [(block, source, "xml", *map(readers._sound, r)) for r in readers.record_cells(record, nth)]
+                if len(out) >= 10_000:
+                    yield batch()
+                    out = []
+            out.append((block, source, "xml", nth, None, 0, None, None, "counted", str(closed)))
+        if out:
+            yield batch()
+
+    cells = keep(pieces.mapInArrow(run, "block bigint, " + CELLS), "xml_cells")
+    unfit = cells.where("kind = 'unfit'").select("text").limit(1).collect()
+    total, bases = 0, []
+    blocks = sorted(cells.where("kind = 'counted'").select("block", "rec", "text").collect())
+    for r in blocks:
+        bases.append((r.block, total))
+        total += r.rec
+    if unfit or total < 2 or [r.text for r in blocks] != [*["False"] * (len(blocks) - 1), "True"]:
+        raise NotByRecord(f"{path}: {unfit[0].text if unfit else 'not several records'}")
+    base = spark.createDataFrame(bases, "block bigint, base bigint")
+    good = cells.where("kind <> 'counted'").join(F.broadcast(base), "block").withColumn("rec", F.col("rec") + F.col("base")).select(*names)
+    return good.unionByName(_file_rows(spark, "xml", {name: plan}, {}))
+
+
+# ---- which reader ----------------------------------------------------------------------------------------------
+def read_paths(spark: SparkSession, path, fmt: str | None = None, delimiter: str | None = None, hints: frozenset = frozenset(), large: int | None = None) -> DataFrame:
+    """Cells of every file under ``path``.  Files over ``large`` bytes (one block of Spark's text source) are read by many
+    tasks where their form allows it, JSON lines (.jsonl, .ndjson) always; the cells are the same either way."""
+    if large is None:
+        large = spark.sparkContext._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get("spark.sql.files.maxPartitionBytes"))
+    files = [(r.path, r.length) for r in spark.read.format("binaryFile").load(path).select("path", "length").collect()]
+    lines = [p for p, _ in files if fmt in (None, "json") and p.lower().endswith((".jsonl", ".ndjson"))]
+    big = [p for p, n in files if n > large and p not in lines]
+    csvs = [p for p in big if fmt == "csv" or (fmt is None and p.lower().endswith(".csv"))]
+    parts = [read_json_lines(spark, lines)] if lines else []
+    if csvs:
+        try:
+            parts.append(read_csv_files(spark, csvs, delimiter))
+        except SourceProblem:  # UTF-16 among them
+            csvs = []
+    done = {*lines, *csvs}
+    for p in (p for p in big if fmt == "xml" or (fmt is None and p.lower().endswith(".xml"))):
+        try:
+            parts.append(read_xml_records(spark, p, hints))
+            done.add(p)
+        except (NotByRecord, SourceProblem):
+            pass
+    rest = [p for p, _ in files if p not in done]
+    if rest or not parts:
+        parts.append(readers.read_sources(spark, path if len(rest) == len(files) else rest, fmt, delimiter, hints))
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out

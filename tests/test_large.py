@@ -95,3 +95,43 @@ def test_json_lines(spark, tmp_path, small_blocks):
     assert {k[1:]: n for k, n in got.items() if k[0].endswith("good.jsonl")} == {k[1:]: n for k, n in want.items()}
     rest = {k[0].rsplit("/", 1)[-1]: k[8] for k in got if not k[0].endswith("good.jsonl")}
     assert rest["empty.jsonl"] == "source is empty" and rest["bad.jsonl"].startswith("source is not valid JSON: record 2:")
+
+
+RECORD = "<{t} id='{i}'><name>n{i} &lt; é</name><x>1</x><x>2</x><deep><v>{i}</v></deep></{t}>"
+
+
+def test_xml_records(spark, tmp_path, small_blocks):
+    records = [RECORD.format(t="item", i=i) for i in range(80)]
+    forms = {
+        "plain": "<?xml version='1.0' encoding='UTF-8'?>\n<root>\n" + "\n".join(records) + "\n</root>\n",
+        "names": "<a:root xmlns:a='urn:a' xmlns='urn:b'>" + " <!-- between --> ".join(RECORD.format(t="a:item", i=i) for i in range(40)) + "<a:item/><a:item>leaf</a:item></a:root><!-- end -->",
+        "text": "<!-- <item> --><root>stray" + "".join(records[:30]) + "<item/><item a='1'/>" + "".join(records[30:40]) + "</root>",
+    }
+    for name, data in forms.items():
+        write(tmp_path, f"{name}.xml", data)
+        path = str(tmp_path / f"{name}.xml")
+        assert large.lines_of(spark, path).rdd.getNumPartitions() > 3
+        assert bag(large.read_xml_records(spark, path)) == bag(readers.read_sources(spark, path))
+    for name, data in {
+        "attributes": f"<root v='1'>{''.join(records)}</root>", "several": f"<root>{''.join(records)}<other/></root>", "nested": "<root><item><item>1</item></item><item>2</item></root>",
+        "doctype": f"<!DOCTYPE root><root>{''.join(records)}</root>", "one": f"<root>{records[0]}</root>", "broken": f"<root>{''.join(records)}<item></root>", "none": "<root/>", "cut": f"<root>{''.join(records)}",
+        "cdata": f"<root><item><![CDATA[</item>]]></item>{''.join(records)}</root>",
+    }.items():
+        write(tmp_path, f"{name}.xml", data)
+        try:
+            large.read_xml_records(spark, str(tmp_path / f"{name}.xml"))
+            pytest.fail(name)
+        except large.NotByRecord:
+            pass
+        got = bag(large.read_paths(spark, str(tmp_path / f"{name}.xml"), large=10))
+        assert got == bag(readers.read_sources(spark, str(tmp_path / f"{name}.xml")))
+
+
+def test_read_paths_chooses(spark, tmp_path):
+    write(tmp_path, "a.csv", "a,b\n" + "1,2\n" * 50)
+    write(tmp_path, "b.json", '[{"a": 1}]')
+    write(tmp_path, "c.jsonl", '{"a": 1}\n{"a": 2}\n')
+    write(tmp_path, "d.xml", "<r><i><a>1</a></i><i><a>2</a></i></r>")
+    write(tmp_path, "e.csv", "a,b\n1,2\n".encode("utf-16"))
+    small, big = (bag(large.read_paths(spark, str(tmp_path), large=n)) for n in (1 << 20, 5))
+    assert small == big and len({k[0] for k in small}) == 5
