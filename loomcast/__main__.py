@@ -9,11 +9,13 @@ import argparse
 import datetime
 import json
 import sys
+from dataclasses import replace
 
 from pyspark.sql import SparkSession
 
 from loomcast.plans.config import ConfigError, SourceError
-from loomcast.plans.engine import transform
+from loomcast.plans.engine import Report, transform
+from loomcast.plans.store import keep
 
 
 def main(argv: list[str] | None = None) -> int:
@@ -24,6 +26,7 @@ def main(argv: list[str] | None = None) -> int:
     p.add_argument("--schema")
     p.add_argument("--languages", help="comma-separated")
     p.add_argument("--csv-delimiter")
+    p.add_argument("--output", help="folder for the report as JSON lines, instead of printing it")
     p.add_argument("--today", type=datetime.date.fromisoformat)
     a = p.parse_args(argv)
     spark = SparkSession.builder.getOrCreate()
@@ -33,12 +36,29 @@ def main(argv: list[str] | None = None) -> int:
     except (ConfigError, SourceError) as e:
         print(f"configuration error: {e}", file=sys.stderr)
         return 2
-    head = [r.asDict(True) for r in report.header.orderBy("source_id").collect()]
-    rows = [r.asDict(True) for r in report.results.orderBy("source_id", "rec").collect()]
-    for r in rows:
-        r["normalized"] = json.loads(r["normalized"]) if r["normalized"] else None
-    print(json.dumps({"sources": head, "results": rows}, indent=2, ensure_ascii=False, default=str))
-    return 0 if head and all(h["is_valid"] for h in head) else 1
+    report = replace(report, header=keep(report.header, "report"))
+    if a.output:
+        report.write(a.output)
+    else:
+        printed(report)
+    return 0 if report.is_valid() else 1
+
+
+def printed(report: Report) -> None:
+    """Print the report as one JSON object; rows arrive a partition at a time, so the driver holds no more than that."""
+
+    def each(df, change=lambda row: row):
+        for k, r in enumerate(df.toLocalIterator()):
+            print(",\n" if k else "\n", json.dumps(change(r.asDict(True)), indent=2, ensure_ascii=False, default=str), sep="", end="")
+
+    def opened(row: dict) -> dict:
+        return row | {"normalized": json.loads(row["normalized"]) if row["normalized"] else None}
+
+    print('{"sources": [', end="")
+    each(report.header.orderBy("source_id"))
+    print('],\n"results": [', end="")
+    each(report.results.orderBy("source_id", "rec"), opened)
+    print("]}")
 
 
 if __name__ == "__main__":

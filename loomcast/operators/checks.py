@@ -6,11 +6,12 @@ import json
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loomcast.functions.validators import plain
-from loomcast.plans.config import RULES, SchemaConfig
+from loomcast.plans.config import RECORD_RULES, RULES, SchemaConfig
 from loomcast.plans.target import violations
 
 RECORD = ["source_id", "rec"]
@@ -48,6 +49,8 @@ def rule_findings(doc_values: DataFrame, line_values: DataFrame, cfg: SchemaConf
     out = []
     one = lambda name, alias: line_values.where(F.col("field") == name).select(*RECORD, "line", F.col("out").alias(alias))
     for i, rule in enumerate(cfg.rules):
+        if rule["kind"] == "custom" and rule["name"] not in RULES:
+            continue
         if rule["kind"] == "custom":
             out.append(RULES[rule["name"]](doc_values, line_values, rule, cfg).select(*RECORD, F.lit(10).alias("stage"), F.lit(i * 100000).cast("long").alias("seq"), "severity", "message"))
             continue
@@ -73,9 +76,40 @@ def rule_findings(doc_values: DataFrame, line_values: DataFrame, cfg: SchemaConf
                 F.lit("line "), F.col("line").cast("string"), F.lit(": "), _cents("a.number"), F.lit(" for "), plain(F.col("u.number")),
                 F.lit(f" {rule.get('unit_label', 'units')} is an unusually high rate"))
             out.append(_finding(rows, 10, seq, "warning", text))
+    by_record = [(i, rule) for i, rule in enumerate(cfg.rules) if rule["kind"] == "custom" and rule["name"] not in RULES]
+    if by_record:
+        out.append(record_rule_findings(doc_values, line_values, by_record, every))
     return out
 
 
+def record_rule_findings(doc_values: DataFrame, line_values: DataFrame, rules: list[tuple[int, dict]], every: DataFrame) -> DataFrame:
+    """What the rules of single records say; all rules see a record in one call of a task, and only its own values are gathered."""
+    functions = [(i, rule, RECORD_RULES[rule["name"]]) for i, rule in rules]
+    value = lambda df, line: df.select(*RECORD, F.struct(line.alias("line"), "field", F.col("out.value").cast("string").alias("text"), F.col("out.number").alias("number")).alias("v"))
+    tall = value(doc_values, F.lit(None).cast("int")).unionByName(value(line_values, F.col("line").cast("int")))
+    records = every.select(*RECORD).join(tall.groupBy(*RECORD).agg(F.collect_list("v").alias("values")), RECORD, "left")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for r in batch.to_pylist():
+                doc: dict = {}
+                lines: dict[int, dict] = {}
+                for v in sorted(r["values"] or (), key=lambda v: (v["line"] or 0, v["field"])):
+                    own = doc if v["line"] is None else lines.setdefault(v["line"], {})
+                    own[v["field"]] = v["text"] if v["number"] is None else v["number"].normalize()
+                for i, rule, f in functions:
+                    for k, (severity, message) in enumerate(f(dict(doc), [dict(lines[n]) for n in sorted(lines)], rule) or ()):
+                        if severity not in ("error", "warning"):
+                            raise ValueError(f"rule '{rule['name']}': severity must be 'error' or 'warning', not {severity!r}")
+                        rows.append((r["source_id"], r["rec"], 10, i * 100000 + k, severity, str(message)))
+            types = (pa.string(), pa.int64(), pa.int32(), pa.int64(), pa.string(), pa.string())
+            columns = list(zip(*rows, strict=True)) if rows else [[]] * len(types)
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=["source_id", "rec", "stage", "seq", "severity", "message"])
+
+    return records.mapInArrow(run, "source_id string, rec bigint, stage int, seq long, severity string, message string")
+
+
 def target_findings(results: DataFrame, findings: DataFrame, cfg: SchemaConfig) -> DataFrame:
     """Violations of the target schema by records that have no error so far."""
     failed = findings.where("severity = 'error'").select(*RECORD).distinct()

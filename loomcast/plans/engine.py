@@ -47,6 +47,11 @@ class Report:
         """Normalised JSON of the valid records."""
         return self.results.where("is_valid").select("source_id", "rec", "normalized")
 
+    def write(self, path: str, mode: str = "error") -> None:
+        """The report as JSON lines under ``path``: ``header``, ``results`` and ``findings``, each written by its tasks."""
+        for name in ("header", "results", "findings"):
+            getattr(self, name).write.mode(mode).json(f"{path}/{name}")
+
     def is_valid(self) -> bool:
         return not self.header.where("not is_valid").limit(1).count() and self.header.limit(1).count() > 0
 

@@ -103,3 +103,28 @@ def test_a_large_table_equals_a_small_one(spark, tmp_path):
         finally:
             spark.conf.unset("spark.sql.files.maxPartitionBytes")
     assert told[0] == told[1] and len(json.loads(told[0][0]["normalized"])["lines"]) == 800
+
+
+def test_record_rules_and_the_written_report(spark, tmp_path):
+    from loomcast import register_record_rule
+    from loomcast.__main__ import main
+
+    @register_record_rule("light_crates")
+    def light_crates(doc, lines, rule):
+        for n, line in enumerate(lines, 1):
+            if line.get("weight") is not None and line["weight"] < rule["least"]:
+                yield "error", f"line {n}: {line['variety']} of {doc['grower']} weighs only {line['weight']}"
+        if len(lines) > 1:
+            yield "warning", f"{len(lines)} crates"
+
+    config = {**INTAKE, "rules": [{"kind": "custom", "name": "light_crates", "least": 15}]}
+    light = {"variety": "pear", "paid": 80, "weight": "9.5"}
+    for name, crates in (("a", [PLUMS]), ("b", [PLUMS, light])):
+        (tmp_path / f"{name}.json").write_text(json.dumps(slip(crates)))
+    (tmp_path / "conf").mkdir()
+    (tmp_path / "conf" / "c.json").write_text(json.dumps(config))
+    assert main([str(tmp_path / "*.json"), "-c", str(tmp_path / "conf" / "c.json"), "--today", "2026-09-28", "--output", str(tmp_path / "out")]) == 1
+    rows = {r.source_id[-6:]: r for r in spark.read.json(str(tmp_path / "out" / "results")).collect()}
+    assert rows["a.json"].is_valid and rows["b.json"].errors == ["line 2: pear of Hill Farm weighs only 9.5"] and "2 crates" in rows["b.json"].warnings
+    assert spark.read.json(str(tmp_path / "out" / "header")).count() == 2
+    assert spark.read.json(str(tmp_path / "out" / "findings")).where("severity = 'error'").count() == 1
