@@ -11,7 +11,7 @@ from loomcast.operators import checks, detect
 from loomcast.operators.keys import key_match
 from loomcast.operators.mapping import mark_document_keys, rank_matches
 from loomcast.plans import engine
-from loomcast.plans.config import Words, build_schema_config
+from loomcast.plans.config import Words, build_schema_config, register_record_rule
 from loomcast.plans.defaults import SETTINGS
 from loomcast.plans.registry import CENTS, TODAY, cents_of, frac, query, table, whole
 from loomcast.sources import readers
@@ -403,6 +403,59 @@ def q_rate_limit(spark, sf_dir):
     return _rule(spark, sf_dir, {"kind": "rate_limit", "amount_field": "amount", "unit_field": "quantity", "unit_label": "pieces", "max_rate": 3500})
 
 
+@register_record_rule("many pieces")
+def _many_pieces(doc, lines, rule):
+    pieces = sum(line["quantity"] for line in lines)
+    if pieces > rule["most"]:
+        yield "warning", f"{int(pieces)} pieces in {len(lines)} lines"
+
+
+@query("""SELECT l_orderkey AS rec, 'warning' AS severity, CAST(sum(l_quantity) AS BIGINT) || ' pieces in ' || count(*) || ' lines' AS message FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY l_orderkey HAVING sum(l_quantity) > 120""")
+def q_record_rule(spark, sf_dir):
+    """A rule that sees one record at a time: its document values and its lines."""
+    return _rule(spark, sf_dir, {"kind": "custom", "name": "many pieces", "most": 120})
+
+
+_TARGETED = """SELECT c_custkey AS rec, c_mktsegment AS segment, CAST(round(c_acctbal) AS BIGINT) AS n_bal, c_custkey % 3 = 0 AS hall, c_custkey % 4 <> 0 AS keyed FROM customer"""
+
+
+@query(f"""SELECT rec, 'target schema: ' || said AS message FROM ({_TARGETED}), LATERAL (VALUES
+ (segment = 'BUILDING' AND NOT hall, '(root): ''hall'' is a required property'), (segment <> 'BUILDING' AND n_bal > 5000, 'n_bal: ' || n_bal || ' is greater than the maximum of 5000'),
+ (n_bal < 0, 'n_bal: ' || n_bal || ' is less than the minimum of 0'), (hall AND NOT keyed, '(root): ''key'' is a dependency of ''hall'''),
+ (segment = 'MACHINERY', 'tags: ["MACHINERY", 1] does not contain an item matching the given schema')) v(wrong, said) WHERE wrong""")
+def q_target_keywords(spark, sf_dir):
+    """Conditional, pattern and dependency keywords of a target schema, a finding for each violation."""
+    target = {
+        "if": {"properties": {"segment": {"const": "BUILDING"}}}, "then": {"required": ["hall"]}, "else": {"properties": {"n_bal": {"maximum": 5000}}}, "patternProperties": {"^n_": {"minimum": 0}},
+        "dependentRequired": {"hall": ["key"]}, "properties": {"tags": {"contains": {"type": "string", "not": {"const": "MACHINERY"}}}}}
+    cfg = schema("customer", {"name": {"validator": "text"}}, target_schema=target)
+    k, segment = F.col("c_custkey"), F.col("c_mktsegment")
+    record = F.to_json(F.struct(segment.alias("segment"), F.round("c_acctbal").cast("bigint").alias("n_bal"), F.when(k % 3 == 0, F.lit(True)).alias("hall"), F.when(k % 4 != 0, F.lit(1)).alias("key")))
+    whole = F.concat(F.substr(record, F.lit(1), F.char_length(record) - 1), F.lit(', "tags": ["'), segment, F.lit('", 1]}'))
+    results = table(spark, sf_dir, "customer").select(F.lit("customers").alias("source_id"), k.cast("bigint").alias("rec"), whole.alias("normalized"))
+    none_yet = spark.createDataFrame([], engine.FINDING)
+    return checks.target_findings(results, none_yet, cfg).select("rec", "message")
+
+
+@query("""SELECT 'nation ' || s_nationkey AS source_id, string_agg(CASE WHEN s_suppkey % 23 = 0 THEN 'row ' || place || ': supplier is torn' END, '; ' ORDER BY place) AS torn,
+ CAST(CASE WHEN bool_or(s_suppkey % 23 = 0) THEN 0 ELSE 1 END AS BIGINT) AS n_records FROM (SELECT *, row_number() OVER (PARTITION BY s_nationkey ORDER BY s_suppkey) AS place FROM supplier) GROUP BY s_nationkey
+ HAVING NOT bool_and(s_suppkey % 23 = 0)""")
+def q_barred_tables(spark, sf_dir):
+    """A table of suppliers for each nation, rows folded into one document; one bad row bars its table."""
+    cfg = build_schema_config({
+        "schema_name": "suppliers", "csv": {"layout": "lines"}, "line_containers": ["vendors"], "document_fields": {"nation": {"validator": "text"}},
+        "line_fields": {"vendor_name": {"validator": "text", "signature": True}, "vendor_key": {"validator": "identifier", "signature": True}}})
+    place = F.row_number().over(Window.partitionBy("s_nationkey").orderBy("s_suppkey")).cast("bigint")
+    rows = table(spark, sf_dir, "supplier").select(F.concat(F.lit("nation "), F.col("s_nationkey").cast("string")).alias("source_id"), place.alias("rec"), "s_suppkey", "s_name", "s_nationkey")
+    cell = lambda k, key, text, kind="string": F.struct(F.lit(k).alias("ord"), F.lit(key).cast("string").alias("key"), F.lit(kind).alias("kind"), text.cast("string").alias("text"))
+    good = F.array(cell(0, "nation", F.col("s_nationkey")), cell(1, "vendor name", F.col("s_name")), cell(2, "vendor key", F.col("s_suppkey")))
+    torn = F.array(cell(0, None, F.lit("supplier is torn"), "record_error"))
+    cells = rows.select("source_id", F.lit("csv").alias("format"), "rec", F.lit(None).cast("int").alias("line"), F.lit(None).cast("string").alias("container"), F.explode(F.when(F.col("s_suppkey") % 23 == 0, torn).otherwise(good)).alias("c"))
+    report = engine.transform_cells(cells.select("source_id", "format", "rec", "line", "c.ord", "container", "c.key", "c.kind", "c.text"), [cfg], "suppliers", None, TODAY)
+    bar = F.regexp_extract(F.array_join("errors", ""), "^CSV rows cannot be combined into one document: (.*)$", 1)
+    return report.header.select("source_id", F.nullif(bar, F.lit("")).alias("torn"), "n_records").where("n_records > 0 or torn is not null")
+
+
 @query(f"""SELECT l_orderkey AS rec, line, strftime(o_orderdate, '%Y-%m-%d') AS day FROM {_NUMBERED} JOIN orders ON l_orderkey = o_orderkey WHERE l_linenumber % 2 <> 0""")
 def q_line_inherit(spark, sf_dir):
     """Lines without a date take the document's."""
