@@ -17,8 +17,8 @@ from loomcast.plans.target import violations
 RECORD = ["source_id", "rec"]
 
 
-def _finding(df: DataFrame, stage: int, seq: Column, severity: str, message: Column) -> DataFrame:
-    return df.select(*RECORD, F.lit(stage).alias("stage"), seq.cast("long").alias("seq"), F.lit(severity).alias("severity"), message.alias("message")).where("message is not null")
+def _finding(code: str, df: DataFrame, stage: int, seq: Column, severity: str, message: Column) -> DataFrame:
+    return df.select(*RECORD, F.lit(stage).alias("stage"), seq.cast("long").alias("seq"), F.lit(severity).alias("severity"), F.lit(code).alias("code"), message.alias("message")).where("message is not null")
 
 
 def _cents(name: str) -> Column:
@@ -33,7 +33,7 @@ def total_findings(doc_values: DataFrame, line_values: DataFrame, line_ids: Data
     """
     sums = [f.name for f in cfg.line_fields if f.sums_to_total]
     if not sums or not cfg.total_field:
-        return doc_values.limit(0).select(*RECORD, F.lit(9).alias("stage"), F.lit(0).cast("long").alias("seq"), F.lit("error").alias("severity"), F.lit("").alias("message"))
+        return doc_values.limit(0).select(*RECORD, F.lit(9).alias("stage"), F.lit(0).cast("long").alias("seq"), F.lit("error").alias("severity"), F.lit("TOTAL").alias("code"), F.lit("").alias("message"))
     per = line_values.where(F.col("field").isin(*sums)).groupBy(*RECORD).agg(
         F.sum("out.number").alias("lines_sum"), F.count(F.when((F.col("field") == sums[0]) & F.col("out.number").isNotNull(), 1)).alias("n_first")
     )
@@ -41,7 +41,7 @@ def total_findings(doc_values: DataFrame, line_values: DataFrame, line_ids: Data
     total = doc_values.where((F.col("field") == cfg.total_field) & F.col("out.number").isNotNull()).select(*RECORD, F.col("out.number").alias("total"))
     wrong = total.join(per, RECORD).join(n, RECORD).where("n_first = n_lines and total <> lines_sum")
     text = F.concat(F.lit(f"{cfg.total_field} "), _cents("total"), F.lit(" does not equal the sum of the line items "), _cents("lines_sum"))
-    return _finding(wrong, 9, F.lit(0), cfg.settings["total_mismatch_severity"], text)
+    return _finding("TOTAL", wrong, 9, F.lit(0), cfg.settings["total_mismatch_severity"], text)
 
 
 def rule_findings(doc_values: DataFrame, line_values: DataFrame, cfg: SchemaConfig, every: DataFrame) -> list[DataFrame]:
@@ -52,7 +52,7 @@ def rule_findings(doc_values: DataFrame, line_values: DataFrame, cfg: SchemaConf
         if rule["kind"] == "custom" and rule["name"] not in RULES:
             continue
         if rule["kind"] == "custom":
-            out.append(RULES[rule["name"]](doc_values, line_values, rule, cfg).select(*RECORD, F.lit(10).alias("stage"), F.lit(i * 100000).cast("long").alias("seq"), "severity", "message"))
+            out.append(RULES[rule["name"]](doc_values, line_values, rule, cfg).select(*RECORD, F.lit(10).alias("stage"), F.lit(i * 100000).cast("long").alias("seq"), "severity", F.lit("RULE_CUSTOM").alias("code"), "message"))
             continue
         amount = one(rule["amount_field"], "a").where("a.number is not null")
         seq = F.lit(i * 100000) + F.col("line")
@@ -68,14 +68,14 @@ def rule_findings(doc_values: DataFrame, line_values: DataFrame, cfg: SchemaConf
             text = F.concat(
                 F.lit("line "), F.col("line").cast("string"), F.lit(f": {rule['amount_field']} "), _cents("a.number"),
                 F.lit(" exceeds the reasonable maximum "), _cents("most"), F.lit(" for '"), shown, F.lit("'"))
-            out.append(_finding(rows, 10, seq, rule.get("severity", "error"), text))
+            out.append(_finding("RULE_MAX", rows, 10, seq, rule.get("severity", "error"), text))
         else:
             units = one(rule["unit_field"], "u").where("u.number <> 0")
             rows = amount.join(units, [*RECORD, "line"]).where(F.col("a.number") / F.col("u.number") > F.lit(float(rule["max_rate"])))
             text = F.concat(
                 F.lit("line "), F.col("line").cast("string"), F.lit(": "), _cents("a.number"), F.lit(" for "), plain(F.col("u.number")),
                 F.lit(f" {rule.get('unit_label', 'units')} is an unusually high rate"))
-            out.append(_finding(rows, 10, seq, "warning", text))
+            out.append(_finding("RULE_RATE", rows, 10, seq, "warning", text))
     by_record = [(i, rule) for i, rule in enumerate(cfg.rules) if rule["kind"] == "custom" and rule["name"] not in RULES]
     if by_record:
         out.append(record_rule_findings(doc_values, line_values, by_record, every))
@@ -102,12 +102,12 @@ def record_rule_findings(doc_values: DataFrame, line_values: DataFrame, rules: l
                     for k, (severity, message) in enumerate(f(dict(doc), [dict(lines[n]) for n in sorted(lines)], rule) or ()):
                         if severity not in ("error", "warning"):
                             raise ValueError(f"rule '{rule['name']}': severity must be 'error' or 'warning', not {severity!r}")
-                        rows.append((r["source_id"], r["rec"], 10, i * 100000 + k, severity, str(message)))
-            types = (pa.string(), pa.int64(), pa.int32(), pa.int64(), pa.string(), pa.string())
+                        rows.append((r["source_id"], r["rec"], 10, i * 100000 + k, severity, "RULE_CUSTOM", str(message)))
+            types = (pa.string(), pa.int64(), pa.int32(), pa.int64(), pa.string(), pa.string(), pa.string())
             columns = list(zip(*rows, strict=True)) if rows else [[]] * len(types)
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=["source_id", "rec", "stage", "seq", "severity", "message"])
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=["source_id", "rec", "stage", "seq", "severity", "code", "message"])
 
-    return records.mapInArrow(run, "source_id string, rec bigint, stage int, seq long, severity string, message string")
+    return records.mapInArrow(run, "source_id string, rec bigint, stage int, seq long, severity string, code string, message string")
 
 
 def target_findings(results: DataFrame, findings: DataFrame, cfg: SchemaConfig) -> DataFrame:
@@ -118,11 +118,11 @@ def target_findings(results: DataFrame, findings: DataFrame, cfg: SchemaConfig)
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             rows = [
-                (s, r, 12, k, "error", f"target schema: {'.'.join(map(str, path)) or '(root)'}: {message}")
+                (s, r, 12, k, "error", "TARGET", f"target schema: {'.'.join(map(str, path)) or '(root)'}: {message}")
                 for s, r, text in zip(b["source_id"], b["rec"], b["normalized"], strict=True)
                 for k, (path, message) in enumerate(violations(json.loads(text), schema))
             ]
-            yield pd.DataFrame(rows, columns=["source_id", "rec", "stage", "seq", "severity", "message"])
+            yield pd.DataFrame(rows, columns=["source_id", "rec", "stage", "seq", "severity", "code", "message"])
 
     clean = results.select(*RECORD, "normalized").join(failed, RECORD, "left_anti")
-    return clean.mapInPandas(run, "source_id string, rec bigint, stage int, seq long, severity string, message string")
+    return clean.mapInPandas(run, "source_id string, rec bigint, stage int, seq long, severity string, code string, message string")

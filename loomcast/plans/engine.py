@@ -31,7 +31,7 @@ from loomcast.sources import large, readers
 RECORD = ["source_id", "rec"]
 #: Of the messages that make a whole source unusable, so many are spelt out; the rest are counted.
 SPELT_OUT = 100
-FINDING = "source_id string, rec bigint, stage int, seq long, severity string, message string"
+FINDING = "source_id string, rec bigint, stage int, seq long, severity string, code string, message string"
 
 
 @dataclass
@@ -292,10 +292,11 @@ def _object(entries: Column) -> Column:
     return F.concat(F.lit("{"), F.array_join(F.transform(entries, lambda e: F.concat(F.to_json(F.array(e["field"])).substr(F.lit(2), F.char_length(e["field"]) + 2), F.lit(": "), e["json"])), ", "), F.lit("}"))
 
 
-def finding(df: DataFrame, stage: int, seq, severity, message: Column) -> DataFrame:
+def finding(code, df: DataFrame, stage: int, seq, severity, message: Column) -> DataFrame:
+    """Messages of records; ``code`` says which kind of message it is, whatever the language and the values in it."""
     seq = F.lit(seq) if isinstance(seq, int) else seq
-    severity = F.lit(severity) if isinstance(severity, str) else severity
-    return df.select(*RECORD, F.lit(stage).alias("stage"), seq.cast("long").alias("seq"), severity.alias("severity"), message.alias("message")).where("message is not null")
+    severity, code = (F.lit(x) if isinstance(x, str) else x for x in (severity, code))
+    return df.select(*RECORD, F.lit(stage).alias("stage"), seq.cast("long").alias("seq"), severity.alias("severity"), code.alias("code"), message.alias("message")).where("message is not null")
 
 
 def _label(scope: Column, line: Column) -> Column:
@@ -346,7 +347,7 @@ def competing_findings(mapped: DataFrame, cfg: SchemaConfig, words: Words, today
     where = _label(F.col("scope"), F.col("line"))
     dup = F.concat(where, F.lit("'"), F.col("key"), F.lit("' repeats '"), F.col("winner_key"), F.lit("' (same value for '"), F.col("field"), F.lit("'); the duplicate was ignored"))
     clash = F.concat(where, F.lit("conflicting values for '"), F.col("field"), F.lit("': '"), F.col("winner_key"), F.lit("' = "), F.coalesce("winner_text", F.lit("null")), F.lit(", '"), F.col("key"), F.lit("' = "), F.coalesce("text", F.lit("null")))
-    return finding(lost.where(~F.coalesce(silent, F.lit(False))), 3, F.col("ord"), F.when(F.col("same"), "warning").otherwise(cfg.settings["conflicting_values_policy"]), F.when(F.col("same"), dup).otherwise(clash))
+    return finding(F.when(F.col("same"), "DUP").otherwise("CONFLICT"), lost.where(~F.coalesce(silent, F.lit(False))), 3, F.col("ord"), F.when(F.col("same"), "warning").otherwise(cfg.settings["conflicting_values_policy"]), F.when(F.col("same"), dup).otherwise(clash))
 
 
 # ---- one schema ------------------------------------------------------------------------------------------------
@@ -377,8 +378,8 @@ def process(cells: DataFrame, km: DataFrame, records: DataFrame, cfg: SchemaConf
     every = good.select(*RECORD).distinct()
 
     # records that do not fit on their own
-    unfit = finding(misfits(alone, km, typed, cfg), 0, 0, "error", F.col("message")) if not forced else None
-    shape = finding(bad, 0, 0, "error", F.col("text"))
+    unfit = finding("REC_FIT", misfits(alone, km, typed, cfg), 0, 0, "error", F.col("message")) if not forced else None
+    shape = finding("REC_SHAPE", bad, 0, 0, "error", F.col("text"))
     findings.append(shape)
     if unfit is not None:
         findings.append(unfit)
@@ -391,11 +392,11 @@ def process(cells: DataFrame, km: DataFrame, records: DataFrame, cfg: SchemaConf
         F.count(F.lit(1)).alias("n_boxes"), F.min(F.struct("ord", "key", "kind")).alias("box"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ord", "key"))), lambda x: x["key"]), ", ").alias("names")
     )
     boxes = boxes.select(*RECORD, "n_boxes", "names", F.col("box.key").alias("box"), F.col("box.kind").alias("box_kind"))
-    findings.append(finding(boxes.where("n_boxes > 1"), 4, 0, "error", F.concat(F.lit("multiple line-item containers: "), F.col("names"))))
-    findings.append(finding(boxes.where("n_boxes = 1 and box_kind <> 'list'"), 4, 0, "error", F.concat(F.lit("line-item container '"), F.col("box"), F.lit("' must be an array"))))
+    findings.append(finding("LINE_CONTAINERS", boxes.where("n_boxes > 1"), 4, 0, "error", F.concat(F.lit("multiple line-item containers: "), F.col("names"))))
+    findings.append(finding("LINE_CONTAINER_KIND", boxes.where("n_boxes = 1 and box_kind <> 'list'"), 4, 0, "error", F.concat(F.lit("line-item container '"), F.col("box"), F.lit("' must be an array"))))
     usable = boxes.where("n_boxes = 1 and box_kind = 'list'").select(*RECORD, F.col("box").alias("container"))
     line_cells = rows.where("line is not null").join(usable, [*RECORD, "container"])
-    findings.append(finding(line_cells.where("kind = 'line_error'"), 7, F.col("line"), "error", F.col("text")))
+    findings.append(finding("LINE_SHAPE", line_cells.where("kind = 'line_error'"), 7, F.col("line"), "error", F.col("text")))
     lk = km.where((F.col("schema") == cfg.name) & (F.col("scope") == "line")).select("key", "field", "score", "weak", "language", "languages", "ambiguous", "refusals", "expansions")
     line_cells = keep(line_cells, "line_cells")
     on_line = line_cells.where("kind <> 'line_error'").join(lk, "key", "left").withColumn("scalar", ~F.col("kind").isin("list", "object", "line_empty"))
@@ -416,14 +417,14 @@ def process(cells: DataFrame, km: DataFrame, records: DataFrame, cfg: SchemaConf
     # audit of the mapping
     for df, scope, pre in ((doc.where("use not in ('type', 'container')"), "doc", "d_"), (doc.where("use in ('top', 'unmapped')"), "top", "t_"), (on_line, "line", "")):
         where = _label(F.lit(scope), F.col("line"))
-        findings.append(finding(df.where(F.col(f"{pre}ambiguous") & F.col("scalar")), 2, F.col("ord"), "error", F.concat(where, F.lit("'"), F.col("key"), F.lit("' has ambiguous field meanings"))))
-        findings.append(finding(df.where((F.size(f"{pre}refusals") > 0) & F.col("scalar") & F.col(f"{pre}field").isNull()), 2, F.col("ord"), "warning", F.concat(where, F.lit("'"), F.col("key"), F.lit("' was not used: "), F.array_join(f"{pre}refusals", "; "))))
-    findings.append(finding(mapped.where("role = 'winner' and weak"), 2, F.col("ord"), "warning", F.concat(_label(F.col("scope"), F.col("line")), F.lit("generic field name '"), F.col("key"), F.lit("' was interpreted as '"), F.col("field"), F.lit(f"' using {cfg.name} context"))))
+        findings.append(finding("KEY_AMBIG", df.where(F.col(f"{pre}ambiguous") & F.col("scalar")), 2, F.col("ord"), "error", F.concat(where, F.lit("'"), F.col("key"), F.lit("' has ambiguous field meanings"))))
+        findings.append(finding("KEY_REFUSED", df.where((F.size(f"{pre}refusals") > 0) & F.col("scalar") & F.col(f"{pre}field").isNull()), 2, F.col("ord"), "warning", F.concat(where, F.lit("'"), F.col("key"), F.lit("' was not used: "), F.array_join(f"{pre}refusals", "; "))))
+    findings.append(finding("KEY_WEAK", mapped.where("role = 'winner' and weak"), 2, F.col("ord"), "warning", F.concat(_label(F.col("scope"), F.col("line")), F.lit("generic field name '"), F.col("key"), F.lit("' was interpreted as '"), F.col("field"), F.lit(f"' using {cfg.name} context"))))
     spelt = doc.select(*RECORD, "ord", F.explode("expansions").alias("e"))
     inside = rows.where("line is not null and key is not null").join(lk.select("key", "expansions").where(F.size("expansions") > 0), "key")
     place = F.concat(F.col("container"), F.lit("["), F.col("line").cast("string"), F.lit("]."))
     spelt = spelt.unionByName(inside.select(*RECORD, "ord", F.explode("expansions").alias("e"), place.alias("place")).select(*RECORD, "ord", F.concat("place", "e").alias("e")))
-    findings.append(finding(spelt, 1, F.col("ord"), "warning", F.col("e")))
+    findings.append(finding("ABBR_LOW", spelt, 1, F.col("ord"), "warning", F.col("e")))
     findings.append(competing_findings(mapped, cfg, words, today))
 
     # top-level line values beside a list, or as the one line
@@ -434,27 +435,27 @@ def process(cells: DataFrame, km: DataFrame, records: DataFrame, cfg: SchemaConf
     inherits = flag("inherit") & F.lit(bool(s["inherit_shared_fields"]))
     total_ok = F.lit(bool(s["interpret_root_amount_as_total"]) and cfg.document_spec(cfg.total_field) is not None)
     as_total = flag("total_equivalent") & total_ok & ~inherits
-    findings.append(finding(beside.where(~inherits & ~as_total), 6, F.col("ord"), "warning", F.concat(F.lit("top-level '"), F.col("key"), F.lit("' looks like the line field '"), F.col("field"), F.lit("', but the document has its own lines; not applied"))))
+    findings.append(finding("LINE_AT_TOP", beside.where(~inherits & ~as_total), 6, F.col("ord"), "warning", F.concat(F.lit("top-level '"), F.col("key"), F.lit("' looks like the line field '"), F.col("field"), F.lit("', but the document has its own lines; not applied"))))
     inherited = beside.where(inherits).select(*RECORD, "field", "key", "out", "json")
     doc_values = winners.where("scope = 'doc'").select(*RECORD, "field", "key", "ord", "out", "json", "empty")
     extra = beside.where(as_total).select(*RECORD, F.lit(cfg.total_field or "").alias("field"), "key", "ord", "out", "json", "empty")
     has_total = doc_values.where(F.col("field") == (cfg.total_field or "")).select(*RECORD, F.lit(True).alias("has"), F.col("out.number").alias("given"), F.col("key").alias("given_key"))
     judged = extra.join(has_total, RECORD, "left")
-    findings.append(finding(judged.where("has is null"), 6, F.col("ord"), "warning", F.concat(F.lit("top-level '"), F.col("key"), F.lit(f"' was interpreted as '{cfg.total_field}' because the document has line items; it is not applied to individual lines"))))
-    findings.append(finding(judged.where("has and not given <=> out.number"), 6, F.col("ord"), s["conflicting_values_policy"], F.concat(F.lit(f"conflicting values for '{cfg.total_field}': '"), F.col("given_key"), F.lit("', '"), F.col("key"), F.lit("'"))))
+    findings.append(finding("TOTAL_FROM_LINE_FIELD", judged.where("has is null"), 6, F.col("ord"), "warning", F.concat(F.lit("top-level '"), F.col("key"), F.lit(f"' was interpreted as '{cfg.total_field}' because the document has line items; it is not applied to individual lines"))))
+    findings.append(finding("CONFLICT", judged.where("has and not given <=> out.number"), 6, F.col("ord"), s["conflicting_values_policy"], F.concat(F.lit(f"conflicting values for '{cfg.total_field}': '"), F.col("given_key"), F.lit("', '"), F.col("key"), F.lit("'"))))
     doc_values = doc_values.unionByName(judged.where("has is null").select(doc_values.columns))
     single = top.where("boxed is null").select(*RECORD, F.lit(1).alias("line"), "field", "key", "ord", "out", "json", "empty")
     equivalent = next((f.name for f in cfg.line_fields if f.total_equivalent), None)
     if s["single_line_total_as_amount"] and equivalent:
         lacks = doc_values.where(F.col("field") == (cfg.total_field or "")).join(has_box, RECORD, "left_anti").join(single.where(F.col("field") == equivalent), RECORD, "left_anti")
-        findings.append(finding(lacks, 6, 0, "warning", F.concat(F.lit("single line without its own amount: '"), F.col("key"), F.lit(f"' was used as '{equivalent}'"))))
+        findings.append(finding("LINE_FROM_TOTAL", lacks, 6, 0, "warning", F.concat(F.lit("single line without its own amount: '"), F.col("key"), F.lit(f"' was used as '{equivalent}'"))))
         single = single.unionByName(lacks.select(*RECORD, F.lit(1).alias("line"), F.lit(equivalent).alias("field"), "key", "ord", "out", "json", "empty"))
     line_values = winners.where("scope = 'line'").select(*RECORD, "line", "field", "key", "ord", "out", "json", "empty").unionByName(single)
     line_ids = line_ids.unionByName(single.select(*RECORD, "line").distinct())
 
     # inheritance: lines without the field take the shared value
     lent = lend(line_ids, inherited, line_values)
-    findings.append(finding(lent, 7, F.col("line"), "warning", F.concat(F.lit("line "), F.col("line").cast("string"), F.lit(": '"), F.col("field"), F.lit("' was not given; inherited from document-level field '"), F.col("key"), F.lit("'"))))
+    findings.append(finding("LINE_INHERITED", lent, 7, F.col("line"), "warning", F.concat(F.lit("line "), F.col("line").cast("string"), F.lit(": '"), F.col("field"), F.lit("' was not given; inherited from document-level field '"), F.col("key"), F.lit("'"))))
     line_values = line_values.unionByName(lent.select(*RECORD, "line", "field", "key", F.lit(0).alias("ord"), "out", "json", F.lit(False).alias("empty")))
     line_values, doc_values = keep(line_values, "line_values"), keep(doc_values, "doc_values")
 
@@ -462,15 +463,15 @@ def process(cells: DataFrame, km: DataFrame, records: DataFrame, cfg: SchemaConf
     name = lambda prefix: F.concat(prefix, F.col("field"), F.lit(" ('"), F.col("key"), F.lit("')"))
     for df, prefix, stage in ((doc_values, F.lit(""), 3), (line_values, F.concat(F.lit("line "), F.col("line").cast("string"), F.lit(" ")), 7)):
         text = F.when(F.col("empty"), F.concat(name(prefix), F.lit(" is empty"))).otherwise(F.concat(name(prefix), F.lit(": "), F.col("out.error")))
-        findings.append(finding(df.where("out.error is not null"), stage, F.col("ord"), "error", text))
+        findings.append(finding(F.when(F.col("empty"), "VAL_EMPTY").otherwise("VAL_ERROR"), df.where("out.error is not null"), stage, F.col("ord"), "error", text))
         warned = df.select("*", F.explode("out.warnings").alias("w"))
-        findings.append(finding(warned, stage, F.col("ord"), "warning", F.concat(name(prefix), F.lit(": "), F.col("w"))))
+        findings.append(finding("VAL_WARNING", warned, stage, F.col("ord"), "warning", F.concat(name(prefix), F.lit(": "), F.col("w"))))
     if cfg.has_lines:
         overrides = line_values.where(~F.col("field").isin(*line_names)).join(doc_values.select(*RECORD, "field", F.col("json").alias("above")), [*RECORD, "field"]).where("json <> above")
-        findings.append(finding(overrides, 7, F.col("line"), "warning", F.concat(F.lit("line "), F.col("line").cast("string"), F.lit(": explicit '"), F.col("field"), F.lit("' overrides the document-level value"))))
+        findings.append(finding("LINE_OVERRIDE", overrides, 7, F.col("line"), "warning", F.concat(F.lit("line "), F.col("line").cast("string"), F.lit(": explicit '"), F.col("field"), F.lit("' overrides the document-level value"))))
         counted = every.join(boxes, RECORD, "left").join(line_ids.groupBy(*RECORD).agg(F.count(F.lit(1)).alias("n_lines")), RECORD, "left")
-        findings.append(finding(counted.where("n_boxes is not null and n_lines is null").join(line_cells.select(*RECORD).distinct(), RECORD, "left_anti"), 6, 99, "error", F.lit("the list of line items is empty")))
-        findings.append(finding(counted.where("n_boxes is null and n_lines is null"), 6, 99, "error", F.lit(f"no line items found: supply a list (e.g. '{words.primary_container}') or the line fields themselves")))
+        findings.append(finding("LINE_LIST_EMPTY", counted.where("n_boxes is not null and n_lines is null").join(line_cells.select(*RECORD).distinct(), RECORD, "left_anti"), 6, 99, "error", F.lit("the list of line items is empty")))
+        findings.append(finding("LINE_NONE", counted.where("n_boxes is null and n_lines is null"), 6, 99, "error", F.lit(f"no line items found: supply a list (e.g. '{words.primary_container}') or the line fields themselves")))
         findings += missing_on_lines(line_ids, line_values, doc_values, on_line, cfg)
     findings += missing_fields(every, doc_values, line_values, line_ids, cfg)
 
@@ -482,9 +483,9 @@ def process(cells: DataFrame, km: DataFrame, records: DataFrame, cfg: SchemaConf
     first_box = F.col("use") == "container"
     unused = doc.join(boxes.select(*RECORD, "box"), RECORD, "left").where((F.col("use") == "unmapped") | (first_box & (F.col("key") != F.col("box"))))
     loose = unused.groupBy(*RECORD).agg(F.transform(F.array_sort(F.collect_list(F.struct("ord", "key"))), lambda x: x["key"]).alias("keys"))
-    findings.append(finding(loose, 11, 0, "warning", F.concat(F.lit("ignored unrecognised field(s): "), F.array_join("keys", ", "))))
+    findings.append(finding("UNMAPPED", loose, 11, 0, "warning", F.concat(F.lit("ignored unrecognised field(s): "), F.array_join("keys", ", "))))
     loose_lines = on_line.where("key is not null and not (scalar and field is not null)").groupBy(*RECORD, "line").agg(F.transform(F.array_sort(F.collect_list(F.struct("ord", "key"))), lambda x: x["key"]).alias("keys"))
-    findings.append(finding(loose_lines, 7, F.col("line"), "warning", F.concat(F.lit("line "), F.col("line").cast("string"), F.lit(": ignored unrecognised field(s): "), F.array_join("keys", ", "))))
+    findings.append(finding("UNMAPPED", loose_lines, 7, F.col("line"), "warning", F.concat(F.lit("line "), F.col("line").cast("string"), F.lit(": ignored unrecognised field(s): "), F.array_join("keys", ", "))))
 
     # assembly
     place = F.create_map(*[F.lit(x) for i, f in enumerate([*cfg.document_fields, *cfg.line_fields]) for x in (f.name, i)])
@@ -543,7 +544,7 @@ def missing_on_lines(line_ids: DataFrame, line_values: DataFrame, doc_values: Da
             head = F.concat(F.lit("line "), F.col("line").cast("string"), F.lit(": "))
             hint = F.when(F.col("strange").isNotNull(), F.concat(F.lit(" (unrecognised keys on this line: "), F.col("strange"), F.lit(")"))).otherwise("")
             text = F.concat(head, F.lit("required field '"), F.col("field"), F.lit("' is missing"), hint) if severity == "error" else F.concat(head, F.lit("'"), F.col("field"), F.lit("' was not provided"))
-            out.append(finding(rows, 7, F.col("line"), severity, text))
+            out.append(finding("LINE_MISSING" if severity == "error" else "LINE_WARN", rows, 7, F.col("line"), severity, text))
     return out
 
 
@@ -560,6 +561,6 @@ def missing_fields(every: DataFrame, doc_values: DataFrame, line_values: DataFra
             lost = F.array_except(F.array_except(F.array(*map(F.lit, names)), F.coalesce("have", none)), F.coalesce("on_all", none))
             rows = base.select(*RECORD, F.posexplode(lost).alias("pos", "field"))
             text = F.concat(F.lit("required field '"), F.col("field"), F.lit("' is missing")) if severity == "error" else F.concat(F.lit("'"), F.col("field"), F.lit("' was not provided"))
-            out.append(finding(rows, 8, F.col("pos"), severity, text))
+            out.append(finding("DOC_MISSING" if severity == "error" else "DOC_WARN", rows, 8, F.col("pos"), severity, text))
     return out
 

@@ -575,13 +575,13 @@ def q_select_schema(spark, sf_dir):
     return _unforced(spark, sf_dir).header.select("source_id", "schema", "format", "n_records", "is_valid")
 
 
-@query(f"""SELECT source_id, severity, text AS message, count(*) AS n FROM ({_SOURCES}), (VALUES ('error', 'negative', false, 0), ('warning', 'ignored unrecognised field(s): zeal', true, 1)) v(severity, text, g, e)
+@query(f"""SELECT source_id, severity, code, text AS message, count(*) AS n FROM ({_SOURCES}), (VALUES ('error', 'VAL_ERROR', 'negative', false, 0), ('warning', 'UNMAPPED', 'ignored unrecognised field(s): zeal', true, 1)) v(severity, code, text, g, e)
  WHERE (e = 1 AND extra = 1) OR (e = 0 AND NOT good) GROUP BY ALL""")
 def q_report_summary(spark, sf_dir):
-    """Messages of a run by source and severity."""
+    """Messages of a run by source, severity and code."""
     found = _unforced(spark, sf_dir).findings
     text = F.when(F.col("message").contains("negative"), "negative").otherwise(F.col("message"))
-    return found.groupBy("source_id", "severity", text.alias("message")).agg(F.count(F.lit(1)).alias("n"))
+    return found.groupBy("source_id", "severity", "code", text.alias("message")).agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("""SELECT o_orderkey, CASE o_orderkey % 3 WHEN 0 THEN '1,' || lpad(CAST(o_orderkey % 1000 AS VARCHAR), 3, '0') WHEN 1 THEN '1,' || (o_orderkey % 90 + 10) ELSE CAST(o_orderkey AS VARCHAR) END AS t, o_orderkey % 3 = 0 AS ambiguous FROM orders""")
