@@ -13,7 +13,7 @@ pages can be given to ``train``.
 
 Defined cases: a null page is empty and has an empty text; unclosed and
 truncated markup is read as far as it goes; very long or deeply nested pages take
-time in proportion to their length; repeated rows are read each; ties between
+time in proportion to their length, whatever tags they invent; repeated rows are read each; ties between
 labellings go to "other"; an empty table gives no rows; extra columns are ignored.
 """
 
@@ -66,13 +66,15 @@ class Block:
 class _Open:
     """The open elements.  Each knows the tags above it, so that a block costs no walk up the stack."""
 
-    def __init__(self) -> None:
+    def __init__(self, known: frozenset | None = None) -> None:
+        self.known = known  # tags that a model has weights for; others say nothing to it, and are not carried along
         self.stack: list[tuple[str, frozenset, frozenset, str]] = []  # name, own marks, tags so far, nearest block tag
         self.count: Counter = Counter()
 
     def push(self, name: str, marks: frozenset) -> None:
         tags, leaf = self.stack[-1][2:] if self.stack else (frozenset(), "")
-        self.stack.append((name, marks, tags if name in tags else tags | {name}, name if name in BLOCKS else leaf))
+        carried = name not in tags and (self.known is None or name in self.known)
+        self.stack.append((name, marks, tags | {name} if carried else tags, name if name in BLOCKS else leaf))
         self.count[name] += 1
 
     def cut(self, k: int) -> None:
@@ -100,10 +102,13 @@ class _Open:
         return frozenset().union(*(e[1] for e in self.stack[-NEAREST:]))
 
 
-def blocks_of(page: str | None) -> list[Block]:
-    """Leaf blocks in page order, with decoded text whose white space is single spaces."""
+def blocks_of(page: str | None, known: frozenset | None = None) -> list[Block]:
+    """Leaf blocks in page order, with decoded text whose white space is single spaces.
+
+    ``known``: the tags to note of a block's ancestors; all, where it is None.
+    """
     page = page or ""
-    up = _Open()
+    up = _Open(known)
     out: list[Block] = []
     held: list[str] = []
     linked = at = 0
@@ -186,6 +191,7 @@ class Crf:
 
     def __init__(self, state: dict[str, tuple[float, float]], move: list[list[float]], start: list[float]) -> None:
         self.state, self.move, self.start = state, move, start
+        self.tags = frozenset(f.removeprefix("in:") for f in state if f.startswith("in:"))
 
     def viterbi(self, features: list[list[str]]) -> list[int]:
         state, (m00, m01), (m10, m11) = self.state, *self.move
@@ -397,7 +403,7 @@ def default_model(n: int = 700, seed: int = 11) -> Crf:
 
 
 def extract(page: str | None, model: Crf) -> str:
-    blocks = blocks_of(page)
+    blocks = blocks_of(page, model.tags)
     labels = model.viterbi(describe(blocks))
     return "\n\n".join(b.text for b, y in zip(blocks, labels, strict=True) if y)
 

@@ -48,6 +48,8 @@ from loomcast.llm import _shared
 from loomcast.llm._words import mix
 
 _U = np.uint64
+#: From so many neighbours of one window on they are ranked at once instead of being looked for one by one.
+MANY = 12
 _ENCODERS: dict[int, Callable] = {}
 
 
@@ -132,12 +134,21 @@ def plan(lengths: list[int], index: Index, window: int) -> list[tuple[int, int,
     seq = fill = cursor = start = 0
     doc = -1  # the document at hand, ``start`` tokens of which are placed
     score = np.zeros(n)
+    picks, ranked = 0, iter(())
     while True:
         if doc < 0:
             if fill:
-                score[used] = 0
-                best = int(score.argmax())
-                doc = best if score[best] > 0 else -1
+                picks += 1
+                if picks < MANY:
+                    score[used] = 0
+                    best = int(score.argmax())
+                    doc = best if score[best] > 0 else -1
+                else:  # many small documents fill this window: rank the neighbours once
+                    if picks == MANY:
+                        score[used] = 0
+                        found = np.flatnonzero(score > 0)
+                        ranked = iter(found[np.argsort(-score[found], kind="stable")].tolist())
+                    doc = next(ranked, -1)
             if doc < 0:
                 while cursor < n and used[cursor]:
                     cursor += 1
@@ -147,7 +158,7 @@ def plan(lengths: list[int], index: Index, window: int) -> list[tuple[int, int,
             used[doc], start = True, 0
         if not fill and lengths[doc] - start < window:
             index.drop(used)
-            score = index.scores(doc)
+            score, picks = index.scores(doc), 0
         take = min(lengths[doc] - start, window - fill)
         pieces.append((doc, start, take, seq, fill))
         start, fill = start + take, fill + take

@@ -151,6 +151,26 @@ def test_deep_and_long_pages_take_linear_time():
     assert times[1] < 20 * max(times[0], 0.05)
 
 
+def test_invented_tags_take_linear_time_and_memory():
+    import tracemalloc
+
+    page = "".join(f"<x{k}><div>word {k}" for k in range(11_000))
+    assert len(page) > 200_000
+    model = htmltext.default_model()
+    tracemalloc.start()
+    began = time.time()
+    htmltext.extract(page, model)
+    took, (_, most) = time.time() - began, tracemalloc.get_traced_memory()
+    tracemalloc.stop()
+    assert took < 20 and most < 200e6
+
+
+def test_tags_without_weights_change_no_label():
+    model = htmltext.default_model()
+    for page, _ in htmltext.labelled_pages(40, 5):
+        assert model.viterbi(htmltext.describe(htmltext.blocks_of(page))) == model.viterbi(htmltext.describe(htmltext.blocks_of(page, model.tags)))
+
+
 def test_viterbi_is_the_best_path():
     model = htmltext.Crf({"a": (0.3, 0.9), "b": (1.0, -0.2)}, [[0.5, -1.0], [-0.3, 0.8]], [0.1, 0.0])
     feats = [["a"], ["b"], ["a", "b"], ["a"], []]
@@ -560,3 +580,20 @@ def test_policies_and_ablations(spark):
     assert kept("default-1") == [1, 2] and kept("default-2") == [1] and kept("base-1") == [1, 2, 4]
     a = {r.rule: (r.n_failed, r.n_only, r.n_kept_without) for r in quality.ablations(book, "default-1").collect()}
     assert a["symbol_heavy"] == (1, 1, 3) and a["few_words"] == (1, 1, 3) and a["duplicate_lines"][0] == 1
+
+
+def test_many_tiny_texts_pack_in_linear_time():
+    tokens = [np.array([1], np.uint32)] * 120_000
+    began = time.time()
+    made = packing.plan([1] * len(tokens), packing.Index(tokens), 2048)
+    assert time.time() - began < 40 and sum(p[2] for p in made) == len(tokens) and len({p[0] for p in made}) == len(tokens)
+
+
+def test_ranked_neighbours_equal_the_search_for_each(monkeypatch):
+    rng = np.random.default_rng(4)
+    tokens = [rng.integers(0, 60, rng.integers(1, 9)).astype(np.uint32) for _ in range(800)]
+    plans = []
+    for many in (2, 12, 10**9):
+        monkeypatch.setattr(packing, "MANY", many)
+        plans.append(packing.plan([len(t) for t in tokens], packing.Index(tokens), 128))
+    assert plans[0] == plans[1] == plans[2]

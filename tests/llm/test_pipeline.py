@@ -41,9 +41,28 @@ def test_stages_one_by_one(spark):
 
 def test_every_query_is_registered():
     names = list(queries.queries())
-    assert [n.split("_")[0] for n in names] == [f"op{i}" for i in range(1, 11)]
+    assert [n.split("_")[0] for n in names] == [f"op{i}" for i in range(1, 14)]
     assert set(queries.oracle_sql()) <= set(names)
 
 
 def test_run_gives_the_last_stage(spark):
     assert corpus_pipeline.run(spark, SF).columns[0] == "doc_id" and corpus_pipeline.ORACLE_SQL is None
+
+
+@pytest.mark.parametrize("rows", [[], "odd"])
+def test_stages_on_odd_tables(spark, rows):
+    """Nulls in any column, repeated rows, a very long text, extra and clashing columns; and no rows at all."""
+    text = " ".join(f"word{k} and other{k % 17}" for k in range(60))
+    schema = "doc_id bigint, text string, lang string, source string, n_chars bigint, start string, kept string, row string"
+    if rows:
+        rows = [(1, text, "en", "s", 5, "a", "b", "c"), (1, text, "en", "s", 5, "a", "b", "c"), (2, None, None, None, None, None, None, None), (None, text + " more", None, "s", None, "a", "b", "c"),
+                (3, "", "en", "s", 0, "a", "b", "c"), (4, " ".join(f"long{k}" for k in range(40_000)), "en", "s", 1, "a", "b", "c")]
+    docs = spark.createDataFrame(rows, schema)
+    for k, (_, stage) in enumerate(corpus_pipeline.STAGES[:-1]):
+        out, _ = _shared.materialize(stage(spark, docs, SF), f"odd{k}")
+        assert out.columns == docs.columns
+        docs = out
+    pieces = corpus_pipeline.STAGES[-1][1](spark, docs, SF).collect()
+    assert {p.doc_id for p in pieces} == ({r.doc_id for r in docs.collect()} if rows else set())
+    if rows:
+        assert 4 in {p.doc_id for p in pieces} and not {2, 3} & {p.doc_id for p in pieces}
