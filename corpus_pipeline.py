@@ -2,6 +2,11 @@
 
 Every stage takes (spark, docs, sf_dir) and returns a DataFrame.  The first
 four return the columns of documents; the last returns packed pieces.
+
+Defined cases are those of the operators: a null text is an empty one (it fails
+the word rule and goes), documents without an id are judged like others, equal
+documents leave one, very long texts are read whole, an empty table gives no
+pieces, and extra columns stay until packing.
 """
 
 from __future__ import annotations
@@ -44,7 +49,7 @@ STAGES = [
     ("packing", retrieval_packing),
 ]
 
-#: Tokenisation and retrieval cannot be expressed in SQL; tests compare run() with a brute-force version.
+#: Tokenisation and retrieval cannot be expressed in SQL; tests hold each stage on a small table against what it must do.
 ORACLE_SQL = None
 
 
