@@ -60,10 +60,10 @@ def rule_findings(doc_values: DataFrame, line_values: DataFrame, cfg: SchemaConf
             doc_type = doc_values.where(F.col("field") == rule["type_field"]).select(*RECORD, F.col("out.value").alias("doc_type"))
             kind = one(rule["type_field"], "t").select(*RECORD, "line", F.col("t.value").alias("line_type"))
             limits = {t: m[rule["attribute"]] for t, m in cfg.vocabularies[rule["vocabulary"]].items() if m.get(rule["attribute"]) is not None}
-            table = F.create_map(*[F.lit(x) for t, v in limits.items() for x in (t, float(v))]) if limits else F.create_map().cast("map<string,double>")
+            # a relation, so that a vocabulary of any size stays out of the plan; Spark broadcasts it where it is small
+            table = amount.sparkSession.createDataFrame([(t, float(v)) for t, v in limits.items()], "type string, limit double")
             rows = amount.join(kind, [*RECORD, "line"], "left").join(doc_type, RECORD, "left").withColumn("type", F.coalesce("line_type", "doc_type"))
-            most = F.coalesce(F.try_element_at(table, F.coalesce("type", F.lit(""))), F.lit(float(rule["default"])))
-            rows = rows.withColumn("most", most).where("a.number > most")
+            rows = rows.join(table, "type", "left").withColumn("most", F.coalesce("limit", F.lit(float(rule["default"])))).where("a.number > most")
             shown = F.coalesce("type", F.lit(f"unknown {rule['type_field']}"))
             text = F.concat(
                 F.lit("line "), F.col("line").cast("string"), F.lit(f": {rule['amount_field']} "), _cents("a.number"),

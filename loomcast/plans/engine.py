@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from loomcast.functions.validators import VALIDATORS, Scope, plain
 from loomcast.functions.values import DECIMAL, number_locale, parse_date, parse_money
 from loomcast.operators import checks, detect
-from loomcast.operators.keys import key_match, vocabulary_term
+from loomcast.operators.keys import TermIndex, key_match, vocabulary_term
 from loomcast.operators.mapping import document_languages, mark_document_keys, rank_matches
 from loomcast.plans.config import ConfigError, SchemaConfig, SourceError, Words, load_schema_configs
 from loomcast.plans.defaults import SETTINGS
@@ -242,8 +242,12 @@ def vocabulary_matches(values: DataFrame, cfg: SchemaConfig, words: Words) -> Da
     """Distinct (vocab, text) -> closest term."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        indexes: dict[str, TermIndex] = {}
         for b in batches:
-            got = [vocabulary_term(t or "", cfg.vocabularies[v], words) for v, t in zip(b["vocab"], b["text"], strict=True)]
+            for v in b["vocab"].unique():
+                if v not in indexes:
+                    indexes[v] = TermIndex(cfg.vocabularies[v], words)
+            got = [vocabulary_term(t or "", cfg.vocabularies[v], words, indexes[v]) for v, t in zip(b["vocab"], b["text"], strict=True)]
             yield b.assign(term=[g[0] for g in got], term_score=[g[1] for g in got], plain_value=[g[2] for g in got])
 
     return values.select("vocab", "text").distinct().mapInPandas(run, "vocab string, text string, term string, term_score double, plain_value string")
