@@ -5,6 +5,9 @@ from __future__ import annotations
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -21,8 +24,28 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+_PART: ContextVar[str] = ContextVar("part", default="loomcast")
+
+
 def scratch(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/loomcast/{name}-{uuid.uuid4().hex}"
+    return f"{shared_dir(spark)}/{_PART.get()}/{name}-{uuid.uuid4().hex}"
+
+
+@contextmanager
+def passing(spark: SparkSession) -> Iterator[None]:
+    """What is kept inside goes when the block ends; results have to be written by then."""
+    part = f"loomcast/part-{uuid.uuid4().hex}"
+    before = _PART.set(part)
+    try:
+        yield
+    finally:
+        _PART.reset(before)
+        _delete(spark, part)
+
+
+def _delete(spark: SparkSession, part: str) -> None:
+    folder = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/{part}")
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
 
 
 def keep(df: DataFrame, name: str) -> DataFrame:
@@ -34,9 +57,7 @@ def keep(df: DataFrame, name: str) -> DataFrame:
 
 def release(spark: SparkSession) -> None:
     """Delete what this library has stored in the session's shared folder; call it when results are written."""
-    jvm = spark._jvm
-    folder = jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/loomcast")
-    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+    _delete(spark, "loomcast")
 
 
 def ship(spark: SparkSession) -> None:

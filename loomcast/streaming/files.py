@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from loomcast.plans.engine import hints_of, prepare, transform_cells
-from loomcast.plans.store import ship
+from loomcast.plans.store import passing, ship
 from loomcast.sources.readers import parse_contents
 
 FILES = "path string, modificationTime timestamp, length bigint, content binary"
@@ -36,12 +36,13 @@ def transform_stream(
     day = today or datetime.date.today()
 
     def run(batch: DataFrame, batch_id: int) -> None:
-        cells = parse_contents(batch.select("path", "content"), fmt, None, hints_of(cfgs))
-        report = transform_cells(cells, cfgs, schema, languages, day)
-        out = report.results.withColumn("batch_id", F.lit(batch_id))
-        out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch_id").parquet(results)
-        if each:
-            each(out, batch_id)
+        with passing(spark):  # a batch's tables go once its rows are written
+            cells = parse_contents(batch.select("path", "content"), fmt, None, hints_of(cfgs))
+            report = transform_cells(cells, cfgs, schema, languages, day)
+            out = report.results.withColumn("batch_id", F.lit(batch_id))
+            out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch_id").parquet(results)
+            if each:
+                each(out, batch_id)
 
     files = spark.readStream.format("binaryFile").schema(FILES).load(folder)
     writer = files.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint)

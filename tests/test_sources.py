@@ -128,3 +128,16 @@ def test_record_rules_and_the_written_report(spark, tmp_path):
     assert rows["a.json"].is_valid and rows["b.json"].errors == ["line 2: pear of Hill Farm weighs only 9.5"] and "2 crates" in rows["b.json"].warnings
     assert spark.read.json(str(tmp_path / "out" / "header")).count() == 2
     assert spark.read.json(str(tmp_path / "out" / "findings")).where("severity = 'error'").count() == 1
+
+
+def test_what_is_kept_goes(spark):
+    import os
+
+    from loomcast.plans import store
+
+    with store.passing(spark):
+        kept = store.keep(spark.range(5), "t")
+        folder = store.scratch(spark, "t").rsplit("/", 1)[0].removeprefix("file://")
+        assert kept.count() == 5 and os.listdir(folder)
+    assert not os.path.exists(folder)
+    assert store.keep(spark.range(5), "t").count() == 5
