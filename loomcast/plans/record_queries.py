@@ -279,6 +279,31 @@ def q_translations(spark, sf_dir):
     return rank_matches(mapped, cfg, Words(cfg)).select(F.col("rec").alias("p_partkey"), "language", "role")
 
 
+@query("""SELECT c_custkey, field, CASE WHEN same THEN 'DUP' ELSE 'CONFLICT' END AS code FROM (SELECT c_custkey, unnest([{'field': 'call', 'same': c_custkey % 4 <> 0}, {'field': 'nation', 'same': c_custkey % 3 <> 0},
+ {'field': 'segment', 'same': c_mktsegment <> 'BUILDING'}], recursive := true) FROM customer)""")
+def q_competing_kinds(spark, sf_dir):
+    """Two spellings of phones, numbers and vocabulary terms: each kind has its own notion of the same value."""
+    names = ["AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY"]
+    cfg = schema("customer", {"call": {"validator": "phone"}, "nation": {"validator": "number"}, "segment": {"validator": "vocabulary", "params": {"vocabulary": "segments"}}},
+                 vocabularies={"segments": {n.lower(): {"aliases": [f"the {n.lower()} trade"]} for n in names}})
+    k, segment = F.col("c_custkey"), F.lower("c_mktsegment")
+    digits = lambda d: F.lpad((k + d).cast("string"), 7, "2")
+    dotted = lambda x: F.concat(F.lit("555."), F.substr(x, F.lit(1), F.lit(3)), F.lit("."), F.substr(x, F.lit(4)))
+    bracketed = lambda x: F.concat(F.lit("(555) "), F.substr(x, F.lit(1), F.lit(3)), F.lit("-"), F.substr(x, F.lit(4)))
+    pair = lambda field, a, b: F.struct(F.lit(field).alias("field"), a.alias("text"), b.alias("winner_text"))
+    nation = F.col("c_nationkey")
+    pairs = F.array(
+        pair("call", bracketed(digits(F.when(k % 4 == 0, 1).otherwise(0))), dotted(digits(F.lit(0)))),
+        pair("nation", F.concat((nation + F.when(k % 3 == 0, 1).otherwise(0)).cast("string"), F.lit(".0")), nation.cast("string")),
+        pair("segment", F.when(segment == "building", F.lit("the furniture trade")).otherwise(F.concat(F.lit("the "), segment, F.lit(" trade"))), segment))
+    mapped = table(spark, sf_dir, "customer").select(k, F.explode(pairs).alias("p")).select(
+        F.lit("customers").alias("source_id"), k.cast("bigint").alias("rec"), F.lit("doc").alias("scope"), none().cast("int").alias("line"), F.lit(0).alias("ord"), F.lit("second").alias("key"), F.lit("first").alias("winner_key"),
+        "p.text", "p.winner_text", F.lit("string").alias("kind"), F.lit("string").alias("winner_kind"), "p.field", F.lit("en").alias("locale"), none().cast("string").alias("language"), none().cast("string").alias("winner_language"),
+        F.lit("competing").alias("role"))
+    found = engine.competing_findings(mapped, cfg, Words(cfg), TODAY)
+    return found.select(F.col("rec").alias("c_custkey"), F.regexp_extract("message", "'(call|nation|segment)'", 1).alias("field"), "code")
+
+
 @query(f"""SELECT l_orderkey, CASE WHEN l_linenumber % 3 = 0 THEN 'error' ELSE 'warning' END AS severity, count(*) AS n FROM lineitem WHERE {CENTS} IS NOT NULL GROUP BY 1, 2""")
 def q_competing_values(spark, sf_dir):
     """Two spellings of every line's amount compete: equal ones repeat, every third differs by a cent and is in conflict."""
