@@ -100,18 +100,23 @@ def survey(lines: DataFrame) -> dict[str, FilePlan]:
     return out
 
 
-def inside_after(line: bytes, inside: bool, delimiter: bytes) -> bool:
-    """Whether a quoted field is open after a line, given whether one is before it."""
+def opened_at(line: bytes, inside: bool, delimiter: bytes) -> int:
+    """Where in a line the quoted field begins that is open after it: 0 if it was open before, -1 if none is."""
     at = 0
     while True:
         if inside or line[at : at + 1] == b'"':
             closed = _REST.match(line, at if inside else at + 1)
             if not closed:
-                return True
+                return at if inside else at + 1
             at, inside = closed.end(), False
         at = line.find(delimiter, at) + 1
         if not at:
-            return False
+            return -1
+
+
+def inside_after(line: bytes, inside: bool, delimiter: bytes) -> bool:
+    """Whether a quoted field is open after a line, given whether one is before it."""
+    return opened_at(line, inside, delimiter) >= 0
 
 
 def _by_block(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, int, Iterator[bytes]]]:
@@ -183,13 +188,10 @@ def _parse(plans):
         inside, number = plan.starts[block]
         d, limit, nth = plan.delimiter.decode(), csv.field_size_limit(), 0
         held: list[bytes] = []
-        size, foreign, first = 0, inside, block == 0  # foreign: the record at hand began in another block
+        size = 0  # bytes of the quoted field that is open
+        foreign, first, lost = inside, block == 0, False  # foreign: the record at hand began in another block; lost: a field of it is too long
 
         def piece(part: int) -> tuple:
-            if size > limit and not (part == 0 and not foreign and inside is False):
-                longest = max(map(len, b"\n".join(held).decode(plan.encoding).split('"')))
-                if longest > limit:
-                    return name, block, number, None, "invalid", 0, None, f"source is not valid CSV: field larger than field limit ({limit})"
             return name, block, number, None if part else nth + 1, "piece", part, None, b"\n".join(held).decode(plan.encoding)
 
         for line in lines:
@@ -198,15 +200,19 @@ def _parse(plans):
             if not held and not foreign:
                 number += 1
             held.append(line)
-            size += len(line) + 1
-            if b'"' in line:
-                inside = inside_after(line, inside, plan.delimiter)
+            opened = opened_at(line, inside, plan.delimiter) if b'"' in line else 0 if inside else -1
+            size = 0 if opened < 0 else size + len(line) + 1 if inside and opened == 0 else len(line) - opened + 1
+            inside = opened >= 0
             if inside:
-                if size > 4 * limit + 4096 and len(held) > 1 and size - len(held[0]) > 4 * limit:  # no field may be that long
+                if size > 4 * limit + 4 and not lost:  # more than the limit in any encoding
                     yield name, block, number, None, "invalid", 0, None, f"source is not valid CSV: field larger than field limit ({limit})"
-                    held, size = held[:1], len(held[0])
+                    lost = True
+                if lost:
+                    held = held[:1]
                 continue
-            if foreign:
+            if lost:
+                foreign = False
+            elif foreign:
                 yield piece(1)
                 foreign = False
             else:
@@ -218,8 +224,8 @@ def _parse(plans):
                 if cells:
                     nth += any(cells)
                     yield name, block, number, nth if any(cells) else None, "row", 0, cells, None
-            held, size = [], 0
-        if held:
+            held, lost = [], False
+        if held and not lost:
             yield piece(1 if foreign else 0)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -77,6 +77,21 @@ def test_many_tasks_and_long_fields(spark, tmp_path):
     assert sum(k[7] == "source_error" for k in got) == 2
 
 
+def test_wide_records_over_blocks(spark, tmp_path):
+    """Records far longer than the limit of a field, of which no field is: many short fields, quoted and over lines or not."""
+    several = "a," + ",".join(f'"{k}\nmore of {k}"' for k in range(30_000))
+    plain = "b," + ",".join(str(k) for k in range(30_000))
+    header = ",".join(f"h{k}" for k in range(30_001))
+    write(tmp_path, "wide.csv", f"{header}\n{several}\n{plain}\n{several}\n")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "150k")
+    try:
+        got = bag(large.read_csv_files(spark, str(tmp_path)))
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert sum(got.values()) == 3 * 30_001 and not any(k[7] == "source_error" for k in got)
+    assert {k[8] for k in got if k[6] == "h29999"} == {"29998\nmore of 29998", "29998"}
+
+
 def test_utf16_is_refused(spark, tmp_path):
     write(tmp_path, "a.csv", "a,b\n1,2\n".encode("utf-16"))
     with pytest.raises(readers.SourceProblem):
