@@ -99,8 +99,8 @@ class Index:
         self.at = np.append(first, len(term))
         df, n, mean = (corpus[0][self.terms], *corpus[1:]) if corpus else (here, len(docs), length.mean())
         idf = np.repeat(np.log1p((n - df + 0.5) / (df + 0.5)).astype(np.float32), here)
-        tf, self.who = tf[order].astype(np.float32), who[order]
-        self.weight = idf * tf * np.float32(k1 + 1) / (tf + np.float32(k1) * (np.float32(1 - b) + np.float32(b / mean) * length[self.who]))
+        tf, self.who = tf[order].astype(np.float32), who[order].astype(np.intp)
+        self.weight = (idf * tf * np.float32(k1 + 1) / (tf + np.float32(k1) * (np.float32(1 - b) + np.float32(b / mean) * length[self.who]))).astype(float)  # as bincount takes them
         self.n = self.left = len(docs)
 
     def drop(self, used: np.ndarray) -> None:
