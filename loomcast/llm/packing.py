@@ -50,6 +50,8 @@ from loomcast.llm._words import mix
 _U = np.uint64
 #: From so many neighbours of one window on they are ranked at once instead of being looked for one by one.
 MANY = 12
+#: Terms in more than this share of a shard's documents have a row of weights over all of them instead of postings.
+COMMON = 0.125
 _ENCODERS: dict[int, Callable] = {}
 
 
@@ -87,7 +89,12 @@ def encoder(vocabulary: bytes, ranks: bytes | None = None, pattern: str | None =
 
 
 class Index:
-    """BM25 postings of documents over token ids, under the statistics of a corpus (df by id, n, mean length)."""
+    """BM25 weights of documents over token ids, under the statistics of a corpus (df by id, n, mean length).
+
+    Rare terms have postings.  Common ones, most of what a seed looks up, have a row each, and rows are added up
+    (in single precision, as weights are held) where postings are gathered one by one; a row has at most eight times as
+    many cells as the term has postings.
+    """
 
     def __init__(self, docs: list[np.ndarray], corpus: tuple | None = None, k1: float = 1.2, b: float = 0.75) -> None:
         self.own, counts = zip(*[np.unique(d, return_counts=True) for d in docs], strict=True)
@@ -95,28 +102,42 @@ class Index:
         held = np.array([len(t) for t in self.own])
         who, term, tf = np.repeat(np.arange(len(docs), dtype=np.int32), held), np.concatenate(self.own), np.concatenate(counts)
         order = np.argsort(term, kind="stable")
-        self.terms, first, here = np.unique(term[order], return_index=True, return_counts=True)
-        self.at = np.append(first, len(term))
+        self.terms, here = np.unique(term[order], return_counts=True)
         df, n, mean = (corpus[0][self.terms], *corpus[1:]) if corpus else (here, len(docs), length.mean())
         idf = np.repeat(np.log1p((n - df + 0.5) / (df + 0.5)).astype(np.float32), here)
-        tf, self.who = tf[order].astype(np.float32), who[order].astype(np.intp)
-        self.weight = (idf * tf * np.float32(k1 + 1) / (tf + np.float32(k1) * (np.float32(1 - b) + np.float32(b / mean) * length[self.who]))).astype(float)  # as bincount takes them
-        self.n = self.left = len(docs)
+        tf, who = tf[order].astype(np.float32), who[order].astype(np.intp)
+        weight = idf * tf * np.float32(k1 + 1) / (tf + np.float32(k1) * (np.float32(1 - b) + np.float32(b / mean) * length[who]))
+        self.n, self.live = len(docs), np.arange(len(docs))  # the columns of the rows
+        common = here > COMMON * self.n
+        self.row = np.where(common, np.cumsum(common) - 1, -1)
+        self.rows = np.zeros((int(common.sum()), self.n), np.float32)
+        row = np.repeat(self.row, here)
+        rare = row < 0
+        self.rows[row[~rare], who[~rare]] = weight[~rare]
+        self.who, self.weight = who[rare], weight[rare].astype(float)  # as bincount takes them
+        self.at = np.cumsum([0, *np.where(common, 0, here)])
 
     def drop(self, used: np.ndarray) -> None:
-        """Leave out the postings of documents that are used, once a fifth of those at hand are."""
-        left = int(self.n - used.sum())
-        if left > 0.8 * self.left:
+        """Leave out the weights of documents that are used, once a fifth of those at hand are."""
+        if self.n - used.sum() > 0.8 * len(self.live):
             return
         keep = ~used[self.who]
         self.at = np.concatenate([[0], np.cumsum(keep)])[self.at]
-        self.who, self.weight, self.left = self.who[keep], self.weight[keep], left
+        self.who, self.weight = self.who[keep], self.weight[keep]
+        keep = ~used[self.live]
+        self.live, self.rows = self.live[keep], np.compress(keep, self.rows, axis=1)
 
     def scores(self, seed: int) -> np.ndarray:
         """The BM25 score of every document for all terms of the seed."""
-        spans = [slice(self.at[k], self.at[k + 1]) for k in np.searchsorted(self.terms, self.own[seed])]
-        who = np.concatenate([self.who[s] for s in spans])
-        return np.bincount(who, weights=np.concatenate([self.weight[s] for s in spans]), minlength=self.n)
+        held = np.searchsorted(self.terms, self.own[seed])
+        row = self.row[held]
+        rare, out = held[row < 0], np.zeros(self.n)
+        out[self.live] = self.rows[row[row >= 0]].sum(axis=0)
+        if len(rare):
+            spans = [slice(a, b) for a, b in zip(self.at[rare].tolist(), self.at[rare + 1].tolist(), strict=True)]
+            who, weight = np.concatenate([self.who[s] for s in spans]), np.concatenate([self.weight[s] for s in spans])
+            out += np.bincount(who, weights=weight, minlength=self.n)
+        return out
 
     def neighbours(self, seed: int) -> np.ndarray:
         """Other documents with a positive score, best first."""

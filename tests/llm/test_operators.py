@@ -597,3 +597,24 @@ def test_ranked_neighbours_equal_the_search_for_each(monkeypatch):
         monkeypatch.setattr(packing, "MANY", many)
         plans.append(packing.plan([len(t) for t in tokens], packing.Index(tokens), 128))
     assert plans[0] == plans[1] == plans[2]
+
+
+def test_terms_of_many_documents_are_not_gathered_by_posting():
+    rng = np.random.default_rng(11)
+    docs = [np.append(np.minimum(rng.geometric(0.02, rng.integers(5, 120)), 400), 1).astype(np.uint32) for _ in range(300)]
+    docs[7] = docs[3]
+    index, n, mean = packing.Index(docs), len(docs), np.mean([len(d) for d in docs])
+    most = np.diff(index.at).max()
+    assert 0 < most <= n / 8, "what a seed gathers term by term is at most an eighth of the documents each"
+    assert np.count_nonzero(index.rows) >= index.rows.size / 8, "rows stay in proportion to the postings they stand for"
+    tf = np.array([np.bincount(d, minlength=401) for d in docs], float)
+    df, length = (tf > 0).sum(axis=0), tf.sum(axis=1)[:, None]
+    weight = np.log1p((n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * length / mean))
+    used = np.zeros(n, bool)
+    for gone in (0, 100, 150, 290):  # scores stay right as used documents are left out
+        used[rng.choice(np.setdiff1d(np.flatnonzero(~used), [3, 7]), gone - used.sum(), replace=False)] = True
+        index.drop(used)
+        for seed in range(0, n, 10):
+            want, got = weight[:, tf[seed] > 0].sum(axis=1), index.scores(seed)
+            assert np.allclose(got[~used], want[~used], rtol=1e-4) and got[3] == got[7]
+            assert ((got > 0) == (want > 0))[~used].all() and len(index.live) <= max(1.25 * (~used).sum(), 1)
