@@ -81,6 +81,17 @@ def test_spelt_out_is_bounded(spark):
     assert said.startswith("row 1; row 2; ") and said.endswith(f"row {SPELT_OUT}; and {250 - SPELT_OUT} more")
 
 
+def test_reports_name_every_bad_row(spark):
+    from loomcast.sources.readers import CELLS
+
+    torn = [("barred", "csv", rec, None, 0, None, None, "record_error", "row is torn") for rec in range(2, 252)]
+    idle = [("idle", *c[1:]) for c in torn]
+    fine = [("barred", "csv", 1, None, k, None, c, "string", v) for k, (c, v) in enumerate((("slip type", "intake"), ("grower", "Hill Farm"), ("variety", "damson"), ("paid", "12")))]
+    heads = {h.source_id: h.errors for h in transform(spark, spark.createDataFrame(torn + idle + fine, CELLS), [INTAKE], today=TODAY).header.collect()}
+    assert heads["barred"] == ["CSV rows cannot be combined into one document: " + "; ".join(f"row {rec}: row is torn" for rec in range(2, 252))]
+    assert heads["idle"] == ["; ".join(["row is torn"] * 250)]
+
+
 def test_paths_and_formats(spark, tmp_path):
     (tmp_path / "a.data").write_text(TABLE)
     for source, fmt in ((tmp_path / "a.data", "CSV"), (str(tmp_path / "a.data"), " Csv ")):
