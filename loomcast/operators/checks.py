@@ -39,7 +39,12 @@ def total_findings(doc_values: DataFrame, line_values: DataFrame, line_ids: Data
     )
     n = line_ids.groupBy(*RECORD).agg(F.count(F.lit(1)).alias("n_lines"))
     total = doc_values.where((F.col("field") == cfg.total_field) & F.col("out.number").isNotNull()).select(*RECORD, F.col("out.number").alias("total"))
-    wrong = total.join(per, RECORD).join(n, RECORD).where("n_first = n_lines and total <> lines_sum")
+    return wrong_totals(total.join(per, RECORD).join(n, RECORD), cfg)
+
+
+def wrong_totals(sums: DataFrame, cfg: SchemaConfig) -> DataFrame:
+    """``sums``: total, lines_sum, n_first (lines with the first field that adds up) and n_lines of each record."""
+    wrong = sums.where("n_first = n_lines and total <> lines_sum")
     text = F.concat(F.lit(f"{cfg.total_field} "), _cents("total"), F.lit(" does not equal the sum of the line items "), _cents("lines_sum"))
     return _finding("TOTAL", wrong, 9, F.lit(0), cfg.settings["total_mismatch_severity"], text)
 

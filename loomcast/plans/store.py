@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 import zipfile
@@ -43,7 +44,13 @@ def passing(spark: SparkSession) -> Iterator[None]:
         _delete(spark, part)
 
 
+def _table_name(part: str) -> str:
+    return re.sub(r"\W", "_", part)
+
+
 def _delete(spark: SparkSession, part: str) -> None:
+    for t in spark.catalog.listTables(pattern=f"{_table_name(part)}_*"):
+        spark.sql(f"DROP TABLE IF EXISTS {t.name}")
     folder = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/{part}")
     folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
 
@@ -55,6 +62,18 @@ def keep(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def keep_by(df: DataFrame, name: str, keys: list[str], deal: bool = False) -> DataFrame:
+    """``keep`` in buckets of ``keys``: joins, groups and windows above that hold these keys move nothing.
+
+    ``deal`` sends the rows to their buckets first; what was read from such a table is in place already.
+    """
+    spark, path = df.sparkSession, scratch(df.sparkSession, name)
+    n = min(int(spark.conf.get("spark.sql.shuffle.partitions")), int(spark.conf.get("spark.sql.sources.bucketing.maxBuckets", "100000")))
+    table = f"{_table_name(_PART.get())}_{name}_{uuid.uuid4().hex}"
+    (df.repartition(n, *keys) if deal else df).write.bucketBy(n, *keys).option("path", path).saveAsTable(table)
+    return spark.table(table)
+
+
 def release(spark: SparkSession) -> None:
     """Delete what this library has stored in the session's shared folder; call it when results are written."""
     _delete(spark, "loomcast")
