@@ -14,6 +14,7 @@ from loomcast.plans import engine
 from loomcast.plans.config import Words, build_schema_config, register_record_rule
 from loomcast.plans.defaults import SETTINGS
 from loomcast.plans.registry import CENTS, TODAY, cents_of, frac, query, table, whole
+from loomcast.plans.store import keep
 from loomcast.sources import readers
 
 
@@ -530,9 +531,11 @@ def _folded(df, source: str, rec, columns: dict, name: str):
     cfg = schema(name, {"status": {"validator": "text", "required": False}}, {"item": {"validator": "text", "required": False}}, csv={"layout": "lines"}, line_containers=["entries"])
     words = Words(cfg)
     cell = lambda i, key, column: F.struct(F.lit(i).alias("ord"), F.lit(key).alias("key"), F.col(column).cast("string").alias("text"))
-    rows = df.select(F.col(source).cast("string").alias("source_id"), rec.cast("bigint").alias("rec"), F.explode(F.array(*[cell(i, k, c) for i, (k, c) in enumerate(columns.items())])).alias("c"))
+    placed = df.withColumn("source_id", F.col(source).cast("string")).repartition("source_id")  # rows, before they are cut into cells
+    rows = placed.select("source_id", rec.cast("bigint").alias("rec"), F.explode(F.array(*[cell(i, k, c) for i, (k, c) in enumerate(columns.items())])).alias("c"))
     cells = rows.select("source_id", F.lit("csv").alias("format"), "rec", none().cast("int").alias("line"), "c.ord", none().cast("string").alias("container"), "c.key", F.lit("string").alias("kind"), "c.text")
-    km = key_match(df.sparkSession.createDataFrame([(k,) for k in columns], "key string"), engine.match_plans([cfg], {name: words}))
+    # stored as the engine stores it, so that its size is known and cells need not move to be joined with it
+    km = keep(key_match(df.sparkSession.createDataFrame([(k,) for k in columns], "key string"), engine.match_plans([cfg], {name: words})), "keys")
     records = df.sparkSession.createDataFrame([], "source_id string, rec bigint, type_key string")
     return engine.fold_rows(cells, km, records, cfg, words)
 
