@@ -584,15 +584,21 @@ VENDOR = {
 
 
 def _unforced(spark, sf_dir):
-    """Customers and suppliers by nation as JSON sources, the schema of each to be found out."""
-    c = table(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("nation"), F.col("c_custkey").alias("k"), F.struct(
+    """Customers and suppliers by nation as files of JSON lines, read block by block; the schema of each is to be found out."""
+    from loomcast.plans.store import scratch
+    from loomcast.sources import large
+
+    c = table(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("nation"), F.struct(
         F.col("c_name").alias("Customer Name"), F.round("c_acctbal", 2).cast("decimal(18,2)").alias("accountBalance"), F.col("c_mktsegment").alias("market_segment")).alias("r"))
-    v = table(spark, sf_dir, "supplier").select(F.col("s_nationkey").alias("nation"), F.col("s_suppkey").alias("k"), F.struct(
+    v = table(spark, sf_dir, "supplier").select(F.col("s_nationkey").alias("nation"), F.struct(
         F.col("s_name").alias("Supplier Name"), F.col("s_suppkey").alias("supplier_code"), F.round("s_acctbal", 2).cast("decimal(18,2)").alias("Money Owed"), F.lit(1).alias("zeal")).alias("r"))
-    joined = lambda df, kind: df.groupBy("nation").agg(F.concat(F.lit("["), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("k", F.to_json("r").alias("t")))), lambda x: x["t"]), ","), F.lit("]")).alias("t")).select(
-        F.concat(F.lit(kind), F.col("nation").cast("string"), F.lit(".json")).alias("path"), F.encode("t", "UTF-8").alias("content"))
-    files = joined(c, "c").unionByName(joined(v, "s"))
-    return engine.transform_cells(readers.parse_contents(files), engine.prepare([CLIENT, VENDOR]), None, None, TODAY)
+    folder = scratch(spark, "written")
+    for df, kind in ((c, "c"), (v, "s")):  # a file a nation, written row by row
+        rows = df.select(F.concat(F.lit(kind), F.col("nation").cast("string")).alias("source"), F.to_json("r").alias("value"))
+        rows.repartition("source").write.mode("append").partitionBy("source").text(folder)
+    cells = large.read_json_lines(spark, f"{folder}/source=*")
+    cells = cells.withColumn("source_id", F.concat(F.regexp_extract("source_id", r"source=([^/]*)/", 1), F.lit(".json")))
+    return engine.transform_cells(cells, engine.prepare([CLIENT, VENDOR]), None, None, TODAY)
 
 
 _SOURCES = """SELECT 'c' || c_nationkey || '.json' AS source_id, 'client' AS schema, c_acctbal >= 0 AS good, 0 AS extra FROM customer UNION ALL SELECT 's' || s_nationkey || '.json', 'vendor', true, 1 FROM supplier"""
